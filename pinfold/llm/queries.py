@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pinfold.llm import mixing
 from pinfold.llm.embedding_dedup import embedding_near_dedup
 from pinfold.llm.simhash import simhash_near_dedup
+from pinfold.llm.tool_calls import link_tool_calls
 from pinfold.runtime import table
 
 
@@ -24,9 +25,14 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_tool_calls(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_mixing": op8_mixing,
+    "op9_tool_call_linking": op9_tool_call_linking,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
