@@ -8,11 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pinfold.llm import mixing
 from pinfold.llm.embedding_dedup import embedding_near_dedup
+from pinfold.llm.secrets import secret_findings
 from pinfold.llm.simhash import simhash_near_dedup
+from pinfold.llm.surrogates import pseudonymise
 from pinfold.llm.tool_calls import link_tool_calls
 from pinfold.runtime import table
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_findings(table(spark, sf_dir, "documents"))
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs).where("n_entities > 0").select("doc_id", "n_entities", "text")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(table(spark, sf_dir, "documents"))
 
@@ -30,6 +41,8 @@ def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_tool_call_linking": op9_tool_call_linking,
