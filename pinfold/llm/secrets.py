@@ -76,13 +76,14 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     assign = F.concat(some(["the ", "", "of\n", "set "], 0), F.when(r(6) % 4 == 0, F.upper(cue)).otherwise(cue), junk, some([" = ", ": ", "=", " := "], 4), junk, some(['"', '"', "'", ""], 5))
     closing, prose = some(['"', '"', "'", " "], 5), some(["and the ", "in ", "where it was ", "of them, ", "on "], 2)
     against = F.concat(some(AGAINST, 3), some([" ", ": ", "=", " = "], 4))
+    unit = F.when(r(0) % 2 == 0, some(["x", "0", "X", "1", "xyz"], 0)).otherwise(F.translate(F.substring(h, F.lit(1), r(1) % 4 + 1), "0123456", "ghijklm"))
     kinds = [
         (hex_, assign, closing, 1), (b64, assign, closing, 1), (F.concat(F.lit("AKIA"), F.upper(F.translate(F.substring(h, 1, 16), "018", "xyz")), F.lit("7")), prose, F.lit(" "), 1),
         (F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64, "[+/]", "7"), 1, 36)), prose, F.lit("\n"), 1), (F.concat(F.substring(b64, 1, 20), F.lit("_9")), assign, closing, 1), (hex_, assign, closing, 1),
         (hex_, F.concat(prose, F.lit('"')), F.lit('"'), 1),
         (digits, prose, F.lit(" "), 0), (F.substring(digits, 1, 16), against, F.lit("."), 0), (hex_, against, F.lit(" "), 0), (words, assign, closing, 0), (words, prose, F.lit(" "), 0),
         (F.regexp_replace(F.substring(h, 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), against, F.lit(","), 0),
-        (F.concat(F.repeat(some(["x", "0", "abc", "X", "1"], 0), 16), F.lit("1")), assign, closing, 0), (F.substring(digits, 1, 16), prose, some(["", "!!", "***"], 3), 0),
+        (F.concat(F.rpad(F.lit(""), 16 + r(4) % 24, unit), F.lit("1")), assign, closing, 0), (F.substring(digits, 1, 16), prose, some(["", "!!", "***"], 3), 0),
     ]
     pick = lambda k: F.element_at(F.array(*[x[k] if isinstance(x[k], Column) else F.lit(x[k]) for x in kinds]), (F.col("id") % len(kinds)).cast("int") + 1)
     path = F.when((pick(3) == 0) & (r(8) % 3 == 0), some(["tests/data.txt", "package-lock.json", "docs/readme.md"], 5)).otherwise(some(["src0", "src7", "app/settings.py", "deploy.yml", "src12"], 5))

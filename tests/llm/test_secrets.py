@@ -1,0 +1,62 @@
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
+
+from pinfold.llm import secrets as S
+
+SCHEMA = "doc_id long, text string, source string, votes int"
+HEX = "1ebc9e654e72c3a9f00b7d6a1b4f812088970e66"
+
+
+def scan(spark, texts):
+    df = spark.createDataFrame([(i, t, s, 1) for i, (t, s) in enumerate(texts)], SCHEMA)
+    return S.scan_secrets(df).orderBy("doc_id").collect()
+
+
+def test_forest_expression_votes_like_the_model(spark):
+    rows = S.labelled_findings(spark, 900).select("label", S.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path")).alias("f")).cache()
+    flat = rows.select(F.col("label").cast("double").alias("label"), "f.*")
+    table = VectorAssembler(inputCols=list(S.FEATURES), outputCol="x").transform(flat)
+    model = RandomForestClassifier(labelCol="label", featuresCol="x", numTrees=9, maxDepth=4, seed=3).fit(table)
+    ours = rows.select("f.*", S.forest_votes(model.toDebugString, F.col("f")).alias("v")).collect()
+    for r in ours[:60]:
+        x = model.trees[0]  # each tree gives a class; the vote is their mean
+        from pyspark.ml.linalg import Vectors
+
+        v = Vectors.dense([r[c] for c in S.FEATURES])
+        assert abs(sum(t.predict(v) for t in model.trees) / 9 - r.v) < 1e-12
+    assert x is not None
+
+
+def test_held_out_findings(spark):
+    forest = S.fit_forest(S.labelled_findings(spark).where(F.crc32("candidate") % 5 != 0))
+    held = S.labelled_findings(spark).where(F.crc32("candidate") % 5 == 0)
+    votes = S.forest_votes(forest, S.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path")))
+    right = held.select(((votes >= 0.5).cast("int") == F.col("label")).alias("ok")).agg(F.avg(F.col("ok").cast("int"))).first()[0]
+    assert right > 0.97
+
+
+def test_redaction_keeps_all_else(spark):
+    texts = [
+        (f'the token = "{HEX}" end {HEX}.', "src1"),
+        (f'THE TOKEN!! =!! "{HEX.upper()}"!! OF', "src1"),
+        ("card 4785380592391139 of them, 4785380592391139", "src1"),
+        (f"commit {HEX} is fine", "src1"),
+        ("no candidates here", None),
+        ("", "src1"),
+        (None, None),
+        ("thewordthatisverylongindeed " * 40_000 + f'secret: "{HEX}"', "src2"),
+    ]
+    got = scan(spark, texts)
+    assert got[0].redacted == 'the token = "[SECRET]" end [SECRET].'
+    assert got[1].redacted == 'THE TOKEN!! =!! "[SECRET]"!! OF'
+    assert [r.redacted for r in got[2:7]] == [t for t, _ in texts[2:7]]
+    assert got[7].redacted.endswith('secret: "[SECRET]"') and len(got[7].redacted) == len(texts[7][0]) - 32
+    assert [len(r.secret_findings) for r in got] == [2, 1, 2, 1, 0, 0, 0, 1]
+
+
+def test_empty_table_repeated_rows_and_findings(spark):
+    assert scan(spark, []) == []
+    df = spark.createDataFrame([(None, f'key="{HEX}"', "s", 1)] * 2, SCHEMA)
+    rows = S.secret_findings(df).collect()
+    assert len(rows) == 2 and rows[0] == rows[1] and rows[0].is_secret
