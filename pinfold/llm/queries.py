@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pinfold.llm import mixing
 from pinfold.llm.embedding_dedup import embedding_near_dedup
+from pinfold.llm.html_wrapper import extract_main_text
 from pinfold.llm.secrets import secret_findings
 from pinfold.llm.simhash import simhash_near_dedup
 from pinfold.llm.surrogates import pseudonymise
@@ -24,6 +25,10 @@ def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(docs).where("n_entities > 0").select("doc_id", "n_entities", "text")
 
 
+def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(table(spark, sf_dir, "documents"))
 
@@ -43,6 +48,7 @@ def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_pii_surrogates": op3_pii_surrogates,
+    "op4_html_main_text": op4_html_main_text,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_tool_call_linking": op9_tool_call_linking,
