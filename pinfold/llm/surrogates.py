@@ -48,6 +48,8 @@ SYLLABLES = {
 NAME = r"(?<!\p{L})(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"
 KINDS = (("email", EMAIL), ("iban", IBAN), ("ip", IPV4), ("ssn", SSN), ("account", ACCOUNT), ("phone", PHONE), ("name", NAME))
 ANY = "|".join(f"(?:{p})" for _, p in KINDS)
+#: What every match holds: a digit, an at sign or a title.  Most texts hold none of them.
+HINT = r"[0-9@]|\p{Nd}"
 _LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщэюя"
 
 
@@ -117,22 +119,27 @@ def _ip(canonical: Column, draws: Column) -> Column:
     return F.array_join(F.transform(F.split(canonical, r"\."), part), ".")
 
 
-def _name(canonical: Column, draws: Column, attempt: Column) -> Column:
+def _name(canonical: Column, draws: Column, attempt: int) -> Column:
     """Title as it was; given name and surname by the title's gender and script."""
     words = F.split(canonical, " ")
     title, size = F.element_at(words, 1), F.size(words)
     out = None
     for (gender, script), titles in TITLES.items():
-        surname = F.concat(*[_pick(SYLLABLES[script], F.element_at(draws, k)) for k in (2, 3, 4)], F.when(attempt > 2, _pick(SYLLABLES[script], F.element_at(draws, 5))).otherwise(""))
+        surname = F.concat(*[_pick(SYLLABLES[script], F.element_at(draws, k)) for k in (2, 3, 4)], _pick(SYLLABLES[script], F.element_at(draws, 5)) if attempt > 2 else F.lit(""))
         name = F.when(size > 2, F.concat(_pick([g.lower() for g in GIVEN[gender, script]], F.element_at(draws, 1)), F.lit(" "), surname)).otherwise(surname)
         hit = title.isin(*{t.lower() for t in titles})
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return F.concat(title, F.lit(" "), out)
 
 
-def draw(kind: Column, canonical: Column, attempt: Column, key: str = KEY) -> Column:
-    """Canonical replacement of a canonical entity at one attempt."""
-    draws = _draws(kind, canonical, attempt, key)
+def draw(entities: DataFrame, attempt: int, key: str = KEY) -> DataFrame:
+    """``entities(kind, canonical)`` with their canonical replacement at one attempt."""
+    # the numbers are a column of their own: every use of the expression would hash again
+    drawn = entities.withColumn("draws", _draws(F.col("kind"), F.col("canonical"), F.lit(attempt), key))
+    return drawn.withColumn("surrogate", _drawn(F.col("kind"), F.col("canonical"), F.col("draws"), attempt)).drop("draws")
+
+
+def _drawn(kind: Column, canonical: Column, draws: Column, attempt: int) -> Column:
     # the last label of the domain stays
     email = F.concat(
         _draw_chars(F.regexp_extract(canonical, r"^(.*\.)\p{L}+$", 1), draws), F.regexp_extract(canonical, r"\.(\p{L}+)$", 1)
@@ -146,17 +153,16 @@ def draw(kind: Column, canonical: Column, attempt: Column, key: str = KEY) -> Co
     )
 
 
-def render(kind: Column, match: Column, surrogate: Column) -> Column:
-    """Write a canonical replacement in the format and case of one occurrence."""
-    plain = F.regexp_replace(surrogate, r"[^\p{L}\p{N}]", "")
-    shape = F.transform(_chars(match), lambda c: c.rlike(r"[\p{L}\p{N}]"))
+def render(kind: Column, match: Column, surrogate: Column, plain: Column) -> Column:
+    """Write a canonical replacement in the format and case of one occurrence; ``plain`` is
+    the replacement's letters and digits."""
 
-    def one(c: Column, i: Column) -> Column:
-        nth = F.size(F.filter(F.slice(shape, F.lit(1), i + 1), lambda b: b))
-        new = F.substring(plain, nth, F.lit(1))
-        return F.when(~F.element_at(shape, i + 1), c).when(F.lower(c) != c, F.upper(new)).otherwise(new)
+    def one(acc: Column, c: Column) -> Column:
+        new = F.substring(plain, acc["k"], F.lit(1))
+        spelled = F.when(~c.rlike(r"[\p{L}\p{N}]"), c).when(F.lower(c) != c, F.upper(new)).otherwise(new)
+        return F.struct(F.concat(acc["out"], spelled).alias("out"), (acc["k"] + c.rlike(r"[\p{L}\p{N}]").cast("int")).alias("k"))
 
-    spelled = F.array_join(F.transform(_chars(match), one), "")
+    spelled = F.aggregate(_chars(match), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), one, lambda acc: acc["out"])
     title = F.regexp_extract(match, r"^(\S+) ", 1)
     named = F.concat(title, F.lit(" "), F.initcap(F.regexp_extract(surrogate, r"^\S+ (.*)$", 1)))
     return F.when(kind == "name", named).when(kind == "ip", surrogate).otherwise(spelled)
@@ -171,7 +177,7 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
     real = entities.select("kind", F.col("canonical").alias("surrogate"))
     taken, open_ = None, materialise(entities, "pii-open")
     for attempt in range(MOST_ATTEMPTS):
-        drawn = materialise(open_.withColumn("surrogate", draw(F.col("kind"), F.col("canonical"), F.lit(attempt), key)), "pii-drawn")
+        drawn = materialise(draw(open_, attempt, key), "pii-drawn")
         best = drawn.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical")).join(real, ["kind", "surrogate"], "left_anti")
         best = best if taken is None else best.join(taken.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
         new = materialise(best.select("kind", "canonical", "surrogate"), "pii-taken")
@@ -194,14 +200,16 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Dat
     """
     whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
     text = F.col(f"`{text_col}`").cast("string")
-    found = docs.select(whole, F.coalesce(matches(text, ANY), F.array().cast("array<string>")).alias("found"))
+    hinted = text.rlike(HINT) | text.rlike(NAME)
+    found = docs.select(whole, F.when(hinted, matches(text, ANY)).otherwise(F.array().cast("array<string>")).alias("found"))
     hit = materialise(
         found.where(F.size("found") > 0).select("row", "found", F.monotonically_increasing_id().alias("rid"), pieces(F.col("row").getField(text_col), ANY).alias("parts")), "pii-texts"
     )
     spots = hit.select("rid", F.posexplode("found").alias("no", "match")).withColumn("kind", _kind(F.col("match"))).withColumn("canonical", _canonical(F.col("kind"), F.col("match")))
     spots = materialise(spots, "pii-spots")
     table = surrogate_table(spots.select("kind", "canonical").distinct(), key)
-    written = spots.join(table, ["kind", "canonical"]).select("rid", "no", render(F.col("kind"), F.col("match"), F.col("surrogate")).alias("new"))
+    table = table.withColumn("plain", F.regexp_replace("surrogate", r"[^\p{L}\p{N}]", ""))
+    written = spots.join(table, ["kind", "canonical"]).select("rid", "no", render(F.col("kind"), F.col("match"), F.col("surrogate"), F.col("plain")).alias("new"))
     inserts = written.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "new"))), lambda s: s["new"]).alias("inserts"))
     changed = hit.join(inserts, "rid").select("row", rebuild(F.col("parts"), F.col("inserts")).alias("t"), F.size("inserts").alias("n"))
     same = found.where(F.size("found") == 0).select("row", F.col("row").getField(text_col).cast("string").alias("t"), F.lit(0).alias("n"))
