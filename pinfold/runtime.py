@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _serial = itertools.count()
 _own_folder: dict[str, str] = {}
@@ -51,3 +52,20 @@ def discard(df: DataFrame) -> None:
         spark = df.sparkSession
         jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+#: Bytes of strings and keys up to which a side of a join is broadcast.
+BROADCAST_BYTES = 8 << 20
+
+
+def broadcast_checked(df: DataFrame, *sized: str) -> DataFrame:
+    """``df`` marked for broadcast if its measured size allows, else as it is.
+
+    ``sized`` names string or array columns; every row counts 64 bytes besides.  ``df``
+    should be a materialised table, as it is read once to measure it.
+    """
+    bytes_ = F.lit(64)
+    for c in sized:
+        bytes_ = bytes_ + F.coalesce((F.octet_length(c) if df.schema[c].dataType.typeName() in ("string", "binary") else 8 * F.size(c)), F.lit(0))
+    total = df.agg(F.coalesce(F.sum(bytes_.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
