@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pinfold.llm import mixing
+from pinfold.llm.decontamination import leaked_items
 from pinfold.llm.embedding_dedup import embedding_near_dedup
 from pinfold.llm.html_wrapper import extract_main_text
+from pinfold.llm.quality import select_quality
 from pinfold.llm.secrets import secret_findings
 from pinfold.llm.simhash import simhash_near_dedup
 from pinfold.llm.surrogates import pseudonymise
@@ -16,6 +18,10 @@ from pinfold.llm.tool_calls import link_tool_calls
 from pinfold.runtime import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_findings(table(spark, sf_dir, "documents"))
 
@@ -29,6 +35,11 @@ def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return select_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "expected_grade", "tail_probability")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(table(spark, sf_dir, "documents"))
 
@@ -46,9 +57,11 @@ def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
     "op3_pii_surrogates": op3_pii_surrogates,
     "op4_html_main_text": op4_html_main_text,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_tool_call_linking": op9_tool_call_linking,
