@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pinfold.llm import mixing
+from pinfold.llm.attention_lm import score_documents
 from pinfold.llm.decontamination import leaked_items
 from pinfold.llm.embedding_dedup import embedding_near_dedup
 from pinfold.llm.html_wrapper import extract_main_text
@@ -40,6 +41,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "expected_grade", "tail_probability")
 
 
+def op6_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii_surrogates": op3_pii_surrogates,
     "op4_html_main_text": op4_html_main_text,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_language_model_scores": op6_language_model_scores,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_tool_call_linking": op9_tool_call_linking,
