@@ -74,3 +74,59 @@ def test_streaming_gap_fill(spark, tmp_path):
     query = stream_gap_fill(external, lambda: spark.read.parquet(held), lambda gaps, n: gaps.write.mode("append").parquet(held), str(tmp_path / "cp"))
     query.awaitTermination()
     assert sorted(r.row_id for r in spark.read.parquet(held).collect()) == [1, 12]
+
+
+def shapefile(folder, stem, shapes, rows):
+    import struct
+
+    body = b""
+    for k, s in enumerate(shapes):
+        if s is None:
+            rec = struct.pack("<I", 0)
+        elif len(s) == 2:
+            rec = struct.pack("<I2d", 1, *s)
+        else:
+            xs, ys = [p[0] for p in s], [p[1] for p in s]
+            rec = struct.pack("<I4d2I", 5, min(xs), min(ys), max(xs), max(ys), 1, len(s)) + struct.pack("<I", 0) + b"".join(struct.pack("<2d", *p) for p in s)
+        body += struct.pack(">2I", k + 1, len(rec) // 2) + rec
+    (folder / f"{stem}.shp").write_bytes(b"\0" * 100 + body)
+    fields = [("osm_id", 8), ("name", 12), ("fclass", 10)]
+    head = struct.pack("<4BIHH20x", 3, 26, 1, 1, len(rows), 32 + 32 * len(fields) + 1, 1 + sum(w for _, w in fields))
+    head += b"".join(struct.pack("<11sc4xBB14x", n.encode(), b"C", w, 0) for n, w in fields) + b"\r"
+    data = b"".join(b" " + b"".join(str(v).encode().ljust(w) for v, (_, w) in zip(r, fields)) for r in rows)
+    (folder / f"{stem}.dbf").write_bytes(head + data)
+
+
+def test_shapefiles_and_sheets(spark, tmp_path):
+    import zipfile
+
+    from pinfold.sources.shapefile import Shapefiles, Sheets
+
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    shapefile(tmp_path, "a_pofw", [(-84.0, 37.0), square, None], [("1", "Grace é", "christian"), ("2", "Area", "muslim"), ("3", "none", "x")])
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        for end in ("shp", "dbf"):
+            z.write(tmp_path / f"a_pofw.{end}", f"in/a_pofw.{end}")
+            z.write(tmp_path / f"a_pofw.{end}", f"in/roads.{end}")
+    spark.dataSource.register(Shapefiles)
+    df = spark.read.format("shapefile").option("layer", "pofw").load(f"{tmp_path}/a_pofw.shp,{tmp_path}/z.zip")
+    rows = sorted(tuple(r) for r in df.collect())
+    assert len(rows) == 4 and rows[0] == ("1", "Grace é", "christian", "point", 37.0, -84.0, 0.0, 0.0)
+    assert rows[2][3:] == ("area", 0.8, 1.6, 2.0, 4.0)
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    with zipfile.ZipFile(tmp_path / "s.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>Head</t></si><si><r><t>Al</t></r><r><t>len</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c></row><row r="2"><c r="A2"><v>1001.0</v></c><c r="C2" t="s"><v>1</v></c><c r="D2" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>')
+    spark.dataSource.register(Sheets)
+    assert [tuple(r) for r in spark.read.format("sheet").load(f"{tmp_path}/s.xlsx").collect()] == [("1001.0", None, "Allen", "x", None, None)]
+
+
+def test_forms_for_display(spark):
+    from pinfold.functions import present as P
+
+    row = spark.range(1).select(
+        P.state_code(F.lit("New-York")).alias("a"), P.state_code(F.lit("delaware")).alias("b"), P.state_code(F.lit("District of Columbia")).alias("c"), P.state_code(F.lit("x")).alias("d"), P.state_code(F.lit("Wyoming")).alias("w"),
+        P.grouped(F.lit(1234567)).alias("e"), P.rgba(F.lit("#0a10ff"), F.lit(0.5)).alias("f"), P.map_link(F.lit(1.5), F.lit(-2.5), F.lit("a b"), "https://m").alias("g"),
+        P.coordinate_line(F.lit("n"), F.lit(1.0), F.lit(2.0)).alias("h"), P.next_in_stack(F.lit(2), F.lit(3)).alias("i"),
+    ).first()
+    assert tuple(row) == ("NY", "DE", "DC", None, "WY", "1,234,567", "rgba(10,16,255,0.5)", "https://m?ll=1.5,-2.5&q=a+b", "n (1.00000, 2.00000)", 0)
