@@ -24,11 +24,11 @@ def round_sql(x: str, places: int) -> str:
     return f"floor(({x})*1e{places}+0.5)/1e{places}"
 
 
-def coordinates(k: str, f: int) -> str:
+def coordinates(k: str, f: int) -> tuple[str, str]:
     """Latitude and longitude of a key, the same text in both dialects."""
-    lat = f"40e0 + (({k}*{k}*31 + {k}*7919 + {f}*1237) % 19997)/100000e0"
-    lon = f"-75e0 + (({k}*{k}*17 + {k}*10473 + {f}*3571) % 25999)/100000e0"
-    return f"{lat} AS lat, {lon} AS lon"
+    lat = f"40e0 + (({k}*{k}*31 + {k}*7919 + {f}*1237) % 19997)/100000e0 AS lat"
+    lon = f"-75e0 + (({k}*{k}*17 + {k}*10473 + {f}*3571) % 25999)/100000e0 AS lon"
+    return lat, lon
 
 
 def suffix(k: str, dialect: str) -> str:
@@ -45,10 +45,10 @@ _SIDES = {
 def pins(spark: SparkSession, sf_dir: str, side: str = "customer") -> DataFrame:
     """``row_id, name, rel, lat, lon, state, fips, segment`` of customers or suppliers."""
     source, key, nation, segment, f = _SIDES[side]
-    rows = table(spark, sf_dir, source).join(F.broadcast(table(spark, sf_dir, "nation").limit(1000)), F.col(nation) == F.col("n_nationkey"))
+    rows = table(spark, sf_dir, source).join(table(spark, sf_dir, "nation"), F.col(nation) == F.col("n_nationkey"))
     return rows.selectExpr(
-        f"{key} AS row_id", f"trim(concat('P', cast({key} % 7 as string), ' ', {suffix(key, 'spark')})) AS name", f"{nation} % 6 AS rel", *coordinates(key, f).split(", -75e0")[:1],
-        "-75e0" + coordinates(key, f).split(", -75e0")[1], "n_name AS state", f"lpad(cast({nation} as string), 5, '0') AS fips", f"{segment} AS segment",
+        f"{key} AS row_id", f"trim(concat('P', cast({key} % 7 as string), ' ', {suffix(key, 'spark')})) AS name", f"{nation} % 6 AS rel", *coordinates(key, f),
+        "n_name AS state", f"lpad(cast({nation} as string), 5, '0') AS fips", f"{segment} AS segment",
     )
 
 
@@ -56,7 +56,7 @@ def pins_sql(side: str = "customer") -> str:
     """The same view as a sub-select."""
     source, key, nation, segment, f = _SIDES[side]
     return (
-        f"(SELECT {key} AS row_id, trim(concat('P', ({key} % 7)::VARCHAR, ' ', {suffix(key, 'duckdb')})) AS name, {nation} % 6 AS rel, {coordinates(key, f)}, n_name AS state,"
+        f"(SELECT {key} AS row_id, trim(concat('P', ({key} % 7)::VARCHAR, ' ', {suffix(key, 'duckdb')})) AS name, {nation} % 6 AS rel, {', '.join(coordinates(key, f))}, n_name AS state,"
         f" lpad({nation}::VARCHAR, 5, '0') AS fips, {segment} AS segment FROM {source} JOIN nation ON {nation} = n_nationkey)"
     )
 
