@@ -24,14 +24,14 @@ from pyspark.sql import types as T
 from pinfold.runtime import materialise
 
 #: Labelled documents the model is fitted on at most.
-MOST_LABELLED = 8192
-#: A feature needs so many labelled documents, and an association with the grades of so many
-#: standard deviations, to get a weight.  Rounds and shrinkage of the fit.
-LEAST_DOCS, LEAST_Z, ROUNDS, SHRINK = 3, 4.0, 100, 1e-3
+MOST_LABELLED = 12288
+#: A feature needs so many labelled documents, and an association with lower grades of so
+#: many standard deviations, to get a weight.  Rounds and shrinkage of the fit.
+LEAST_DOCS, LEAST_Z, ROUNDS, SHRINK = 3, 4.0, 100, 1e-5
 #: Bytes of the word beginnings that are features beside the words.
 PREFIXES = (3, 4, 5, 6)
 #: Grades from the two ratings: 0 poor, 1 toxic, 2 good; documents need this chance of it.
-TOP, KEEP = 2, 0.5
+TOP, KEEP = 2, 0.7
 
 
 def _bins(text: bytes, words: list[bytes]) -> list[bytes]:
@@ -89,16 +89,23 @@ def _logistic(x: np.ndarray) -> np.ndarray:
 
 
 def _associated(rows: list[np.ndarray], grades: np.ndarray, n_grades: int) -> np.ndarray:
-    """Features whose document counts depend on some grade's being reached."""
-    known, places, df = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    owner, n = np.repeat(np.arange(len(rows)), [len(r) for r in rows]), len(rows)
+    """Features whose presence speaks against some grade's being reached.
+
+    Words that are merely common in good texts are left out: a long text holds many of
+    them, and their sum would outweigh any evidence against it.
+    """
+    known, df = np.unique(np.concatenate(rows), return_counts=True)
+    known, df = known[df >= LEAST_DOCS], df[df >= LEAST_DOCS].astype(np.float64)
+    table, n = Ordinal(known, np.zeros(0), np.zeros(0)), len(rows)
+    by_grade = np.zeros((n_grades, len(known)))
+    for row, g in zip(rows, grades):
+        by_grade[g, table.places(row)] += 1
     z = np.zeros(len(known))
     for k in range(1, n_grades):
-        reached = (grades >= k).astype(float)
-        p = reached.mean()
+        p = (grades >= k).mean()
         spread = np.sqrt(np.maximum(1e-9, df * p * (1 - p) * (n - df) / max(1, n - 1)))
-        z = np.maximum(z, np.abs(np.bincount(places, weights=reached[owner], minlength=len(known)) - df * p) / spread)
-    return known[(df >= LEAST_DOCS) & (z >= LEAST_Z)]
+        z = np.maximum(z, (df * p - by_grade[k:].sum(0)) / spread)
+    return known[z >= LEAST_Z]
 
 
 def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds: int = ROUNDS) -> Ordinal:

@@ -20,7 +20,8 @@ def test_model_probabilities_and_likelihood():
     grades = rng.integers(0, 3, 300)
     rows = [np.unique(np.concatenate([rng.integers(0, 50, 6), [100 + g] * (rng.random() < 0.9)])).astype(np.uint32) for g in grades]
     m = Q.fit_ordinal(rows, grades, 3)
-    assert m.cuts[0] < m.cuts[1] and {100, 102} <= set(m.known.tolist())
+    # only evidence against a grade is kept
+    assert m.cuts[0] < m.cuts[1] and {100, 101} <= set(m.known.tolist()) and 102 not in m.known
     tails = m.tails(np.array([m.score(r) for r in rows]))
     p = brute(rows, grades, m.known.tolist(), m.weights, m.cuts)
     assert np.allclose(tails[:, 0], 1 - p[:, 0]) and np.allclose(tails[:, 1], p[:, 2])
