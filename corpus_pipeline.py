@@ -21,7 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of the top grade is at least one half."""
+    """Documents whose chance of the top grade is at least 0.7."""
     return select_quality(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).select(*COLUMNS)
 
 
