@@ -27,7 +27,7 @@ GOLDEN, SCATTER = 2654435769, 2654435761
 #: Tokens a block holds at least; about so many slots in all; blocks a source has at least.
 LEAST_BLOCK, SLOTS, LEAST_BLOCKS = 16, 1 << 20, 64
 #: Intervals are held in sixteenths of a slot; ranks and offsets run in chunks.
-FINE, SLOT_CHUNK, DOC_CHUNKS = 16, 1 << 16, 1 << 14
+FINE, SLOT_CHUNK, DOC_CHUNKS = 16, 1 << 16, 1 << 10
 WORD = r"[^\x20\x09-\x0D]+"
 
 
