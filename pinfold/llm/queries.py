@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pinfold.llm import mixing
 from pinfold.llm.attention_lm import score_documents
 from pinfold.llm.decontamination import leaked_items
+from pinfold.llm.embedding_dedup import ORACLE as EMBEDDING_ORACLE
 from pinfold.llm.embedding_dedup import embedding_near_dedup
 from pinfold.llm.html_wrapper import extract_main_text
 from pinfold.llm.quality import select_quality
@@ -76,4 +77,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op8_mixing": mixing.ORACLE,
+    "op10_embedding_near_dedup": EMBEDDING_ORACLE,
 }
