@@ -240,13 +240,14 @@ SELECT a.row_id, a.la, a.lo, arg_min(b.row_id, (upper(a.name) <> upper(b.name)):
 
 
 def plan_apply_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A drop plan from every third pin, half of it misnamed, matched and applied."""
+    """A drop plan from every third pin, half of it misnamed, matched and applied; class -1
+    counts what the plan means but is not there."""
     p = pins(spark, sf_dir)
     plan = p.where("row_id % 3 = 0").select(F.col("row_id").alias("plan_id"), F.when(F.col("row_id") % 2 == 0, F.col("name")).otherwise("other").alias("name"), coord_key("lat").alias("p_lat"), (coord_key("lon") + F.when(F.col("row_id") % 15 == 0, 1).otherwise(0)).alias("p_lon"))
     hit = M.match_plan(plan, p)
     kept = M.apply_drops(p, hit.where("row_id is not null"))
-    missed = hit.where("row_id is null").agg(F.count("*").alias("missed"))
-    return kept.groupBy("rel").agg(F.count("*").alias("kept"), F.sum("row_id").alias("ids")).crossJoin(F.broadcast(missed))
+    missed = hit.where("row_id is null").agg(F.lit(-1).alias("rel"), F.count("*").alias("n"), F.sum("plan_id").alias("ids"))
+    return kept.groupBy("rel").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids")).unionByName(missed)
 
 
 PLAN_DROP = f"""
@@ -254,7 +255,8 @@ WITH p AS (SELECT *, floor(lat * 100000e0 + 0.5)::BIGINT AS la, floor(lon * 1000
 plan AS (SELECT row_id AS plan_id, CASE WHEN row_id % 2 = 0 THEN name ELSE 'other' END AS name, la, lo + CASE WHEN row_id % 15 = 0 THEN 1 ELSE 0 END AS lo FROM p WHERE row_id % 3 = 0),
 m AS (SELECT plan_id, p.row_id, plan.name = p.name AS eq, max((plan.name = p.name)::INT) OVER (PARTITION BY plan_id) AS best FROM plan LEFT JOIN p ON p.la = plan.la AND p.lo = plan.lo),
 h AS (SELECT * FROM m WHERE row_id IS NULL OR eq OR best = 0)
-SELECT rel, count(*) AS kept, sum(row_id)::BIGINT AS ids, (SELECT count(*) FROM h WHERE row_id IS NULL) AS missed FROM p WHERE row_id NOT IN (SELECT row_id FROM h WHERE row_id IS NOT NULL) GROUP BY rel"""
+SELECT rel, count(*) AS n, sum(row_id)::BIGINT AS ids FROM p WHERE row_id NOT IN (SELECT row_id FROM h WHERE row_id IS NOT NULL) GROUP BY rel
+UNION ALL SELECT -1, count(*), sum(plan_id)::BIGINT FROM h WHERE row_id IS NULL"""
 
 
 def plan_apply_move(spark: SparkSession, sf_dir: str) -> DataFrame:
