@@ -25,7 +25,7 @@ from pinfold.runtime import materialise
 #: Tokens of a seed, which is also the shortest tile; share of an item that makes a leak.
 SEED, COVERAGE = 5, 0.5
 #: Characters of benchmark text that are broadcast at a time.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 500_000
 TOKEN = re.compile(r"\w+").findall
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
