@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pinfold.llm.spans import matches, pieces, rebuild
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*\d)[A-Za-z0-9_+/=-]{16,}"
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*\d)[A-Za-z0-9_+/-]{16,}={0,2}"
 REDACTED = "[SECRET]"
 #: Rows of labelled findings the forest is fitted on at most; its size.
 MOST_LABELLED, TREES, DEPTH = 20_000, 15, 6
@@ -70,7 +70,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     b64 = F.regexp_replace(F.base64(F.unhex(F.substring(h, 1, 60))), "[=]", "")
     digits = F.translate(F.substring(h, 1, 19), "abcdef", "012345")
     words = F.concat(some(DICTIONARY, 0), F.lit("_"), some(DICTIONARY, 1), F.lit("_"), some(DICTIONARY, 2), F.lit("_"), some(DICTIONARY, 3), r(4).cast("string"))
-    hex_ = F.substring(h, F.lit(1), some([32, 40, 40, 64], 1))
+    hex_ = F.substring(h, F.lit(1), some([16, 18, 20, 24, 32, 40, 40, 64], 1))
     hex_ = F.when(r(7) % 4 == 0, F.upper(hex_)).otherwise(hex_)
     cue, junk = some(CUES, 2), some(["", "", "", "!!", "###", " |"], 3)
     assign = F.concat(some(["the ", "", "of\n", "set "], 0), F.when(r(6) % 4 == 0, F.upper(cue)).otherwise(cue), junk, some([" = ", ": ", "=", " := "], 4), junk, some(['"', '"', "'", ""], 5))
@@ -78,7 +78,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     against = F.concat(some(AGAINST, 3), some([" ", ": ", "=", " = "], 4))
     unit = F.when(r(0) % 2 == 0, some(["x", "0", "X", "1", "xyz"], 0)).otherwise(F.translate(F.substring(h, F.lit(1), r(1) % 4 + 1), "0123456", "ghijklm"))
     kinds = [
-        (hex_, assign, closing, 1), (b64, assign, closing, 1), (F.concat(F.lit("AKIA"), F.upper(F.translate(F.substring(h, 1, 16), "018", "xyz")), F.lit("7")), prose, F.lit(" "), 1),
+        (hex_, assign, closing, 1), (b64, assign, closing, 1), (F.concat(F.lit("AKIA"), F.substring(F.upper(F.regexp_replace(F.base64(F.unhex(F.substring(h, 1, 64))), "[^A-Za-z0-9]", "")), 1, 15), F.lit("7")), prose, F.lit(" "), 1),
         (F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64, "[+/]", "7"), 1, 36)), prose, F.lit("\n"), 1), (F.concat(F.substring(b64, 1, 20), F.lit("_9")), assign, closing, 1), (hex_, assign, closing, 1),
         (hex_, F.concat(prose, F.lit('"')), F.lit('"'), 1),
         (digits, prose, F.lit(" "), 0), (F.substring(digits, 1, 16), against, F.lit("."), 0), (hex_, against, F.lit(" "), 0), (words, assign, closing, 0), (words, prose, F.lit(" "), 0),
