@@ -3,7 +3,8 @@
 Documents and benchmark items meet on shared seeds of five tokens.  Each pair that shares a
 seed is tiled: the longest common runs of tokens not yet covered are marked first, found by
 running Karp-Rabin over falling lengths, so a passage is found whatever order its parts
-stand in.  An item counts as leaked where tiles cover ``COVERAGE`` of its tokens.
+stand in.  An item counts as leaked where tiles cover ``COVERAGE`` of its tokens, or one
+tile alone has ``LONG_TILE``: a long item quoted in part.
 
 Items are broadcast in blocks of bounded size, one pass over the documents for each block;
 documents are never shuffled, and every document is read whole.
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from pinfold.runtime import materialise
 
-#: Tokens of a seed, which is also the shortest tile; share of an item that makes a leak.
-SEED, COVERAGE = 5, 0.5
+#: Tokens of a seed, which is also the shortest tile; share of an item that makes a leak, and
+#: tokens of one tile that make one whatever the share.
+SEED, COVERAGE, LONG_TILE = 5, 0.5, 13
 #: Characters of benchmark text that are broadcast at a time.
 BLOCK_CHARS = 500_000
 TOKEN = re.compile(r"\w+").findall
@@ -139,7 +141,7 @@ class Items:
                 end = a + n
             tiles = greedy_tiles(pattern, runs, n)
             share = sum(k for _, _, k in tiles) / len(pattern)
-            if share >= coverage:
+            if share >= coverage or max((k for _, _, k in tiles), default=0) >= LONG_TILE:
                 out.append((item, share, len(tiles)))
         return out
 
