@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _serial = itertools.count()
-_own_folder: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +25,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables of this application."""
+    """The shared folder for intermediate tables of this application, gone when it ends."""
     app = spark.sparkContext.applicationId
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return f"{shared.rstrip('/')}/{app}"
-    if app not in _own_folder:
-        _own_folder[app] = tempfile.mkdtemp(prefix="pinfold-")
-    return _own_folder[app]
+    if app not in _folders:
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        _folders[app] = f"{shared.rstrip('/')}/{app}" if shared else tempfile.mkdtemp(prefix="pinfold-")
+        files, path = _hadoop(spark, _folders[app])
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return _folders[app]
+
+
+def _hadoop(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, and the path, as Hadoop has them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -49,9 +56,8 @@ def discard(df: DataFrame) -> None:
     """Delete the files of a table made by ``materialise`` that nothing reads any more."""
     path = getattr(df, "_pinfold_path", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        files, place = _hadoop(df.sparkSession, path)
+        files.delete(place, True)
 
 
 #: Bytes of strings and keys up to which a side of a join is broadcast.
