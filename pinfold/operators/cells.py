@@ -58,7 +58,7 @@ def cell_window_pairs(left: DataFrame, right: DataFrame, k: int, per_degree: flo
 
 def nearest(pairs: DataFrame, key: str = "row_id", other: str = "r_row_id") -> DataFrame:
     """The nearest partner of each row; the smaller id wins a tie.  Combined map-side."""
-    carried = [c for c in pairs.columns if c.startswith("r_") and c != other]
+    carried = [c for c in pairs.columns if c.startswith("r_") and c not in (key, other)]
     best = F.min(F.struct(F.floor(F.col("dist_m") * 1000 + 0.5).alias("mm"), F.col(other), "dist_m", *carried))
     out = pairs.groupBy(key).agg(best.alias("best"))
     return out.select(key, F.col(f"best.{other}").alias(other), F.col("best.dist_m").alias("dist_m"), *[F.col(f"best.{c}").alias(c) for c in carried])

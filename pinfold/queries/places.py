@@ -71,7 +71,7 @@ VIEWPORT = f"SELECT row_id, rel, floor(lat * 5e0)::BIGINT AS ci, floor(lon * 5e0
 def _nation_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     n = table(spark, sf_dir, "nation")
     mapped = pins(spark, sf_dir).where("rel <> 4").groupBy("state").agg(F.count("*").alias("n"))
-    counted = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).where("n_nationkey <> 3").groupBy(F.col("n_name").alias("state")).agg((F.count("*") * 16).alias("n"))
+    counted = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("state")).agg((F.count("*") * 16).alias("n"))
     return mapped, counted
 
 
@@ -84,7 +84,7 @@ def county_gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GAPS = f"""(SELECT state, coalesce(m.n, 0) AS mapped, coalesce(c.n, 0) AS census, coalesce(c.n, 0) - coalesce(m.n, 0) AS gap,
   floor((coalesce(c.n, 0) - coalesce(m.n, 0)) * 1000e0 / nullif(coalesce(c.n, 0), 0) + 0.5) / 10e0 AS pct
 FROM (SELECT state, count(*) AS n FROM {C} WHERE rel <> 4 GROUP BY 1) m
-FULL JOIN (SELECT n_name AS state, count(*) * 16 AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey <> 3 GROUP BY 1) c USING (state))"""
+FULL JOIN (SELECT n_name AS state, count(*) * 16 AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) c USING (state))"""
 COUNTY_GAP = f"SELECT *, CASE WHEN state = 'NATION_8' AND gap > 5 THEN 'lds-wards-vs-buildings' ELSE '' END AS note, greatest(gap, 0) AS positive FROM {_GAPS}"
 
 
@@ -240,10 +240,12 @@ SELECT a.row_id, a.la, a.lo, arg_min(b.row_id, (upper(a.name) <> upper(b.name)):
 
 
 def plan_apply_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A drop plan from every third pin, half of it misnamed, matched and applied; class -1
-    counts what the plan means but is not there."""
+    """A plan to drop all junk names, misnamed in one class and misplaced in another,
+    matched and applied; class -1 counts what the plan means but is not there."""
     p = pins(spark, sf_dir)
-    plan = p.where("row_id % 3 = 0").select(F.col("row_id").alias("plan_id"), F.when(F.col("row_id") % 2 == 0, F.col("name")).otherwise("other").alias("name"), coord_key("lat").alias("p_lat"), (coord_key("lon") + F.when(F.col("row_id") % 15 == 0, 1).otherwise(0)).alias("p_lon"))
+    name = F.when(F.col("rel") == 1, "other").otherwise(F.col("name"))
+    lon = coord_key("lon") + F.when(F.col("rel") == 5, 1).otherwise(0)
+    plan = p.where(drop_reason("name").isNotNull()).select(F.col("row_id").alias("plan_id"), name.alias("name"), coord_key("lat").alias("p_lat"), lon.alias("p_lon"))
     hit = M.match_plan(plan, p)
     kept = M.apply_drops(p, hit.where("row_id is not null"))
     missed = hit.where("row_id is null").agg(F.lit(-1).alias("rel"), F.count("*").alias("n"), F.sum("plan_id").alias("ids"))
@@ -252,7 +254,7 @@ def plan_apply_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PLAN_DROP = f"""
 WITH p AS (SELECT *, floor(lat * 100000e0 + 0.5)::BIGINT AS la, floor(lon * 100000e0 + 0.5)::BIGINT AS lo FROM {C}),
-plan AS (SELECT row_id AS plan_id, CASE WHEN row_id % 2 = 0 THEN name ELSE 'other' END AS name, la, lo + CASE WHEN row_id % 15 = 0 THEN 1 ELSE 0 END AS lo FROM p WHERE row_id % 3 = 0),
+plan AS (SELECT row_id AS plan_id, CASE WHEN rel = 1 THEN 'other' ELSE name END AS name, la, lo + CASE WHEN rel = 5 THEN 1 ELSE 0 END AS lo FROM p WHERE {_REASON} IS NOT NULL),
 m AS (SELECT plan_id, p.row_id, plan.name = p.name AS eq, max((plan.name = p.name)::INT) OVER (PARTITION BY plan_id) AS best FROM plan LEFT JOIN p ON p.la = plan.la AND p.lo = plan.lo),
 h AS (SELECT * FROM m WHERE row_id IS NULL OR eq OR best = 0)
 SELECT rel, count(*) AS n, sum(row_id)::BIGINT AS ids FROM p WHERE row_id NOT IN (SELECT row_id FROM h WHERE row_id IS NOT NULL) GROUP BY rel
@@ -260,25 +262,24 @@ UNION ALL SELECT -1, count(*), sum(plan_id)::BIGINT FROM h WHERE row_id IS NULL"
 
 
 def plan_apply_move(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moves of every fifth pin to or near another pin, guarded, then applied."""
-    p = pins(spark, sf_dir)
-    to = p.select(F.col("row_id").alias("d"), F.col("lat").alias("new_lat"), F.col("lon").alias("new_lon"))
-    dest = F.expr("if((row_id div 10) % 3 = 0, (row_id div 10) * 10 + 2, row_id + 2)")
-    plan = p.select("row_id", "name").where("row_id % 5 = 0").withColumn("d", dest).join(to, "d").drop("d")
-    plan = plan.withColumn("new_lat", F.col("new_lat") + F.when(F.col("row_id") % 4 == 0, 0.0005).otherwise(0.0))
-    guarded = M.guard_near(M.guard_occupied(M.guard_unique(plan), p), p.where("rel = 2"))
+    """Every directory pin moves to the nearest external pin of its class within 1.5 km;
+    moves are guarded, then applied."""
+    p, s = pins(spark, sf_dir), pins(spark, sf_dir, "supplier")
+    near = nearest(distance_pairs(s, p, 1500.0, ["rel"]).select("row_id", "r_row_id", "dist_m", F.col("lat").alias("r_new_lat"), F.col("lon").alias("r_new_lon")), "r_row_id", "row_id")
+    plan = near.select(F.col("r_row_id").alias("row_id"), F.col("r_new_lat").alias("new_lat"), F.col("r_new_lon").alias("new_lon")).join(p.select("row_id", "name"), "row_id")
+    guarded = M.guard_near(M.guard_occupied(M.guard_unique(plan), p), p, 60.0)
     moved = M.apply_moves(p, guarded.where("blocked is null"))
-    return moved.join(guarded.select("row_id", "blocked"), "row_id", "left").groupBy(F.coalesce("blocked", F.when(F.col("moved"), "moved"), F.lit("still")).alias("what")).agg(F.count("*").alias("n"), F.sum(coord_key("lat")).alias("lat_sum"))
+    what = F.coalesce("blocked", F.when(F.col("moved"), "moved"), F.lit("still"))
+    return moved.join(guarded.select("row_id", "blocked"), "row_id", "left").groupBy(what.alias("what")).agg(F.count("*").alias("n"), F.sum(coord_key("lat")).alias("lat_sum"))
 
 
 PLAN_MOVE = f"""
 WITH p AS (SELECT * FROM {C}),
-plan AS (SELECT p.row_id, p.name, t.lat + CASE WHEN p.row_id % 4 = 0 THEN 0.0005e0 ELSE 0e0 END AS new_lat, t.lon AS new_lon
-  FROM p JOIN p t ON t.row_id = CASE WHEN (p.row_id // 10) % 3 = 0 THEN (p.row_id // 10) * 10 + 2 ELSE p.row_id + 2 END WHERE p.row_id % 5 = 0),
+plan AS (SELECT other AS row_id, o_name AS name, lat AS new_lat, lon AS new_lon FROM {_PAIR(S, C, 1500)} QUALIFY row_number() OVER (PARTITION BY other ORDER BY {_MM}, row_id) = 1),
 d AS (SELECT *, floor(new_lat * 100000e0 + 0.5)::BIGINT AS dla, floor(new_lon * 100000e0 + 0.5)::BIGINT AS dlo FROM plan),
 g AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY dla, dlo) > 1 THEN 'shared_destination'
    WHEN EXISTS (SELECT 1 FROM p WHERE floor(p.lat * 100000e0 + 0.5) = dla AND floor(p.lon * 100000e0 + 0.5) = dlo AND p.name <> d.name) THEN 'occupied'
-   WHEN EXISTS (SELECT 1 FROM p WHERE p.rel = 2 AND p.row_id <> d.row_id AND abs(p.lat - new_lat) < 0.001 AND {hav('new_lat', 'new_lon', 'p.lat', 'p.lon')} <= 30e0) THEN 'near_occupied' END AS blocked FROM d)
+   WHEN EXISTS (SELECT 1 FROM p WHERE p.row_id <> d.row_id AND abs(p.lat - new_lat) < 0.001 AND {hav('new_lat', 'new_lon', 'p.lat', 'p.lon')} <= 60e0) THEN 'near_occupied' END AS blocked FROM d)
 SELECT coalesce(g.blocked, CASE WHEN g.row_id IS NOT NULL THEN 'moved' END, 'still') AS what, count(*) AS n,
   sum(floor(CASE WHEN g.row_id IS NOT NULL AND g.blocked IS NULL THEN new_lat ELSE p.lat END * 100000e0 + 0.5)::BIGINT)::BIGINT AS lat_sum
 FROM p LEFT JOIN g ON g.row_id = p.row_id GROUP BY 1"""
@@ -359,23 +360,23 @@ SELECT row_id, component, cluster_size FROM s WHERE rk = 1"""
 
 def replace_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = pins(spark, sf_dir), pins(spark, sf_dir, "supplier")
-    return M.replace_class(c, s.withColumn("rel", F.lit(2)).where("row_id % 2 = 0"), "rel", 2).groupBy("rel").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
+    return M.replace_class(c, s.withColumn("rel", F.lit(2)), "rel", 2).groupBy("rel").agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 
 
-REPLACE_PARTITION = f"SELECT rel, count(*) AS n, sum(row_id)::BIGINT AS ids FROM (SELECT rel, row_id FROM {C} WHERE rel <> 2 UNION ALL SELECT 2, row_id FROM {S} WHERE row_id % 2 = 0) GROUP BY rel"
+REPLACE_PARTITION = f"SELECT rel, count(*) AS n, sum(row_id)::BIGINT AS ids FROM (SELECT rel, row_id FROM {C} WHERE rel <> 2 UNION ALL SELECT 2, row_id FROM {S}) GROUP BY rel"
 
 
 def quota_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As many pins for each class and state as suppliers times thirteen."""
     n = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     needs = n.groupBy(F.col("n_name").alias("state"), (F.col("s_nationkey") % 6).alias("rel")).agg((F.count("*") * 13).alias("need"))
-    out = fill_quota(pins(spark, sf_dir).where("row_id % 5 <> 0"), needs, ["state", "rel"])
+    out = fill_quota(pins(spark, sf_dir), needs, ["state", "rel"])
     return out.select("state", "rel", "slot", "source_id", "synthetic", F.floor(hash01(F.concat_ws(":", "state", "rel"), F.col("slot")) * 1e9).cast("long").alias("h"))
 
 
 _FNV = """list_reduce(list_concat([2166136261::HUGEINT], list_transform(string_split(k, ''), lambda c: ascii(c)::HUGEINT)), lambda a, c: (xor(a, c) * 16777619) % 4294967296::HUGEINT)"""
 QUOTA_FILL = f"""
-WITH p AS (SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY state, rel) AS have FROM {C} WHERE row_id % 5 <> 0 WINDOW w AS (PARTITION BY state, rel ORDER BY row_id)),
+WITH p AS (SELECT *, row_number() OVER w AS nth, count(*) OVER (PARTITION BY state, rel) AS have FROM {C} WINDOW w AS (PARTITION BY state, rel ORDER BY row_id)),
 n AS (SELECT n_name AS state, s_nationkey % 6 AS rel, count(*) * 13 AS need FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2),
 r AS (SELECT p.state, p.rel, nth AS slot, row_id AS source_id, false AS synthetic FROM p JOIN n ON n.state = p.state AND n.rel = p.rel WHERE nth <= need
   UNION ALL SELECT state, rel, have + i + 1, row_id, true FROM (SELECT p.*, unnest(range(nth - 1, need - have, have)) AS i FROM p JOIN n ON n.state = p.state AND n.rel = p.rel WHERE need > have AND nth <= need - have)),
