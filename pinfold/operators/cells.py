@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinfold.functions.geo import DEGREE_M, cell, haversine_m
@@ -71,4 +71,4 @@ def without_near(left: DataFrame, right: DataFrame, radius_m: float, on: list[st
 
 def only_partner(pairs: DataFrame, key: str = "row_id") -> DataFrame:
     """Pairs of the rows that have exactly one partner."""
-    return pairs.withColumn("partners", F.count("*").over(Window.partitionBy(key))).where("partners = 1").drop("partners")
+    return pairs.join(pairs.groupBy(key).agg(F.count("*").alias("partners")).where("partners = 1"), key).drop("partners")

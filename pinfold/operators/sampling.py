@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pinfold.functions.hashing import hash01, jitter
+from pinfold.operators.ranking import spread_rank
+
+#: Ids that are ranked together.
+RUN = 1 << 16
 
 
 def seeded_key(row_id: Column, seed: int) -> Column:
@@ -30,8 +34,9 @@ def fill_quota(pins: DataFrame, needs: DataFrame, keys: list[str], row_id: str =
     around them in turn make up the rest.  Returns ``keys, slot, source_id, synthetic, lat,
     lon``.  Keys without pins get none.
     """
-    w = Window.partitionBy(*keys)
-    ranked = pins.withColumn("nth", F.row_number().over(w.orderBy(row_id))).withColumn("have", F.count("*").over(w))
+    # keys without a need are out first; ids are ranked in runs of RUN, so no key is one task
+    asked = pins.join(needs.where("need > 0").select(*keys), keys, "left_semi").withColumn("run", F.floor(F.col(row_id) / RUN))
+    ranked = spread_rank(asked, keys, ["run"], [row_id], "nth").drop("run").join(asked.groupBy(*keys).agg(F.count("*").alias("have")), keys)
     wanted = ranked.join(needs.where("need > 0").select(*keys, "need"), keys).withColumn("need", F.col("need").cast("long"))
     real = wanted.where("nth <= need").select(*keys, F.col("nth").cast("long").alias("slot"), F.col(row_id).alias("source_id"), F.lit(False).alias("synthetic"), "lat", "lon")
     # the i-th extra pin stands around template i mod have; each template makes its own

@@ -5,7 +5,7 @@ A plan is a table; computing it changes nothing, applying it is a join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinfold.functions.geo import coord_key
@@ -31,7 +31,9 @@ def with_destination(plan: DataFrame) -> DataFrame:
 def guard_unique(plan: DataFrame, also: list[str] | None = None) -> DataFrame:
     """Moves whose destination no other move shares; ``blocked`` says which are not."""
     at = ["d_lat", "d_lon", *(also or [])]
-    return with_destination(plan).withColumn("blocked", F.when(F.count("*").over(Window.partitionBy(*at)) > 1, "shared_destination"))
+    ends = with_destination(plan)
+    shared = ends.groupBy(*at).agg(F.count("*").alias("moves"))
+    return ends.join(shared, at).withColumn("blocked", F.when(F.col("moves") > 1, "shared_destination")).drop("moves")
 
 
 def guard_occupied(plan: DataFrame, rows: DataFrame) -> DataFrame:
@@ -54,8 +56,8 @@ def match_plan(plan: DataFrame, rows: DataFrame) -> DataFrame:
     is null where nothing is there."""
     held = rows.select(coord_key("lat").alias("p_lat"), coord_key("lon").alias("p_lon"), "row_id", F.col("name").alias("r_name"))
     met = plan.join(held, ["p_lat", "p_lon"], "left").withColumn("eq", F.col("name") == F.col("r_name"))
-    best = F.max("eq").over(Window.partitionBy("plan_id"))
-    return met.withColumn("best", best).where("row_id is null or eq or not best").drop("best", "eq", "r_name")
+    best = met.groupBy("plan_id").agg(F.max("eq").alias("best"))
+    return met.join(best, "plan_id").where("row_id is null or eq or not best").drop("best", "eq", "r_name")
 
 
 def replace_class(rows: DataFrame, fresh: DataFrame, column: str, value) -> DataFrame:

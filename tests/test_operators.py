@@ -142,3 +142,18 @@ def test_ledger_adds_up(spark):
     dropped = M.apply_drops(rows, rows.where("row_id < 3"))
     book = M.ledger([("read", rows), ("dropped", dropped)]).orderBy("step").collect()
     assert book[0].n - 3 == book[1].n == 7
+
+
+def test_spread_ranks_and_only_partners(spark):
+    from pyspark.sql import Window
+
+    from pinfold.operators.cells import only_partner
+    from pinfold.operators.ranking import spread_rank
+
+    rng = random.Random(8)
+    df = spark.createDataFrame([(rng.choice("abbbbb"), i, rng.randint(0, 5)) for i in range(500)], "k string, row_id long, x int").withColumn("run", F.floor(F.col("row_id") / 7))
+    ours = spread_rank(df, ["k"], ["run"], ["row_id"], "nth").select("k", "row_id", "nth")
+    theirs = df.select("k", "row_id", F.row_number().over(Window.partitionBy("k").orderBy("row_id")).cast("long").alias("nth"))
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, theirs.collect()))
+    pairs = spark.createDataFrame([(1, 5), (2, 5), (2, 6)], "row_id long, r_row_id long")
+    assert [tuple(r) for r in only_partner(pairs).collect()] == [(1, 5)]
