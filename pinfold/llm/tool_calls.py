@@ -14,9 +14,10 @@ against schemas, and messages are written as canonical JSON: sorted keys, no whi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pinfold.operators.ranking import spread_rank
 from pinfold.runtime import materialise
 
 #: Default schemas: tool, parameter, JSON type (any: not checked), whether it is required.
@@ -115,22 +116,6 @@ def topological(links: DataFrame) -> DataFrame:
     return blank if placed is None else placed.unionByName(blank)
 
 
-def spread_rank(df: DataFrame, by: str, levels: list[str], order: list, name: str) -> DataFrame:
-    """Rank rows of each ``by`` from 1, by ``levels`` and then ``order``.
-
-    Offsets are running sums over the counts of each level, so that a key which holds a
-    third of all rows is ranked by many tasks.  ``by`` and ``levels`` must not be null.
-    """
-    offset = F.lit(0)
-    for depth in range(len(levels)):
-        inner, outer = [by, *levels[: depth + 1]], [by, *levels[:depth]]
-        counts = df.groupBy(*inner).agg(F.count("*").alias("c"))
-        before = counts.select(*inner, (F.sum("c").over(Window.partitionBy(*outer).orderBy(levels[depth])) - F.col("c")).alias(f"before{depth}"))
-        df, offset = df.join(before, inner), offset + F.col(f"before{depth}")
-    ranked = df.withColumn(name, offset + F.row_number().over(Window.partitionBy(by, *levels).orderBy(*order)))
-    return ranked.drop(*[f"before{d}" for d in range(len(levels))])
-
-
 def link_tool_calls(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """One row per row of ``messages(conv_id, turn, role, text)``.
 
@@ -185,5 +170,5 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame | None = None) -> Da
         F.coalesce("at", "turn", F.lit(-(1 << 40))).alias("at"), F.coalesce("depth", F.lit(0)).alias("depth"),
     )
     full = full.withColumn("l1", F.floor(F.col("at") / TURNS)).withColumn("l2", F.struct("at", "depth", F.coalesce("turn", F.lit(-(1 << 40))).alias("t"), F.pmod("mid", F.lit(PARTS)).alias("part")))
-    ranked = spread_rank(full, "conv", ["l1", "l2"], ["mid"], "position")
+    ranked = spread_rank(full, ["conv"], ["l1", "l2"], ["mid"], "position")
     return ranked.select("conv_id", "turn", "position", "role", "kind", "n_calls", "n_answered", "n_invalid", "problems", "status", "message")
