@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that the values of a key are counted in.
+BUCKETS = 1024
+
 
 def levels(df: DataFrame, outer: str, inner: str, measures: dict) -> DataFrame:
     """Totals of all, of each ``outer`` and of each (``outer``, ``inner``) in one pass;
@@ -54,13 +57,18 @@ def gap_report(mapped: DataFrame, counted: DataFrame, keys: list[str]) -> DataFr
 
 
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """The element in the middle of the sorted values, the upper one of two.
+    """The element in the middle of the sorted values, the upper one of two; nulls are left
+    out, keys without values absent.
 
-    Found by rank over value counts, so no key's values are gathered in one row.
+    Values are counted, the counts of each key put into ``BUCKETS`` equal ranges, and only
+    the range that holds the middle is ranked: a hot key is not sorted in one task.
     """
-    from pyspark.sql import Window
-
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    ranked = counts.withColumn("upto", F.sum("c").over(w.orderBy(value))).withColumn("n", F.sum("c").over(w))
+    whole = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BUCKETS - 1))).otherwise(0)
+    placed = counts.join(whole, by).withColumn("bucket", place)
+    held = placed.groupBy(*by, "bucket", "n").agg(F.sum("c").alias("inside"))
+    held = held.withColumn("before", F.sum("inside").over(Window.partitionBy(*by).orderBy("bucket")) - F.col("inside"))
+    middle = held.where(F.expr("before <= n div 2 and n div 2 < before + inside")).select(*by, "bucket", "before")
+    ranked = placed.join(middle, [*by, "bucket"]).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy(*by).orderBy(value)))
     return ranked.where(F.expr("upto > n div 2 and upto - c <= n div 2")).select(*by, F.col(value).alias("upper_median"), "n")
