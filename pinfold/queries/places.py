@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinfold.functions import rules as R
@@ -10,13 +10,13 @@ from pinfold.functions import text as T
 from pinfold.functions.geo import cell, coord_key, haversine_m, rounded, zoom_size
 from pinfold.functions.hashing import hash01
 from pinfold.functions.rules import drop_reason, first_of, near_score, stack_score
-from pinfold.operators.cells import cell_window_pairs, distance_pairs, nearest, only_partner, without_near
+from pinfold.operators.cells import cell_window_pairs, distance_pairs, nearest, without_near
 from pinfold.operators.dedupe import best_of, near_dedupe
 from pinfold.operators.polygons import assign, containing, edges_of, ring_stats
 from pinfold.operators.rollup import count_vectors, gap_report, levels, vector_total
 from pinfold.operators.sampling import click_stack, fill_quota
 from pinfold.plans import moves as M
-from pinfold.queries.names import _REASON, sql_first, sql_says, sql_tokens
+from pinfold.queries.names import _REASON, sql_says, sql_tokens
 from pinfold.queries.pins import POLYGONS, edges_sql, hav, pins, pins_sql, polygons, round_sql
 from pinfold.runtime import table
 
