@@ -11,12 +11,16 @@ from __future__ import annotations
 import itertools
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _serial = itertools.count()
 _folders: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +46,28 @@ def _hadoop(spark: SparkSession, path: str) -> tuple:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers of this application the package, once: they may run elsewhere, or
+    in a folder from which it cannot be imported."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():
+        archive = Path(tempfile.mkdtemp(prefix="pinfold-code-")) / "pinfold_code.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(root.rglob("*.py")):
+                z.write(source, source.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
+def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """``mapInArrow`` whose workers can import this package."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it reread: lineage ends there."""
     spark = df.sparkSession
