@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinfold.runtime import materialise
+from pinfold.runtime import arrow_map, materialise
 
 #: Tokens of a seed, which is also the shortest tile; share of an item that makes a leak, and
 #: tokens of one tile that make one whatever the share.
@@ -183,7 +183,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     for block in _blocks(benchmark, item_id, text_col):
         shared = spark.sparkContext.broadcast(Items(block))
-        found = materialise(plain.mapInArrow(search(shared), schema), "leaks")
+        found = materialise(plain.transform(arrow_map, search(shared), schema), "leaks")
         shared.destroy()
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
@@ -203,5 +203,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         return run
 
     for block in _blocks(benchmark, item_id, "text"):
-        docs = docs.mapInArrow(search(spark.sparkContext.broadcast(Items(block))), docs.schema)
+        docs = docs.transform(arrow_map, search(spark.sparkContext.broadcast(Items(block))), docs.schema)
     return docs

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinfold.operators.components import connected_components
-from pinfold.runtime import materialise
+from pinfold.runtime import arrow_map, materialise
 
 #: Classes the index is fitted on, lists it has at most, classes a list holds on average.
 SAMPLE, MOST_LISTS, PER_LIST = 8192, 4096, 512
@@ -243,7 +243,7 @@ def embedding_near_dedup(
     """
     spark = vectors.sparkSession
     raw = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v"))
-    read = materialise(raw.mapInArrow(_read, "vec_id long, label string, dim int, key binary, vec binary"), "pq-vectors")
+    read = materialise(raw.transform(arrow_map, _read, "vec_id long, label string, dim int, key binary, vec binary"), "pq-vectors")
     classes = materialise(
         read.where("key is not null and vec_id is not null").groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("vec").alias("vec")),
         "pq-classes",
@@ -254,8 +254,8 @@ def embedding_near_dedup(
     fitted = fit_index(_unit([bytes(r.vec) for r in sample], width), max(1, min(MOST_LISTS, n // PER_LIST)), probes) if n else Index(np.zeros((1, width)), np.zeros((SUBSPACES, 1, width // SUBSPACES)), 1)
     shared = spark.sparkContext.broadcast(fitted)
     coded = materialise(
-        classes.select("rep", "weight", "label", "dim", "vec").mapInArrow(
-            _assign(shared, width), "rep long, weight long, label string, dim int, vec binary, lists array<int>, code binary, err double"
+        classes.select("rep", "weight", "label", "dim", "vec").transform(
+            arrow_map, _assign(shared, width), "rep long, weight long, label string, dim int, vec binary, lists array<int>, code binary, err double"
         ),
         "pq-codes",
     )
@@ -273,7 +273,7 @@ def embedding_near_dedup(
     cols = [*at, "eb", "qb", "role", *rest]
     both = e.withColumn("role", F.lit(0)).select(*cols).unionAll(q.withColumn("role", F.lit(1)).select(*cols))
     met = both.repartition(*cols[:5]).sortWithinPartitions(*cols[:6])
-    found = materialise(met.mapInArrow(_search(shared, width, threshold), "src long, dst long, n long"), "pq-links")
+    found = materialise(met.transform(arrow_map, _search(shared, width, threshold), "src long, dst long, n long"), "pq-links")
     groups = connected_components(found)
     links = found.groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("n"))
     named = (

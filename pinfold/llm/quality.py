@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pinfold.runtime import materialise
+from pinfold.runtime import arrow_map, materialise
 
 #: Labelled documents the model is fitted on at most.
 MOST_LABELLED = 12288
@@ -192,7 +192,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     picked = picked.join(sample, "doc_id").select("doc_id", "grade", "t")
     # ids that repeat could exceed the bound, so it is applied again
-    rows = picked.mapInArrow(_learned, "doc_id long, grade int, x binary").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "x").limit(MOST_LABELLED).collect()
+    rows = picked.transform(arrow_map, _learned, "doc_id long, grade int, x binary").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "x").limit(MOST_LABELLED).collect()
     grades = np.array([r.grade for r in rows], np.int64)
     if len(set(grades.tolist())) < 2:
         return Ordinal(np.zeros(0, np.uint32), np.zeros(0), np.full(TOP, -60.0))
@@ -221,7 +221,7 @@ def score_quality(docs: DataFrame, model: Ordinal, text_col: str = "text", keep:
             yield out if keep is None else out.filter(pa.array(tails[:, -1] >= keep))
 
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ours]])
-    return docs.mapInArrow(run, schema)
+    return docs.transform(arrow_map, run, schema)
 
 
 def select_quality(docs: DataFrame, labels: DataFrame, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

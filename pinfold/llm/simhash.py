@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinfold.operators.components import connected_components
-from pinfold.runtime import materialise
+from pinfold.runtime import arrow_map, materialise
 
 BITS = 64
 LEVELS = 3
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(made, pa.int64())], ["doc_id", "fp"])
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    return picked.transform(arrow_map, run, "doc_id long, fp long")
 
 
 class BKTree:
@@ -185,7 +185,7 @@ def hamming_links(classes: DataFrame, radius: int = 2, shard_limit: int = 1024)
         some_hot = hot is not None and not hot.isEmpty()
         fit = keyed.join(hot, ["path", "shard"], "left_anti") if some_hot else keyed
         dealt = fit.select("path", "shard", "fp", "rep").repartition("path", "shard").sortWithinPartitions("path", "shard")
-        edges = dealt.mapInArrow(_forest_of(radius), "src long, dst long")
+        edges = dealt.transform(arrow_map, _forest_of(radius), "src long, dst long")
         found = edges if found is None else found.unionAll(edges)
         if not some_hot:
             break
