@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 _serial = itertools.count()
 _folders: dict[str, str] = {}
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch where the session has Spark's default.
+BATCH_BYTES = str(16 << 20)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +66,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package."""
+    """``mapInArrow`` whose workers can import this package, in batches of ``BATCH_BYTES``
+    unless the session says otherwise: texts are held several times on either side."""
     ship_package(df.sparkSession)
+    if df.sparkSession.conf.get(_BATCH) == "67108864b":
+        df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
     return df.mapInArrow(function, schema)
 
 
