@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from pinfold.llm.decontamination import drop_leaking
 from pinfold.llm.mixing import mix_sources
+from pinfold.llm.near_copies import jaccard_near_dedup
 from pinfold.llm.quality import select_quality
 from pinfold.llm.secrets import scan_secrets
-from pinfold.llm.simhash import simhash_near_dedup
 from pinfold.runtime import materialise, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,8 +26,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, the one with the smallest id; rows without an id stay."""
-    groups = simhash_near_dedup(docs)
+    """One document of each group that similarity 0.8 on five words links, the one with the
+    smallest id; rows without an id stay."""
+    groups = jaccard_near_dedup(docs)
     first = groups.where("doc_id = component_id").select("doc_id").distinct()
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64(*COLUMNS))
     kept = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").withColumn("copy", F.row_number().over(once)).where("copy = 1")
