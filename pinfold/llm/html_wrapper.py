@@ -5,8 +5,8 @@ tree matching: the largest order-preserving mapping of equal-labelled nodes, by
 programming over the children of matched nodes.  A block of the reference that nearly all
 pages of the host share, text included, is template; blocks that vary are content.  What
 markup already names (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments) never counts as content, and an article element bounds it where there is
-one.
+styles, comments) never counts as content, and article elements bound it where there are
+any: all of them but comments and teasers.
 
 Every page is parsed and aligned once, where it lies; template votes are counts per
 (host, reference block) over all pages, combined before they are shuffled.
@@ -46,6 +46,7 @@ DROPPED_WORDS = frozenset(
 )
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
 MAIN_WORDS = frozenset("content main article post entry story article-body articlebody post-content entry-content main-content story-body".split())
+TEASERS = frozenset("teaser teasers preview excerpt related recommended promo promoted sponsored".split())
 CLOSED_BY = {
     **{t: frozenset(["p"]) for t in BLOCK - frozenset("body html option caption td th tr tbody thead tfoot li dt dd".split())},
     "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "option": frozenset(["option"]),
@@ -278,35 +279,40 @@ def _blocks_of(top: Node, in_article: bool) -> list[tuple[Node, str]]:
     return out
 
 
-def _region(root: Node) -> tuple[Node, bool]:
-    """The element that bounds the content, and whether markup names it."""
+def _regions(root: Node) -> tuple[list[Node], bool]:
+    """The elements that bound the content, in page order, and whether markup names them."""
     found: dict[int, list[Node]] = {0: [], 1: [], 2: []}
-    stack = [(root, False)]
+    # entries: node, and the levels of the candidates around it, which it belongs to
+    stack: list[tuple[Node, frozenset[int]]] = [(root, frozenset())]
     while stack:
-        node, inside = stack.pop()
-        for k in node.kids:
-            if isinstance(k, Node) and not _dropped(k, inside):
-                names = _names(k.get()) if k.attrs else set()
-                if k.tag == "article":
-                    found[0].append(k)
-                    continue  # an article in an article belongs to it
-                if k.tag == "main" or k.attrs and ((k.get().get("role") or "") == "main" or (k.get().get("itemprop") or "").lower() == "articlebody"):
-                    found[1].append(k)
-                elif names & MAIN_WORDS and k.tag in BLOCK:
-                    found[2].append(k)
-                stack.append((k, inside))
+        node, around = stack.pop()
+        level = _level(node)
+        if level is not None and level not in around:
+            found[level].append(node)
+            around |= {level}
+        if level != 0:
+            stack.extend((k, around) for k in reversed(node.kids) if isinstance(k, Node) and not _dropped(k, False))
     for level in (0, 1, 2):
-        if found[level]:
-            weighed = [(sum(len(t) for _, t in _blocks_of(n, True)), -k, n) for k, n in enumerate(found[level])]
-            best = max(weighed, key=lambda w: w[:2])
-            if best[0]:
-                return best[2], level < 2
-    return root, False
+        filled = [n for n in found[level] if any(t for _, t in _blocks_of(n, True))]
+        if filled:
+            # teasers are content only where a page has nothing else
+            return [n for n in filled if not _names(n.get()) & TEASERS] or filled, level < 2
+    return [root], False
+
+
+def _level(node: Node) -> int | None:
+    """0 for an article, 1 for a main element, 2 for a block with a main word, else None."""
+    if node.tag == "article":
+        return 0
+    got = node.get()
+    if node.tag == "main" or (got.get("role") or "") == "main" or (got.get("itemprop") or "").lower() == "articlebody":
+        return 1
+    return 2 if got and node.tag in BLOCK and _names(got) & MAIN_WORDS else None
 
 
 def content_blocks(root: Node) -> list[tuple[Node, str]]:
-    top, named = _region(root)
-    return _blocks_of(top, named)
+    tops, named = _regions(root)
+    return [block for top in tops for block in _blocks_of(top, named)]
 
 
 def number(root: Node) -> dict[int, str]:

@@ -80,3 +80,15 @@ def test_nulls_empty_broken_long_and_repeated(spark):
     assert got[5, "http://d.org/5"].text.count("\n") == 5999
     assert got[None, "http://d.org/n"].text == "n"
     assert len(run(spark, rows)) == len(rows) and run(spark, []) == []
+
+
+def test_every_region_of_a_page_is_kept_in_order(spark):
+    pages = [
+        "<body><article><p>one</p></article><div>between</div><article><p>two is longer</p></article><article class=teaser><p>read this as well</p></article></body>",
+        "<body><div class=wrap><div class=entry><p>part 1</p></div><p>not named</p><div class=entry><p>part 2 is longer</p></div></div></body>",
+        "<body><div role=main><p>a</p></div><main><p>b</p><main><p>c</p></main></main></body>",
+        "<body><article class=teaser><p>first</p></article><article class=teaser><p>second</p></article></body>",
+        "<body><article></article><main><p>in main</p></main></body>",
+    ]
+    got = run(spark, [(i, f"http://r{i}.org/", p) for i, p in enumerate(pages)])
+    assert [r.text for r in got] == ["one\ntwo is longer", "part 1\npart 2 is longer", "a\nb\nc", "first\nsecond", "in main"]
