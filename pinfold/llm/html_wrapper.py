@@ -1,33 +1,44 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host are aligned with a reference page of that host (its shortest) by simple
+Pages of one host and layout are aligned with two reference pages of their group by simple
 tree matching: the largest order-preserving mapping of equal-labelled nodes, by dynamic
-programming over the children of matched nodes.  A block of the reference that nearly all
-pages of the host share, text included, is template; blocks that vary are content.  What
-markup already names (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, comments) never counts as content, and article elements bound it where there are
-any: all of them but comments and teasers.
-
-Every page is parsed and aligned once, where it lies; template votes are counts per
-(host, reference block) over all pages, combined before they are shuffled.
+programming over the children of matched nodes; among equally large ones, the one with the
+most equal nodes.  A block of a reference that nearly all distinct pages of the group share,
+text included, is template; blocks that vary are content.  What markup already names (menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) never counts
+as content, and article elements bound it where there are any: all of them but comments and
+teasers.
+
+Every page is parsed and aligned once, where it lies.  Votes are counts per (group,
+reference block) over distinct contents, so that repeated pages are one vote; an article
+that would be template for the most part (``COPY``) is a copy, and is kept whole.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pinfold.runtime import arrow_map, broadcast_checked, materialise
-
-#: A block is template from this share of a host's pages on, from so many pages on.
-SHARE, LEAST_PAGES = 0.8, 5
-#: Cells of the largest dynamic programme; wider nodes are aligned by equal runs from both ends.
-MOST_CELLS = 250_000
+from pinfold.runtime import BROADCAST_BYTES, arrow_map, broadcast_checked, materialise
+
+#: A block is template from this share of the distinct pages of a host and layout on, two at least.
+SHARE, LEAST_PAGES = 0.8, 2
+#: An article is a copy of other pages if template would be more than this share of its characters.
+COPY = 0.75
+#: Cells of a table of the dynamic programme; larger ones are halved, with the same result.
+CELLS = 1 << 20
+#: Pairs of shapes that a reference remembers.
+MOST_KNOWN = 100_000
+#: Elements whose presence makes the layout of a page.
+LAYOUT = r"(?i)<(article|aside|footer|header|main|nav)[ \t\r\n>]"
 #: HTML vocabulary: fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
@@ -36,17 +47,18 @@ BLOCK = frozenset(
     " section summary table tbody td tfoot th thead tr ul caption option".split()
 )
 DROPPED = frozenset(
-    "script style noscript template head title nav footer aside form iframe object embed svg canvas audio video button select textarea input label menu dialog datalist math applet map".split()
+    "script style noscript template head title nav footer aside form iframe object embed svg canvas audio video button select textarea input label menu dialog datalist annotation annotation-xml applet map".split()
 )
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tooltip".split())
 DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter"
-    " subscribe subscription signup login share sharing social discussion sidebar widget widgets related recommended recommendations breadcrumb"
-    " breadcrumbs menu nav navbar navigation pagination pager footer masthead topbar toolbar skip search paywall tags byline-share".split()
+    " subscribe signup login share sharing social sidebar breadcrumb breadcrumbs menu nav navbar navigation pagination pager footer masthead topbar toolbar skip paywall byline-share".split()
 )
+#: Words that name furniture around an article; inside one only where links make up most of the text.
+WEAK_WORDS = frozenset("related recommended recommendations search discussion tags widget widgets subscription".split())
 COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
 MAIN_WORDS = frozenset("content main article post entry story article-body articlebody post-content entry-content main-content story-body".split())
-TEASERS = frozenset("teaser teasers preview excerpt related recommended promo promoted sponsored".split())
+TEASERS = frozenset("card cards teaser teasers preview excerpt related recommended promo promoted sponsored".split())
 CLOSED_BY = {
     **{t: frozenset(["p"]) for t in BLOCK - frozenset("body html option caption td th tr tbody thead tfoot li dt dd".split())},
     "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "option": frozenset(["option"]),
@@ -61,11 +73,11 @@ WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "attrs", "kids", "digest", "size", "number", "core")
+    __slots__ = ("tag", "label", "attrs", "kids", "inner", "digest", "shape", "size", "number", "core")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag, self.attrs, self.kids, self.number = tag, attrs, [], -1
-        self.label, self.digest, self.size, self.core = tag, 0, 1, False
+        self.label, self.inner, self.digest, self.shape, self.size, self.core = tag, [], 0, 0, 1, False
 
     def get(self) -> dict[str, str]:
         return {m[0].lower(): m[1] or m[2] or m[3] for m in ATTR.findall(self.attrs)} if self.attrs else {}
@@ -74,7 +86,12 @@ class Node:
 def parse(page: str) -> Node:
     """DOM tree of a page; kids are nodes or decoded strings.  Any input has a tree."""
     root = Node("#root")
-    stack = [root]
+    stack, opened = [root], Counter()
+
+    def end_from(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
@@ -93,18 +110,15 @@ def parse(page: str) -> Node:
         if closing:
             if tag == "br":
                 stack[-1].kids.append(Node("br"))
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
+            elif opened[tag] > 0:
+                end_from(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         closes = CLOSED_BY.get(tag)
-        if closes:
+        if closes and any(opened[c] > 0 for c in closes):
             k = len(stack) - 1
             while k > 0:
                 if stack[k].tag in closes:
-                    del stack[k:]
+                    end_from(k)
                 elif stack[k].tag in SCOPE:
                     break
                 k -= 1
@@ -121,12 +135,14 @@ def parse(page: str) -> Node:
             at = at or end
             continue
         stack.append(node)
+        opened[tag] += 1
     _measure(root)
     return root
 
 
 def _measure(root: Node) -> None:
-    """Labels, sizes and digests of all nodes, leaves first."""
+    """Labels, sizes, shapes and digests of all nodes, leaves first.  A shape is the tree of
+    labels; a digest has the texts as well."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
@@ -138,86 +154,126 @@ def _measure(root: Node) -> None:
             node.label = f"{node.tag}.{' '.join((got.get('class') or '').split())}.{got.get('role') or ''}"
         parts = [k.digest if isinstance(k, Node) else k.strip() for k in node.kids]
         node.digest = hash((node.label, *[p for p in parts if p != ""]))
-        inner = _inner(node)
+        inner = node.inner = [k for k in node.kids if isinstance(k, Node)]
+        node.shape = hash((node.label, *[k.shape for k in inner]))
         node.size = 1 + sum(k.size for k in inner)
         node.core = node.tag in ("article", "main") or any(k.core for k in inner)
 
 
 def _inner(node: Node) -> list[Node]:
-    return [k for k in node.kids if isinstance(k, Node)]
+    return node.inner
 
 
 def tree_match(a: Node, b: Node, memo: dict) -> int:
-    """Size of the largest mapping of two trees by simple tree matching."""
-    if a.label != b.label:
-        return 0
-    if a.digest == b.digest:
-        return a.size
-    key = (id(a), id(b))
-    got = memo.get(key)
-    if got is None:
-        xs, ys = _inner(a), _inner(b)
-        got = 1
-        if len(xs) * len(ys) > MOST_CELLS:
-            got += sum(1 if x.digest != y.digest else x.size for x, y in _wide(xs, ys))
-        elif xs and ys:
-            got += _align(xs, ys, memo)[-1][-1]
-        memo[key] = got
-    return got
-
-
-def _align(xs: list[Node], ys: list[Node], memo: dict) -> list[list[int]]:
-    """Table of the best matching of the first i and first j children."""
-    table = [[0] * (len(ys) + 1)]
-    for x in xs:
-        above, row, label = table[-1], [0], x.label
-        for j, y in enumerate(ys):
-            best = above[j + 1] if above[j + 1] > row[j] else row[j]
-            if label == y.label:
-                w = above[j] + tree_match(x, y, memo)
-                best = w if w > best else best
-            row.append(best)
-        table.append(row)
-    return table
-
-
-def _wide(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
-    """Children of very wide nodes: runs of equal labels from both ends, in linear space."""
-    n, head, tail = min(len(xs), len(ys)), 0, 0
-    while head < n and xs[head].label == ys[head].label:
+    """Size of the largest mapping of two trees by simple tree matching.
+
+    It depends on shapes alone, so ``memo`` knows it by pairs of shapes.
+    """
+    stack = [(a, b)]
+    while stack:
+        x, y = stack[-1]
+        key = (x.shape, y.shape)
+        if key not in memo:
+            if x.label != y.label or x.shape == y.shape:
+                memo[key] = x.size if x.label == y.label else 0
+            elif todo := _unknown(x.inner, y.inner, memo):
+                stack.extend(todo)
+                continue
+            else:
+                memo[key] = 1 + int(Worth(x.inner, y.inner, memo).best()[-1])
+        stack.pop()
+    return memo[a.shape, b.shape]
+
+
+def _unknown(xs: list[Node], ys: list[Node], memo: dict) -> list[tuple[Node, Node]]:
+    """Pairs of children of equal labels and so far unknown shapes, one of each shape."""
+    left, right = ({n.shape: n for n in nodes}.values() for nodes in (xs, ys))
+    return [(x, y) for x in left for y in right if x.label == y.label and (x.shape, y.shape) not in memo]
+
+
+#: Worth of a matched node; an equal one counts one more.
+EQUAL = 1 << 31
+
+
+class Worth:
+    """What children of two nodes are worth to each other: the size of their mapping, and
+    with ``equal`` their equal nodes where sizes tie."""
+
+    def __init__(self, xs: list[Node], ys: list[Node], memo: dict, equal: bool = False) -> None:
+        left, right = ({n.shape: n for n in nodes} for nodes in (xs, ys))
+        table = [[memo[i, j] if x.label == y.label else 0 for j, y in right.items()] for i, x in left.items()]
+        self.table = np.array(table, np.int64).reshape(len(left), len(right)) * (EQUAL if equal else 1)
+        left, right = ({shape: k for k, shape in enumerate(side)} for side in (left, right))
+        self.rows, self.columns = [left[n.shape] for n in xs], np.array([right[n.shape] for n in ys], np.int64)
+        self.xs, self.digests, self.equal = xs, np.array([y.digest for y in ys], np.int64), equal
+
+    def row(self, i: int, c: int, d: int) -> np.ndarray:
+        worth = self.table[self.rows[i]][self.columns[c:d]]
+        return worth + self.xs[i].size * (self.digests[c:d] == self.xs[i].digest) if self.equal else worth
+
+    def best(self, a: int = 0, b: int | None = None, c: int = 0, d: int | None = None, back: bool = False) -> np.ndarray:
+        """Best worth of children a to b with each beginning of c to d; ``back``: each end."""
+        d = len(self.columns) if d is None else d
+        row = np.zeros(d - c + 1, np.int64)
+        some = range(a, len(self.xs) if b is None else b)
+        for i in reversed(some) if back else some:
+            worth = self.row(i, c, d)
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (worth[::-1] if back else worth)))
+        return row[::-1] if back else row
+
+    def walk(self, a: int, b: int, c: int, d: int) -> Iterator[tuple[int, int]]:
+        """Pairs of the best matching, from its whole table."""
+        table = np.zeros((b - a + 1, d - c + 1), np.int64)
+        for i in range(b - a):
+            table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + self.row(a + i, c, d)))
+        table, i, j = table.tolist(), b - a, d - c
+        while i and j:
+            if table[i][j] == table[i][j - 1]:
+                j -= 1
+            elif table[i][j] == table[i - 1][j]:
+                i -= 1
+            else:
+                i, j = i - 1, j - 1
+                yield a + i, c + j
+
+
+def _pairs(xs: list[Node], ys: list[Node], memo: dict) -> list[tuple[Node, Node]]:
+    """Pairs of the best matching of two lists of children, in linear space."""
+    head, n = 0, min(len(xs), len(ys))
+    # equal ends are worth the most that either side can be
+    while head < n and xs[head].digest == ys[head].digest:
         head += 1
-    while tail < n - head and xs[-1 - tail].label == ys[-1 - tail].label:
+    tail = 0
+    while tail < n - head and xs[-1 - tail].digest == ys[-1 - tail].digest:
         tail += 1
-    return [*zip(xs[:head], ys[:head]), *zip(xs[len(xs) - tail :], ys[len(ys) - tail :])]
+    out = [*zip(xs[:head], ys[:head]), *zip(xs[len(xs) - tail :], ys[len(ys) - tail :])]
+    xs, ys = xs[head : len(xs) - tail], ys[head : len(ys) - tail]
+    if not xs or not ys:
+        return out
+    for x, y in _unknown(xs, ys, memo):
+        tree_match(x, y, memo)
+    worth = Worth(xs, ys, memo, True)
+    stack = [(0, len(xs), 0, len(ys))]
+    while stack:
+        a, b, c, d = stack.pop()
+        if b - a < 2 or (b - a) * (d - c) <= CELLS:
+            out.extend((xs[i], ys[j]) for i, j in worth.walk(a, b, c, d))
+            continue
+        middle = (a + b) // 2
+        cut = c + int(np.argmax(worth.best(a, middle, c, d) + worth.best(middle, b, c, d, back=True)))
+        stack += [(a, middle, c, cut), (middle, b, cut, d)]
+    return out
 
 
-def mapping(a: Node, b: Node) -> dict[int, Node]:
+def mapping(a: Node, b: Node, memo: dict | None = None) -> dict[int, Node]:
     """id of each node of ``a`` that is matched, to its node of ``b``."""
     out: dict[int, Node] = {}
-    memo: dict = {}
+    memo = {} if memo is None else memo
     stack = [(a, b)] if a.label == b.label else []
     while stack:
         x, y = stack.pop()
         out[id(x)] = y
-        xs, ys = _inner(x), _inner(y)
-        if x.digest == y.digest:
-            stack.extend(zip(xs, ys))
-            continue
-        if len(xs) * len(ys) > MOST_CELLS:
-            stack.extend(_wide(xs, ys))
-            continue
-        if not xs or not ys:
-            continue
-        table = _align(xs, ys, memo)
-        i, j = len(xs), len(ys)
-        while i and j:
-            if table[i][j] == table[i][j - 1]:
-                j -= 1
-            elif table[i][j] == table[i - 1][j]:
-                i -= 1
-            else:
-                i, j = i - 1, j - 1
-                stack.append((xs[i], ys[j]))
+        stack.extend(zip(x.inner, y.inner) if x.digest == y.digest else _pairs(x.inner, y.inner, memo))
     return out
 
 
@@ -235,7 +291,23 @@ def _dropped(node: Node, in_article: bool) -> bool:
         return node.tag == "article" and bool(set((got.get("class") or "").lower().split()) & COMMENTS)
     names = _names(got)
     # what wraps the article is layout, whatever its class says
-    return bool(names & COMMENTS) or not node.core and bool(names & DROPPED_WORDS)
+    if names & COMMENTS or not node.core and names & DROPPED_WORDS:
+        return True
+    return not node.core and bool(names & WEAK_WORDS) and (not in_article or _is_links(node))
+
+
+def _is_links(node: Node) -> bool:
+    """Whether half of the characters below a node stand in links."""
+    total = linked = 0
+    stack: list = [(node, False)]
+    while stack:
+        item, inside = stack.pop()
+        if isinstance(item, str):
+            n = len(item.strip())
+            total, linked = total + n, linked + n * inside
+        elif item.tag not in DROPPED:
+            stack.extend((k, inside or item.tag == "a") for k in item.kids)
+    return 2 * linked >= total
 
 
 def _names(got: dict) -> set[str]:
@@ -292,12 +364,14 @@ def _regions(root: Node) -> tuple[list[Node], bool]:
             around |= {level}
         if level != 0:
             stack.extend((k, around) for k in reversed(node.kids) if isinstance(k, Node) and not _dropped(k, False))
+    only_teasers = None
     for level in (0, 1, 2):
-        filled = [n for n in found[level] if any(t for _, t in _blocks_of(n, True))]
-        if filled:
-            # teasers are content only where a page has nothing else
-            return [n for n in filled if not _names(n.get()) & TEASERS] or filled, level < 2
-    return [root], False
+        filled = [n for n in found[level] if _blocks_of(n, True)]
+        if whole := [n for n in filled if not _names(n.get()) & TEASERS]:
+            return whole, level < 2
+        only_teasers = only_teasers or (filled and (filled, level < 2))
+    # teasers are content only where a page has nothing else
+    return only_teasers or ([root], False)
 
 
 def _level(node: Node) -> int | None:
@@ -310,15 +384,16 @@ def _level(node: Node) -> int | None:
     return 2 if got and node.tag in BLOCK and _names(got) & MAIN_WORDS else None
 
 
-def content_blocks(root: Node) -> list[tuple[Node, str]]:
+def content_blocks(root: Node) -> tuple[list[tuple[Node, str]], bool]:
+    """Blocks of the content in page order, and whether markup bounds it."""
     tops, named = _regions(root)
-    return [block for top in tops for block in _blocks_of(top, named)]
+    return [block for top in tops for block in _blocks_of(top, named)], named
 
 
 def number(root: Node) -> dict[int, str]:
     """Number the nodes that hold blocks; their number to their text."""
     texts: dict[int, str] = {}
-    for k, (node, text) in enumerate(content_blocks(root)):
+    for k, (node, text) in enumerate(content_blocks(root)[0]):
         if node.number < 0:
             node.number = k
             texts[k] = text
@@ -327,27 +402,32 @@ def number(root: Node) -> dict[int, str]:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[str, tuple] = {}
-    kind = pa.list_(pa.struct([("text", pa.string()), ("ref", pa.int32()), ("same", pa.bool_())]))
+    kind = pa.list_(pa.struct([("text", pa.string()), ("same", pa.list_(pa.int64()))]))
     for batch in batches:
-        made = []
-        for page, host, reference in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+        made, digests, bounded = [], [], []
+        for page, references in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist()):
             root = parse(page or "")
-            match, texts = {}, {}
-            if reference is not None:
-                if host not in known:
+            blocks, named = content_blocks(root)
+            same: list[list[int]] = [[] for _ in blocks]
+            for r, reference in enumerate(references or ()):
+                if reference not in known:
                     if len(known) >= 256:
                         known.clear()
                     tree = parse(reference)
-                    known[host] = (tree, number(tree))
-                tree, texts = known[host]
-                match = mapping(root, tree)
-            blocks = []
-            for node, text in content_blocks(root):
-                other = match.get(id(node))
-                ref = other.number if other is not None else -1
-                blocks.append({"text": text, "ref": ref, "same": ref >= 0 and texts[ref] == text})
-            made.append(blocks)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(made, kind)], ["page_id", "url", "host", "blocks"])
+                    known[reference] = (tree, number(tree), {})
+                tree, texts, memo = known[reference]
+                if len(memo) > MOST_KNOWN:
+                    memo.clear()
+                match = mapping(root, tree, memo)
+                for (node, text), found in zip(blocks, same):
+                    other = match.get(id(node))
+                    if other is not None and other.number >= 0 and texts[other.number] == text:
+                        found.append((r << 40) + other.number)
+            made.append([{"text": text, "same": found} for (_, text), found in zip(blocks, same)])
+            digests.append(xxhash.xxh3_64_intdigest("\n".join(text for _, text in blocks)) - (1 << 63))
+            bounded.append(named)
+        columns = [*batch.columns[:2], *batch.columns[3:5], pa.array(digests, pa.int64()), pa.array(bounded, pa.bool_()), pa.array(made, kind)]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "host", "layout", "digest", "named", "blocks"])
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -355,29 +435,42 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     ``text`` joins the content blocks in page order by one newline; inside a block white
     space is one space.  It is empty for null, empty or contentless pages.  A null url, or
-    one without a host, is aligned with nothing.  Repeated rows get equal rows; an empty
-    table gives an empty result; other columns are ignored.
+    one without a host, is aligned with nothing.  Repeated rows get equal rows and vote
+    once; an empty table gives an empty result; other columns are ignored.
     """
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
-    plain = plain.withColumn("host", host)
-    rank = F.struct(F.length("html").alias("n"), "page_id", F.xxhash64("html").alias("h"))
-    chosen = plain.where("host is not null and page_id is not null and length(html) > 0")
-    least = chosen.groupBy("host").agg(F.min(rank).alias("least"), F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    least = broadcast_checked(materialise(least.select("host", "pages", "least.*"), "wrapper-least"), "host")
-    same_page = [F.col("p.host") == F.col("l.host"), F.col("p.page_id") == F.col("l.page_id"), F.length("p.html") == F.col("l.n"), F.xxhash64("p.html") == F.col("l.h")]
-    references = materialise(
-        chosen.alias("p").join(least.alias("l"), same_page).select("p.host", F.col("p.html").alias("reference"), "l.pages").dropDuplicates(["host"]), "wrapper-references"
-    )
-    paired = plain.join(broadcast_checked(references.select("host", "reference"), "host", "reference"), "host", "left").select("page_id", "url", "html", "host", "reference")
+    layout = F.array_join(F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LAYOUT), F.lit(1)), F.lower))), " ")
+    group = ["host", "layout"]
+    plain = plain.withColumn("host", host).withColumn("layout", layout)
+    chosen = plain.where("host is not null and length(html) > 0").withColumn("h", F.xxhash64("html"))
+    # least and greatest hash: two pages at random, the same in every run
+    ends = chosen.groupBy(*group).agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
+    ends = broadcast_checked(materialise(ends, "wrapper-ends"), *group)
+    picked = chosen.join(ends, group).where("h = low or h = high").groupBy(*group, "h").agg(F.min("html").alias("html"))
+    references = materialise(picked.groupBy(*group).agg(F.sort_array(F.collect_list("html")).alias("references")), "wrapper-references")
+    paired = plain.join(_sized(references), group, "left").select("page_id", "url", "html", *group, "references")
     cut = materialise(
-        paired.transform(arrow_map, _extract, "page_id long, url string, host string, blocks array<struct<text: string, ref: int, same: boolean>>"), "wrapper-blocks"
+        paired.transform(arrow_map, _extract, "page_id long, url string, host string, layout string, digest long, named boolean, blocks array<struct<text: string, same: array<long>>>"), "wrapper-blocks"
     )
-    votes = cut.where("host is not null").select("host", F.explode(F.array_distinct(F.transform(F.filter("blocks", lambda b: b["same"]), lambda b: b["ref"]))).alias("ref"))
-    votes = votes.groupBy("host", "ref").agg(F.count("*").alias("n"))
-    template = votes.join(references.select("host", "pages"), "host").where(F.col("n") >= share * F.col("pages"))
-    template = materialise(template.groupBy("host").agg(F.collect_set("ref").alias("template")), "wrapper-template")
-    kept = F.filter("blocks", lambda b: ~(b["same"] & F.coalesce(F.array_contains("template", b["ref"]), F.lit(False))))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    out = cut.join(broadcast_checked(template, "host", "template"), "host", "left").select("page_id", "url", text.alias("text"))
+    refs = F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["same"])))
+    distinct = cut.where("host is not null and size(blocks) > 0").groupBy(*group, "digest").agg(F.first(refs).alias("refs"))
+    distinct = materialise(distinct, "wrapper-votes")
+    votes = distinct.select(*group, F.explode("refs").alias("ref")).groupBy(*group, "ref").agg(F.count("*").alias("n"))
+    n_pages = distinct.groupBy(*group).agg(F.count("*").alias("pages"))
+    template = votes.join(n_pages, group).where((F.col("n") >= share * F.col("pages")) & (F.col("n") >= least_pages))
+    template = materialise(template.groupBy(*group).agg(F.collect_set("ref").alias("template")), "wrapper-template")
+    out = cut.join(broadcast_checked(template, *group, "template"), group, "left")
+    out = out.withColumn("varying", F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap("template", b["same"]), F.lit(False))))
+    chars = lambda blocks: F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + F.length(b["text"]))
+    # what copies share is no furniture
+    kept = F.when(F.col("named") & (chars("varying") < (1 - COPY) * chars("blocks")), F.col("blocks")).otherwise(F.col("varying"))
+    out = out.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _sized(references: DataFrame) -> DataFrame:
+    """The references for broadcast, where their measured characters allow."""
+    chars = F.aggregate("references", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    total = references.agg(F.coalesce(F.sum(chars), F.lit(0))).first()[0]
+    return F.broadcast(references) if 2 * total <= BROADCAST_BYTES else references

@@ -92,3 +92,56 @@ def test_every_region_of_a_page_is_kept_in_order(spark):
     ]
     got = run(spark, [(i, f"http://r{i}.org/", p) for i, p in enumerate(pages)])
     assert [r.text for r in got] == ["one\ntwo is longer", "part 1\npart 2 is longer", "a\nb\nc", "first\nsecond", "in main"]
+
+
+def test_deep_pages_and_wide_pages(spark):
+    deep = "<body><article>" + "<div>" * 5000 + "{}" + "</div>" * 5000 + "</article></body>"
+    wide = "<body><article>" + "".join(f"<p>{{0}} line {k}</p>" for k in range(3000)) + "<p>Print this page</p><p>{0} last</p></article></body>"
+    rows = [(i, "http://deep.org/", deep.format(f"text {i}")) for i in range(3)] + [(10 + i, "http://wide.org/", wide.format(f"w{i}" * (i + 1)).replace("<p>", "<p>x</p><p>", i)) for i in range(3)]
+    got = {r.page_id: r.text for r in run(spark, rows)}
+    assert [got[i] for i in range(3)] == [f"text {i}" for i in range(3)]
+    # the constant block is found in the middle, though lines before it were put in
+    assert all("Print this page" not in got[10 + i] and got[10 + i].endswith(f"{f'w{i}' * (i + 1)} last") for i in range(3))
+
+
+def test_halved_tables_give_the_same_matching():
+    rng = random.Random(11)
+    for _ in range(40):
+        pages = ["".join(f"<{t}>{rng.choice('xyz')}</{t}>" for t in rng.choices(["p", "b", "div"], k=rng.randint(0, 12))) for _ in range(2)]
+        a, b = map(H.parse, pages)
+        sizes = []
+        for cells in (1, 1 << 20):
+            H.CELLS, saved = cells, H.CELLS
+            found = H.mapping(a, b)
+            H.CELLS = saved
+            nodes = {id(n): n for n in [a, *a.inner]}
+            sizes.append((len(found), sum(nodes[k].digest == n.digest for k, n in found.items())))
+        assert sizes[0] == sizes[1] and sizes[0][0] == brute(a, b)
+
+
+def test_repeated_and_copied_pages_keep_their_article(spark):
+    page = "<body><article><h1>Title</h1><p>One paragraph that all of them have.</p><p>Another one.</p></article></body>"
+    rows = [(i, "http://same.org/", page) for i in range(6)]
+    assert {r.text for r in run(spark, rows)} == {"Title\nOne paragraph that all of them have.\nAnother one."}
+    # copies that differ in a word are no template either
+    rows = [(i, "http://near.org/", page.replace("Another one", f"Another {i}")) for i in range(6)]
+    assert [r.text for r in run(spark, rows)] == [f"Title\nOne paragraph that all of them have.\nAnother {i}." for i in range(6)]
+
+
+def test_stubs_and_two_pages_of_a_host(spark):
+    stubs = [(100 + i, "http://s.org/", s) for i, s in enumerate([" ", "<p>404</p>", "<html></html>"])]
+    rows = [(i, "http://s.org/", PAGE.format(title=f"Title {i}", first=f"One {i}", second=f"v{i} " * 20)) for i in range(2)]
+    got = {r.page_id: r.text for r in run(spark, rows + stubs)}
+    assert all("Share this page" not in got[i] and f"One {i}" in got[i] for i in range(2))
+    assert got[101] == "404" and got[100] == got[102] == ""
+
+
+def test_regions_by_text_and_words_inside_articles(spark):
+    pages = [
+        "<body><main><div><p>" + "A sentence of the main text. " * 20 + "</p></div><article class=card>Short teaser</article></main></body>",
+        '<body><article><h1>T</h1><section class="related work"><p>Others did this before us, at length.</p></section><p>a<math><mi>x</mi></math></p>'
+        '<div class="related"><a href="/">One link</a><a href="/">two</a></div><div class="ad">Buy</div></article></body>',
+        "<body>" + "<b>" * 300 + "</i>" * 300 + "x</body>",
+    ]
+    got = [r.text for r in run(spark, [(i, f"http://w{i}.org/", p) for i, p in enumerate(pages)])]
+    assert got[0].startswith("A sentence") and got[1] == "T\nOthers did this before us, at length.\nax" and got[2] == "x"
