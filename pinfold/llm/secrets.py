@@ -1,8 +1,9 @@
 """Secret scanning with a random forest against false positives, in DataFrame operations.
 
-Candidates are long runs of token characters with a digit.  A forest trained on labelled
-findings judges each by its length, character transitions, dictionary coverage, the path it
-lies under and the words around it.  The forest is fitted by Spark ML on the bounded table
+Candidates are long runs of token characters with a digit, values that are assigned to a
+name like password, passwords in addresses, and the bodies of private key blocks.  A forest
+trained on labelled findings judges each by its length, character transitions, dictionary
+coverage, the path it lies under and the words around it.  The forest is fitted by Spark ML on the bounded table
 of labelled findings and then written out as one column expression, so scanning a corpus is
 a projection: no shuffle, no Python, no model to ship.
 """
@@ -18,20 +19,31 @@ from pyspark.sql import functions as F
 
 from pinfold.llm.spans import matches, pieces, rebuild
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*\d)[A-Za-z0-9_+/-]{16,}={0,2}"
+#: What leads to a value that is a candidate whatever it looks like, and that value.
+NAMED = r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?)[A-Za-z_]{0,12}[\"'`]?[ \t]{0,3}(?::=|=>|[:=])[ \t]{0,3}[\"'`]?"
+VALUE = r"[^\s\"'`<>&;]{4,}[^\s\"'`<>&.,;:!?)\]}]!?"
+ADDRESS = r"\b[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s:/@\"'`<>]{1,64}:"
+IN_ADDRESS = r"[^\s/@\"'`<>]{3,}(?=@)"
+BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----\s{0,4}"
+BODY = r"[A-Za-z0-9+/=\s]{15,}[A-Za-z0-9+/=]"
+RUN = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*\d)[A-Za-z0-9_+/-]{16,}={0,2}"
+CANDIDATE = f"{NAMED}{VALUE}|{ADDRESS}{IN_ADDRESS}|{BLOCK}{BODY}|{RUN}"
+LEAD = f"^(?:{NAMED}(?={VALUE})|{ADDRESS}|{BLOCK})"
 REDACTED = "[SECRET]"
+#: Characters before a candidate that are its neighbourhood.
+NEAR = 40
 #: Rows of labelled findings the forest is fitted on at most; its size.
 MOST_LABELLED, TREES, DEPTH = 20_000, 15, 6
 #: Words of the dictionary and neighbouring words that speak for or against. Fixed values.
 DICTIONARY = (
     "the and for with that this from have not are was but all can will one out use get set max min time name user data file path line list item page size count type test"
-    " value index order number string table model class token client server config default message version request response session upload download example placeholder"
+    " value index order number string table model class token client server config default message version request response session upload download example placeholder required optional missing invalid expired none null true false string password secret settings environ getenv process"
 ).split()
 CUES = "token secret passwd password pwd api_key apikey access_key private_key credential auth bearer key".split()
 AGAINST = "commit sha sha1 sha256 md5 checksum digest integrity revision uuid guid id order card account invoice isbn tracking phone version build etag".split()
 QUIET_PATHS = "test example sample fixture mock lock docs vendor".split()
 BIGRAMS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le".split()
-FEATURES = ("length", "transitions", "digits", "uppers", "symbols", "hex", "distinct", "bigrams", "dictionary", "cue", "against", "assigned", "quoted", "quiet_path")
+FEATURES = ("length", "transitions", "digits", "uppers", "symbols", "hex", "distinct", "bigrams", "dictionary", "cue", "against", "assigned", "quoted", "quiet_path", "marks", "in_address")
 
 
 def _share(text: Column, keep: str) -> Column:
@@ -48,22 +60,22 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(candidate, "[a-z]", "a"), "[A-Z]", "B"), r"\d", "0"), "[^aB0]", "-")
     runs = F.length(F.regexp_replace(shape, r"(.)\1*", "$1"))
     lower = F.lower(candidate)
-    near, behind = F.right(before, F.lit(40)), F.left(after, F.lit(2))
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(lower, i, F.lit(2)).isin(*BIGRAMS).cast("int"))
+    near, behind = F.right(before, F.lit(NEAR)), F.left(after, F.lit(2))
     word = lambda words: rf"(?i)(?:^|[^A-Za-z0-9])(?:{'|'.join(words)})[^A-Za-z0-9]{{0,12}}$"
     values = (
         n, runs / n, _share(candidate, r"0-9"), _share(candidate, "A-Z"), _share(candidate, "_+/=-"), _flag(candidate.rlike("^[0-9a-fA-F]+$")),
-        F.size(F.array_distinct(F.split(lower, ""))) / n, F.aggregate(pairs, F.lit(0), lambda a, x: a + x) / n,
+        F.size(F.array_distinct(F.split(lower, ""))) / n, F.regexp_count(lower, F.lit(f"(?={'|'.join(BIGRAMS)})")) / n,
         1 - F.length(F.regexp_replace(lower, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / n,
         _flag(near.rlike(word([rf"[a-z_]*{c}" for c in CUES]))), _flag(near.rlike(word(AGAINST))), _flag(near.rlike(r"[=:][^A-Za-z0-9]{0,6}$")),
-        _flag(near.rlike(r"[\"'`]$") & behind.rlike(r"^[\"'`]")), _flag(F.lower(path).rlike("|".join(QUIET_PATHS))),
+        _flag(near.rlike(r"[\"'`]$") & behind.rlike(r"^[\"'`]")), _flag(F.lower(path).rlike("|".join(QUIET_PATHS))), _share(candidate, r"A-Za-z0-9_+/=\s-"), _flag(near.rlike(r"://[^\s:/@]+:$")),
     )
     return F.struct(*[v.cast("double").alias(name) for name, v in zip(FEATURES, values)])
 
 
-def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = 9000) -> DataFrame:
     """Labelled findings ``candidate, before, after, path, label`` made from fixed templates:
-    keys as providers issue them against digests, identifiers, numbers and placeholders."""
+    keys as providers issue them and passwords as people choose them against digests,
+    identifiers, numbers, placeholders, words and code."""
     h = F.sha2(F.concat(F.lit("labelled"), F.col("id").cast("string")), 512)
     r = lambda k: F.conv(F.substring(h, 100 + 2 * k, 2), 16, 10).cast("int")
     some = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), r(k) % len(values) + 1)
@@ -77,7 +89,21 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     closing, prose = some(['"', '"', "'", " "], 5), some(["and the ", "in ", "where it was ", "of them, ", "on "], 2)
     against = F.concat(some(AGAINST, 3), some([" ", ": ", "=", " = "], 4))
     unit = F.when(r(0) % 2 == 0, some(["x", "0", "X", "1", "xyz"], 0)).otherwise(F.translate(F.substring(h, F.lit(1), r(1) % 4 + 1), "0123456", "ghijklm"))
+    letters = F.translate(F.substring(h, F.lit(20), r(2) % 6 + 5), "0123456789", "ghijklmnop")
+    chosen = F.concat(F.when(r(5) % 3 == 0, F.initcap(letters)).otherwise(letters), F.substring(digits, F.lit(1), r(3) % 4 + 1), some(["!", "#", "", "$", "!!", "@1", "*", ""], 4))
+    named = F.concat(some(["the ", "", "my_", "DB_"], 0), some("password passwd pwd secret token api_key Password PASSWORD".split(), 1), some([" = ", ": ", "=", ":", '": '], 2), some(['"', "'", "", '"'], 5))
+    ended, login = some(['"', "'", "\n", '"'], 5), F.concat(some(["postgres://", "https://", "mysql://", "amqp://", "ftp://"], 0), some(["admin", "root", "app", "svc-7"], 1), F.lit(":"))
+    plain_word = F.concat(some(DICTIONARY, 3), F.when(r(6) % 2 == 0, F.lit("")).otherwise(some(["d", "s", "_here", ".get", "s."], 4)))
+    code = F.concat(some(["os.", "self.", "config.", "get", "${", "$", "{{", "process.env."], 6), F.when(r(7) % 2 == 0, F.upper(some(DICTIONARY, 2))).otherwise(some(DICTIONARY, 2)), some(["(", "[", "}", ".value", "()", ""], 8))
+    body = F.concat(F.substring(b64, 1, 38), F.lit("\n"), F.regexp_replace(F.base64(F.unhex(F.substring(h, 11, 80))), "[=]", ""), F.lit("="))
+    common = F.concat(some(BIGRAMS, 0), some(BIGRAMS, 1), some(BIGRAMS, 2), F.when(r(3) % 2 == 0, some(BIGRAMS, 4)).otherwise(""))
+    loose = F.concat(some(["the ", "", "all ", "New "], 0), some("password secret token tokens credentials Password".split(), 1), some([": ", " = ", ":", ": "], 2))
+    image = F.concat(some(["data:image/png;base64,", "data:font/woff;base64,", "src=data:image/gif;base64,"], 0))
     kinds = [
+        (common, loose, some([" ", ".", ", ", "\n"], 5), 0), (F.repeat(b64, r(1) % 40 + 5), image, some(['"', " ", ")"], 5), 0),
+        (chosen, named, ended, 1), (F.concat(F.substring(b64, 1, 6), letters, F.lit("7")), named, ended, 1), (F.when(r(7) % 2 == 0, chosen).otherwise(F.substring(b64, 1, 12)), login, F.lit("@db"), 1),
+        (body, F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), F.lit("\n-----END"), 1),
+        (plain_word, named, ended, 0), (code, named, ended, 0), (F.rpad(F.lit(""), 5 + r(4) % 9, some(["x", "*", ".", "x", "-", "?"], 6)), named, ended, 0), (F.concat(some(DICTIONARY, 2), some(DICTIONARY, 3)), named, ended, 0),
         (hex_, assign, closing, 1), (b64, assign, closing, 1), (F.concat(F.lit("AKIA"), F.substring(F.upper(F.regexp_replace(F.base64(F.unhex(F.substring(h, 1, 64))), "[^A-Za-z0-9]", "")), 1, 15), F.lit("7")), prose, F.lit(" "), 1),
         (F.concat(F.lit("ghp_"), F.substring(F.regexp_replace(b64, "[+/]", "7"), 1, 36)), prose, F.lit("\n"), 1), (F.concat(F.substring(b64, 1, 20), F.lit("_9")), assign, closing, 1), (hex_, assign, closing, 1),
         (hex_, F.concat(prose, F.lit('"')), F.lit('"'), 1),
@@ -131,25 +157,39 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "sourc
     """``docs`` plus ``secret_findings`` (array of ``candidate, votes, is_secret`` in text
     order) and ``redacted``, the text with every secret replaced by ``REDACTED``.
 
-    A string called a secret once in a text is replaced wherever it stands in it.  Texts
-    without candidates, empty and null texts stay as they are; a null path counts as no
-    evidence; repeated rows are judged alike; an empty table gives an empty result.  Other
-    columns are kept; ``secret_findings`` and ``redacted`` must not be among them.
+    A candidate called a secret once in a text is replaced wherever it is a candidate there.
+    Texts without candidates, empty and null texts stay as they are; a null path counts as
+    no evidence; repeated rows are judged alike; an empty table gives an empty result.  All
+    other columns are kept, whatever their names; columns that are called like the two
+    results give way to them.
     """
     forest = fit_forest(labelled_findings(docs.sparkSession) if findings is None else findings)
-    text = F.col(f"`{text_col}`").cast("string")
-    path = F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit(""))
-    kept = list(docs.columns)
-    cut = docs.withColumn("_found", F.coalesce(matches(text, CANDIDATE), F.array().cast("array<string>")))
-    cut = cut.withColumn("_parts", F.when(F.size("_found") > 0, pieces(text, CANDIDATE)))
-    judged = cut.withColumn("_f", F.transform("_found", lambda m, i: features(m, F.element_at("_parts", i + 1), F.element_at("_parts", i + 2), path)))
-    judged = judged.withColumn("_votes", F.transform("_f", lambda f: forest_votes(forest, f)))
-    listed = F.zip_with("_found", "_votes", lambda m, v: F.struct(m.alias("candidate"), v.alias("votes")))
-    judged = judged.withColumn("_listed", listed).withColumn("_bad", F.transform(F.filter("_listed", lambda x: x["votes"] >= threshold), lambda x: x["candidate"]))
-    flagged = F.transform("_listed", lambda x: F.struct(x["candidate"].alias("candidate"), x["votes"].alias("votes"), F.array_contains("_bad", x["candidate"]).alias("is_secret")))
-    inserts = F.transform("_found", lambda m: F.when(F.array_contains("_bad", m), F.lit(REDACTED)).otherwise(m))
-    redacted = F.when(F.size("_bad") > 0, rebuild(F.col("_parts"), inserts)).otherwise(text)
-    return judged.select(*[F.col(f"`{c}`") for c in kept], flagged.alias("secret_findings"), redacted.alias("redacted"))
+    kept = [c for c in docs.columns if c not in ("secret_findings", "redacted")]
+    plain = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{path_col}`").cast("string"), F.lit("")).alias("path")
+    )
+    # most texts hold none of the signs that all but plain runs need
+    signs = F.col("text").contains(":") | F.col("text").contains("=") | F.col("text").contains("-----BEGIN")
+    cut = plain.withColumn("found", F.coalesce(F.when(signs, matches(F.col("text"), CANDIDATE)).otherwise(matches(F.col("text"), RUN)), F.array().cast("array<string>")))
+    cut = cut.withColumn("parts", F.when(F.size("found") > 0, F.when(signs, pieces(F.col("text"), CANDIDATE)).otherwise(pieces(F.col("text"), RUN))))
+    # what leads to a named value is no part of it
+    cut = cut.withColumn("split", F.transform("found", lambda m: F.struct(F.regexp_extract(m, LEAD, 0).alias("lead"), m.alias("whole"))))
+    spots = F.transform(
+        "split",
+        lambda m, i: F.struct(
+            m["lead"].alias("lead"), F.substring(m["whole"], F.length(m["lead"]) + 1, F.length(m["whole"])).alias("candidate"),
+            F.concat(F.right(F.element_at("parts", i + 1), F.lit(NEAR)), m["lead"]).alias("before"), F.left(F.element_at("parts", i + 2), F.lit(2)).alias("after"),
+        ),
+    )
+    cut = cut.withColumn("spots", spots).withColumn("f", F.transform("spots", lambda x: features(x["candidate"], x["before"], x["after"], F.col("path"))))
+    judged = cut.withColumn("votes", F.transform("f", lambda f: forest_votes(forest, f)))
+    judged = judged.withColumn("listed", F.zip_with("spots", "votes", lambda x, v: F.struct(x["lead"].alias("lead"), x["candidate"].alias("candidate"), v.alias("votes"))))
+    judged = judged.withColumn("bad", F.array_distinct(F.transform(F.filter("listed", lambda x: x["votes"] >= threshold), lambda x: x["candidate"])))
+    hit = lambda x: (x["votes"] >= threshold) | F.array_contains("bad", x["candidate"])
+    flagged = F.transform("listed", lambda x: F.struct(x["candidate"].alias("candidate"), x["votes"].alias("votes"), hit(x).alias("is_secret")))
+    inserts = F.transform("listed", lambda x: F.concat(x["lead"], F.when(hit(x), F.lit(REDACTED)).otherwise(x["candidate"])))
+    redacted = F.when(F.size("bad") > 0, rebuild(F.col("parts"), inserts)).otherwise(F.col("text"))
+    return judged.select(*[F.col("row").getField(c).alias(c) for c in kept], flagged.alias("secret_findings"), redacted.alias("redacted"))
 
 
 def secret_findings(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
