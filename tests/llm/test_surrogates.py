@@ -59,3 +59,49 @@ def test_repeated_rows_empty_table_and_a_very_long_text(spark):
     assert len(rows) == 2 and rows[0] == rows[1] and rows[0].rid == 1
     plain = spark.createDataFrame([(1, "b c", 0, 0)], SCHEMA)
     assert S.pseudonymise(plain).where(F.col("text") == "b c").count() == 1
+
+
+def test_a_full_form_is_widened(spark):
+    ips = spark.range(10_000).selectExpr("'ip' as kind", "concat_ws('.', substring(lpad(id, 4, '0'), 1, 1), substring(lpad(id, 4, '0'), 2, 1), substring(lpad(id, 4, '0'), 3, 1), substring(lpad(id, 4, '0'), 4, 1)) as canonical")
+    given = spark.range(500).selectExpr("'given' as kind", "concat('given', id) as canonical")
+    digits = spark.range(100).selectExpr("'ssn' as kind", "lpad(id, 2, '0') as canonical")
+    mails = spark.range(26).selectExpr("'email' as kind", "concat(chr(97 + id), '@b.com') as canonical")
+    ents = ips.unionAll(given).unionAll(digits).unionAll(mails)
+    out = S.surrogate_table(ents, "k").collect()
+    assert len(out) == ents.count()
+    for kind in ("ip", "given", "ssn", "email"):
+        real, made = {r.canonical for r in out if r.kind == kind}, [r.surrogate for r in out if r.kind == kind]
+        assert len(set(made)) == len(real) == len(made) and not real & set(made)
+    assert all(int(part) < 256 for r in out if r.kind == "ip" for part in r.surrogate.split("."))
+
+
+def test_names_keep_their_surname_case_and_script(spark):
+    (r,) = run(spark, ["Mr John Smith came. Mr Smith left, John Smith's hat and Smith stayed. Mr. SMITH! Dr Anna Smith-Jones, Mrs Anna Lee; Mr Ψαράς; Mr MacDonald"])
+    m = re.fullmatch(r"Mr (\w+) (\w+) came\. Mr (\w+) left, (\w+) (\w+)'s hat and (\w+) stayed\. Mr\. (\w+)! Dr ([\w-]+) (\w+), Mrs ([\w-]+) (\w+); Mr (\w+); Mr (\w+)", r.text)
+    assert m, r.text
+    assert m[1] == m[4] and m[1] in S.GIVEN["m", "latin"] and len({m[2], m[3], m[5], m[6], m[7].title()}) == 1 and m[7].isupper()
+    assert m[8] == m[10] in S.GIVEN["f", "latin"]
+    assert all("α" <= c.lower() <= "ω" for c in m[12]) and m[12] != "Ψαράς" and r.n_entities == 9
+
+
+def test_valid_ibans_addresses_and_phones(spark):
+    def iban(country, rest):
+        value = int("".join(str(int(c, 36)) for c in f"{rest}{country}00"))
+        return f"{country}{98 - value % 97:02d}{rest}"
+
+    texts = [f"pay {iban('DE', f'{k:018d}')} now" for k in range(40)] + ["host 2001:db8:0:1:2:3:4:ff and fe80::1:22", "ring 555-123-4567 or 555.123.4567", "write λόγος@πύλη.gr"]
+    got = run(spark, texts)
+    for r in got[:40]:
+        code = r.text.split()[1]
+        assert code != texts[r.doc_id].split()[1] and code[:2] == "DE" and len(code) == 22
+        assert int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+    assert re.fullmatch(r"host (?:[0-9a-f]{1,4}:){7}[0-9a-f]{2} and [0-9a-f]{4}::[0-9a-f]:[0-9a-f]{2}", got[40].text) and "db8" not in got[40].text
+    phones = re.fullmatch(r"ring (\d{3})-(\d{3})-(\d{4}) or (\d{3})\.(\d{3})\.(\d{4})", got[41].text).groups()
+    assert phones[:3] == phones[3:] and phones[:3] != ("555", "123", "4567")
+    assert re.fullmatch(r"write [α-ωό]{5}@[α-ωύ]{4}\.gr", got[42].text) and "λόγος" not in got[42].text
+
+
+def test_keys_decide(spark):
+    df = spark.createDataFrame([(1, "Mr Smith at x.1@a.org", 0, 0)], SCHEMA)
+    one, same, other, fresh = (S.pseudonymise(df, key=k).first().text for k in ("a", "a", "b", None))
+    assert one == same != other and fresh not in (one, other)
