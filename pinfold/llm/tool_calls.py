@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinfold.operators.ranking import spread_rank
-from pinfold.runtime import materialise
+from pinfold.runtime import discard, materialise
 
 #: Default schemas: tool, parameter, JSON type (any: not checked), whether it is required.
 SCHEMAS = (
@@ -91,29 +91,54 @@ def _mark_first(df: DataFrame, order: list[str]) -> DataFrame:
 
 
 def topological(links: DataFrame) -> DataFrame:
-    """Peel ``links(conv_id, a, a_turn, b, b_turn)``, a before b, round by round.
-
-    Gives ``conv_id, mid, at, depth``: the turn that a message moves to and its rank there;
-    both null on or behind a cycle.
+    """Place the messages of ``links(conv_id, a, a_turn, b, b_turn)``, a before b.
+
+    Gives ``conv_id, mid, at, depth, cyclic``: the turn that a message moves to and its rank
+    there, so that every message comes behind all that lead to it.  Where no link of a
+    conversation goes against the turns, they are the order already.  Elsewhere pointers
+    along chains double in every round: a chain of n messages takes log n rounds, messages
+    with several predecessors one round more for each level of them.  What no round places
+    is on or behind a cycle.
     """
     links = materialise(links.distinct(), "calls-links")
-    ends = links.select("conv_id", F.col("a").alias("mid"), F.col("a_turn").alias("turn")).unionAll(links.select("conv_id", F.col("b").alias("mid"), F.col("b_turn").alias("turn")))
-    left, placed = materialise(ends.distinct(), "calls-nodes"), None
-    while not left.isEmpty():
-        waiting = links.join(left.select("conv_id", F.col("mid").alias("a")), ["conv_id", "a"], "left_semi").select("conv_id", F.col("b").alias("mid"))
-        new = left.join(waiting, KEY, "left_anti")
-        if placed is None:
-            new = new.select(*KEY, F.col("turn").alias("at"), F.lit(0).alias("depth"))
-        else:
-            latest = links.join(placed.withColumnRenamed("mid", "a"), ["conv_id", "a"]).groupBy("conv_id", F.col("b").alias("mid")).agg(F.max("at").alias("x"), F.max("depth").alias("d"))
-            new = new.join(latest, KEY).select(*KEY, F.greatest("turn", "x").alias("at"), (F.col("d") + 1).alias("depth"))
-        new = materialise(new, "calls-round")
+    against = materialise(links.where(F.coalesce(F.col("a_turn") >= F.col("b_turn"), F.lit(True))).select("conv_id").distinct(), "calls-against")
+    of_links = lambda df: df.select("conv_id", F.col("a").alias("mid"), F.col("a_turn").alias("turn")).unionAll(df.select("conv_id", F.col("b").alias("mid"), F.col("b_turn").alias("turn"))).distinct()
+    start = F.struct(F.col("turn").alias("at"), F.lit(0).alias("depth"))
+    placed = of_links(links.join(against, "conv_id", "left_anti")).select(*KEY, start.alias("best"))
+    if against.isEmpty():
+        return placed.select(*KEY, "best.*", F.lit(False).alias("cyclic"))
+    some = links.join(against, "conv_id", "left_semi")
+    nodes = materialise(of_links(some), "calls-nodes")
+    # an edge leads to p, a predecessor ``len`` steps back; ``best`` is the place that the
+    # messages between tell; p is null when all before is known
+    edges = materialise(
+        some.select("conv_id", F.col("b").alias("mid"), F.col("a").alias("p"), F.lit(1).alias("len"), F.struct(F.col("b_turn").alias("at"), F.lit(0).alias("depth")).alias("best")), "calls-edges"
+    )
+    known = materialise(nodes.join(edges.select(*KEY), KEY, "left_anti").select(*KEY, start.alias("best")), "calls-known")
+    further = lambda x, n: F.struct(x["at"].alias("at"), (x["depth"] + n).alias("depth"))
+    while not edges.isEmpty():
+        ends = known.select("conv_id", F.col("mid").alias("p"), F.col("best").alias("k_best"))
+        only = edges.groupBy(*KEY).agg(F.count("*").alias("n"), F.first("p").alias("s_p"), F.first("len").alias("s_len"), F.first("best").alias("s_best")).where("n = 1")
+        steps = only.select("conv_id", F.col("mid").alias("p"), "s_p", "s_len", "s_best")
+        met = edges.join(ends, ["conv_id", "p"], "left").join(steps, ["conv_id", "p"], "left")
+        arrives, jumps = F.col("k_best").isNotNull(), F.col("s_p").isNotNull()
+        moved = materialise(
+            met.select(
+                *KEY, F.when(arrives, F.lit(None)).otherwise(F.coalesce("s_p", "p")).alias("p"), F.when(jumps, F.col("len") + F.col("s_len")).otherwise(F.col("len")).alias("len"),
+                F.when(arrives, F.greatest("best", further(F.col("k_best"), F.col("len")))).when(jumps, F.greatest("best", further(F.col("s_best"), F.col("len")))).otherwise(F.col("best")).alias("best"),
+            ),
+            "calls-moved",
+        )
+        new = materialise(moved.groupBy(*KEY).agg(F.max("best").alias("best"), F.count("p").alias("open")).where("open = 0").drop("open"), "calls-known")
+        discard(edges)
         if new.isEmpty():
+            edges = moved
             break
-        placed = new if placed is None else placed.unionByName(new)
-        left = materialise(left.join(new, KEY, "left_anti"), "calls-left")
-    blank = left.select(*KEY, F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("depth"))
-    return blank if placed is None else placed.unionByName(blank)
+        known = known.unionByName(new)
+        edges = materialise(moved.join(new.select(*KEY), KEY, "left_anti"), "calls-edges")
+        discard(moved)
+    cycles = edges.select(*KEY).distinct().select(*KEY, F.lit(None).cast("long").alias("at"), F.lit(None).cast("int").alias("depth"), F.lit(True).alias("cyclic"))
+    return placed.unionByName(known).select(*KEY, "best.*", F.lit(False).alias("cyclic")).unionByName(cycles)
 
 
 def link_tool_calls(messages: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
@@ -152,11 +177,11 @@ def link_tool_calls(messages: DataFrame, schemas: DataFrame | None = None) -> Da
         .join(linked.groupBy("conv_id", F.col("a").alias("mid")).agg(F.countDistinct("a_no").alias("got")), KEY, "left")
         .join(calls.where("not first").select(*KEY).distinct().withColumn("again", F.lit(True)), KEY, "left")
         .join(answered.select(*KEY, "verdict"), KEY, "left")
-        .join(order.withColumn("ordered", F.lit(True)), KEY, "left")
+        .join(order, KEY, "left")
     )
     kind = F.when(F.col("calls").isNotNull(), "call").when(F.col("answers").isNotNull(), "result").otherwise("message")
     status = (
-        F.when(F.col("ordered") & F.col("at").isNull(), "cyclic").when(F.col("verdict").isNotNull(), F.col("verdict"))
+        F.when(F.col("cyclic"), "cyclic").when(F.col("verdict").isNotNull(), F.col("verdict"))
         .when(F.col("answers").isNotNull(), "orphan").when(F.col("again"), "duplicate").otherwise("ok")
     )
     listed = F.transform("calls", lambda c: F.struct(F.try_parse_json(c["arguments"]).alias("arguments"), c["id"].alias("id"), c["name"].alias("name")))
