@@ -9,6 +9,10 @@
   with the code, so the distance filter never loses a pair; only unprobed lists can.
 * What passes is compared by exact cosine in double precision.
 
+Vectors of one length have an index of their own, the ``LENGTHS`` most frequent lengths of
+``LEAST`` classes and more; those of any other length are compared exhaustively, each with
+all of its label and length, which needs no index and loses nothing.
+
 A list and its queries are cut into blocks, and one task step holds one block of each, so
 a list that gathers a third of all vectors is shared by many tasks.  Blocks report link
 counts and a spanning forest, never their pairs.
@@ -31,6 +35,8 @@ from pinfold.runtime import arrow_map, materialise
 #: Classes the index is fitted on, lists it has at most, classes a list holds on average.
 SAMPLE, MOST_LISTS, PER_LIST = 8192, 4096, 512
 SUBSPACES, CENTROIDS, PROBES = 8, 32, 16
+#: Lengths with an index at most, classes of such a length at least, bytes of a length's sample.
+LENGTHS, LEAST, SAMPLE_BYTES = 4, 256, 1 << 28
 #: Entries and queries of one list that meet at a time; queries of one matrix step.
 BLOCK, STEP = 4096, 256
 
@@ -112,40 +118,44 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _unit(raw: list[bytes], width: int) -> np.ndarray:
-    out = np.zeros((len(raw), width))
-    for i, b in enumerate(raw):
-        v = np.frombuffer(b, np.float64)
-        out[i, : len(v)] = v
+def _unit(raw: list[bytes]) -> np.ndarray:
+    """Unit vectors of one length, padded to a multiple of ``SUBSPACES``."""
+    n = len(raw[0]) // 8
+    out = np.zeros((len(raw), -(-n // SUBSPACES) * SUBSPACES))
+    out[:, :n] = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), n)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def _assign(shared, width: int):
+def _assign(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
+        indexes: dict[int, Index] = shared.value
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _unit(batch.column(4).to_pylist(), width)
-            lists = index.lists_of(x)
-            residual = x - index.coarse[lists[:, 0]]
-            codes = index.code(residual)
-            err = np.linalg.norm(residual - index.decode(codes), axis=1)
-            made = [
-                pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32())),
-                pa.array([c.tobytes() for c in codes], pa.binary()),
-                pa.array(err),
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], ["rep", "weight", "label", "dim", "vec", "lists", "code", "err"])
+            dims = batch.column(3).to_numpy()
+            for dim in np.unique(dims):
+                part = batch.filter(pa.array(dims == dim))
+                if index := indexes.get(int(dim)):
+                    x = _unit(part.column(4).to_pylist())
+                    lists = index.lists_of(x)
+                    residual = x - index.coarse[lists[:, 0]]
+                    codes = index.code(residual)
+                    err = np.linalg.norm(residual - index.decode(codes), axis=1)
+                else:
+                    lists, codes, err = np.zeros((part.num_rows, 1)), [b""] * part.num_rows, np.zeros(part.num_rows)
+                made = [pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32())), pa.array([bytes(c) for c in codes], pa.binary()), pa.array(err)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], ["rep", "weight", "label", "dim", "vec", "lists", "code", "err"])
 
     return run
 
 
-def _search(shared, width: int, threshold: float):
+def _search(shared, threshold: float):
     limit = np.sqrt(2 - 2 * threshold)
 
-    def step(index: Index, e: dict, q: dict, cell: int):
+    def step(index: Index | None, e: dict, q: dict, cell: int):
         """Links of a few queries with the entries: (query position, entry position)."""
+        if index is None:
+            qi, ei = np.nonzero((q["x"] @ e["x"].T >= threshold - 1e-9) & (q["rep"][:, None] != e["rep"][None, :]))
+            ok = np.einsum("ij,ij->i", q["x"][qi], e["x"][ei]) >= threshold
+            return qi[ok], ei[ok]
         tables = index.tables(q["x"] - index.coarse[cell])
         d = np.zeros((len(q["x"]), len(e["x"])))
         for s in range(tables.shape[1]):
@@ -160,12 +170,12 @@ def _search(shared, width: int, threshold: float):
 
     def part(rows: list[tuple]) -> dict:
         return {
-            "rep": np.array([r[0] for r in rows], np.int64), "weight": np.array([r[1] for r in rows], np.int64), "x": _unit([r[2] for r in rows], width),
+            "rep": np.array([r[0] for r in rows], np.int64), "weight": np.array([r[1] for r in rows], np.int64), "x": _unit([r[2] for r in rows]),
             "lists": np.array([r[3] for r in rows], np.int32), "codes": np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1), "err": np.array([r[5] for r in rows]),
         }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
+        indexes: dict[int, Index] = shared.value
         key, entries, e, queries = None, [], None, []
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -177,7 +187,7 @@ def _search(shared, width: int, threshold: float):
                     e = part(entries)
                     e["group"], e["count"] = e["rep"].copy(), np.zeros(len(entries), np.int64)
                 q, cell = part(queries), key[2]
-                qi, ei = step(index, e, q, cell)
+                qi, ei = step(indexes.get(key[1]), e, q, cell)
                 if len(qi):
                     count = np.zeros(len(queries), np.int64)
                     np.add.at(count, qi, e["weight"][ei])
@@ -248,14 +258,18 @@ def embedding_near_dedup(
         read.where("key is not null and vec_id is not null").groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.min("vec").alias("vec")),
         "pq-classes",
     )
-    n, widest = classes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
-    width = -(-widest // SUBSPACES) * SUBSPACES
-    sample = classes.select("vec", F.xxhash64("rep", F.lit(7)).alias("h")).orderBy("h", "vec").limit(SAMPLE).collect()
-    fitted = fit_index(_unit([bytes(r.vec) for r in sample], width), max(1, min(MOST_LISTS, n // PER_LIST)), probes) if n else Index(np.zeros((1, width)), np.zeros((SUBSPACES, 1, width // SUBSPACES)), 1)
-    shared = spark.sparkContext.broadcast(fitted)
+    lengths = classes.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()
+    indexes = {}
+    for length in lengths:
+        most = max(LEAST // 4, min(SAMPLE, SAMPLE_BYTES // (8 * length.dim)))
+        sample = classes.where(F.col("dim") == length.dim).select("vec", F.xxhash64("rep", F.lit(7)).alias("h")).orderBy("h", "vec").limit(most).collect()
+        indexes[length.dim] = fit_index(_unit([bytes(r.vec) for r in sample]), max(1, min(MOST_LISTS, length.n // PER_LIST)), probes)
+    shared = spark.sparkContext.broadcast(indexes)
+    # a vector that is alone with its label and length meets nothing
+    company = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     coded = materialise(
-        classes.select("rep", "weight", "label", "dim", "vec").transform(
-            arrow_map, _assign(shared, width), "rep long, weight long, label string, dim int, vec binary, lists array<int>, code binary, err double"
+        classes.join(company, ["label", "dim"], "left_semi").select("rep", "weight", "label", "dim", "vec").transform(
+            arrow_map, _assign(shared), "rep long, weight long, label string, dim int, vec binary, lists array<int>, code binary, err double"
         ),
         "pq-codes",
     )
@@ -273,7 +287,7 @@ def embedding_near_dedup(
     cols = [*at, "eb", "qb", "role", *rest]
     both = e.withColumn("role", F.lit(0)).select(*cols).unionAll(q.withColumn("role", F.lit(1)).select(*cols))
     met = both.repartition(*cols[:5]).sortWithinPartitions(*cols[:6])
-    found = materialise(met.transform(arrow_map, _search(shared, width, threshold), "src long, dst long, n long"), "pq-links")
+    found = materialise(met.transform(arrow_map, _search(shared, threshold), "src long, dst long, n long"), "pq-links")
     groups = connected_components(found)
     links = found.groupBy(F.col("src").alias("rep")).agg(F.sum("n").alias("n"))
     named = (

@@ -89,3 +89,14 @@ def test_distance_tables_match_decoded_vectors():
 
 def test_empty_table(spark):
     assert E.embedding_near_dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_rare_lengths_are_compared_whole_and_pad_nothing(spark):
+    x, labels = vectors(n=400)
+    rng = np.random.default_rng(5)
+    rows = [(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, labels))]
+    for d in (3, 9, 40):
+        base = rng.normal(size=(4, d))
+        rows += [(1000 * d + k, (base[k % 4] + rng.normal(size=d) * 0.1).tolist(), k % 2) for k in range(40)]
+    rows += [(90_000, rng.normal(size=300_000).tolist(), 0), (90_001, [2.0] * 300_000, 1)]
+    check(spark, rows)
