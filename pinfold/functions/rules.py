@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pinfold.functions.geo import in_country, rounded
+from pinfold.functions.text import title_case
+
 RELIGIONS = ("christian", "jewish", "muslim", "hindu", "buddhist", "sikh")
 #: Vocabularies by what they tell, in lower case, words or phrases: fixed values.
 SKIPPED = "elementary school|high school|middle school|kindergarten|daycare|day care|bible society|ymca|ywca|council of churches|cemetery|graveyard|mausoleum"
@@ -113,6 +116,19 @@ def directory_class(name: Column | str, code: Column | str) -> Column:
     return first_of([*rules, (says(name, CHRISTIAN), "christian")])
 
 
+def baked(rows: DataFrame) -> DataFrame:
+    """Directory rows (``row_id, name, code, lat, lon, state, city``) as places: names and
+    cities in title case, five decimals, and ``class``, which is skipped outside the country
+    and unclassified where no rule names one."""
+    cls = F.when(~in_country("lat", "lon", "state"), "skipped").otherwise(F.coalesce(directory_class("name", "code"), F.lit("unclassified")))
+    return rows.select("row_id", title_case("name").alias("name"), cls.alias("class"), rounded("lat", 5).alias("lat"), rounded("lon", 5).alias("lon"), "state", title_case("city").alias("city"))
+
+
+def bake_counters(places: DataFrame) -> DataFrame:
+    """How many rows each class has, skipped and unclassified ones among them."""
+    return places.groupBy("class").agg(F.count("*").alias("n"))
+
+
 def map_class(cls: Column | str, name: Column | str) -> Column:
     """Religion of a map row: by its class, else by its name."""
     c = F.lower(F.trim(_text(cls)))
@@ -142,6 +158,18 @@ def drop_reason(name: Column | str) -> Column:
     return first_of(rules)
 
 
+def landmark(name: Column | str) -> Column:
+    """Whether a name is that of a place people know from far."""
+    return says(name, LANDMARKS)
+
+
+def provenance(city: Column | str, religion: Column | str) -> Column:
+    """gap for rows without a city, directory for those with one; null for muslim rows, whose
+    directory names none."""
+    r = F.col(religion) if isinstance(religion, str) else religion
+    return first_of([(F.coalesce(r, F.lit("")) == "muslim", None), (F.trim(_text(city)) == "", "gap")], "directory")
+
+
 def shell_reason(name: Column | str, religion: Column | str) -> Column:
     """Why a row is an organisation's shell, null to keep it."""
     r = F.col(religion) if isinstance(religion, str) else religion

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pinfold.functions.geo import DEGREE_M, cell
 from pinfold.operators.cells import distance_pairs
 from pinfold.operators.components import connected_components
 
@@ -29,10 +30,22 @@ def last_by(df: DataFrame, by: list[str], order: str) -> DataFrame:
 
 
 def near_clusters(pins: DataFrame, radius_m: float, on: list[str], row_id: str = "row_id") -> DataFrame:
-    """``row_id, component`` of all pins: chains of equal keys within the radius."""
-    lean = pins.select(row_id, "lat", "lon", *on)
-    pairs = distance_pairs(lean, lean, radius_m, on).where(F.col(row_id) < F.col(f"r_{row_id}"))
-    groups = connected_components(pairs.select(F.col(row_id).alias("src"), F.col(f"r_{row_id}").alias("dst")))
+    """``row_id, component`` of all pins: chains of equal keys within the radius.
+
+    Equal places are one place, and the places of one key in a cell whose diagonal is below
+    the radius are one chain: they have an edge each, not one for each pair.
+    """
+    lean = pins.select(row_id, "lat", "lon", *on).where("lat is not null and lon is not null")
+    place = lean.groupBy(*on, "lat", "lon").agg(F.min(row_id).alias(row_id))
+    side = DEGREE_M / (radius_m * 0.7)
+    celled = place.withColumn("cy", cell("lat", side)).withColumn("cx", cell("lon", side))
+    first = celled.groupBy(*on, "cy", "cx").agg(F.min(row_id).alias("dst"))
+    chained = celled.join(first, [*on, "cy", "cx"]).select(F.col(row_id).alias("src"), "dst")
+    same = lean.join(place.withColumnRenamed(row_id, "dst"), [*on, "lat", "lon"]).select(F.col(row_id).alias("src"), "dst")
+    pairs = distance_pairs(place, place, radius_m, on).where(F.col(row_id) < F.col(f"r_{row_id}"))
+    apart = (cell("lat", side) != cell("r_lat", side)) | (cell("lon", side) != cell("r_lon", side))
+    near = pairs.where(apart).select(F.col(row_id).alias("src"), F.col(f"r_{row_id}").alias("dst"))
+    groups = connected_components(near.unionAll(chained).unionAll(same))
     return pins.select(row_id).join(groups.withColumnRenamed("node", row_id), row_id, "left").select(row_id, F.coalesce("component", row_id).alias("component"))
 
 

@@ -2,17 +2,19 @@
 
 ``edges`` has one row an edge: ``poly_id, x1, y1, x2, y2`` (x is the longitude), outer
 rings and holes alike.  A point is inside where a ray to the east crosses an odd number of
-edges.  Edges are dealt to the rows of a latitude grid they span, so points and edges meet
-in an equi-join.
+edges.  Points first meet the polygons whose box covers their cell of a grid, and then only
+the edges of those, in the row of the grid they lie in: both are equi-joins, and a point
+never meets the edges of polygons far to its east or west.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of the latitude grid per degree.
-BANDS = 50
+#: Rows of the latitude grid per degree; cells per degree that boxes of polygons are dealt to,
+#: and cells of a box beyond which coarser ones are taken.
+BANDS, CELLS, MOST_CELLS = 50, 4, 4096
 
 
 def edges_of(polygons: DataFrame, poly_id: str = "poly_id", rings: str = "rings") -> DataFrame:
@@ -24,13 +26,28 @@ def edges_of(polygons: DataFrame, poly_id: str = "poly_id", rings: str = "rings"
 
 
 def geojson_polygons(spark: SparkSession, documents: DataFrame, column: str = "value") -> DataFrame:
-    """``poly_id, state, county, rings`` of the features of GeoJSON texts (Polygon and
-    MultiPolygon; properties id, s, c)."""
-    schema = "struct<features: array<struct<properties: struct<id: string, s: string, c: string>, geometry: struct<type: string, coordinates: string>>>>"
+    """``poly_id, state, county, rings`` of the features of GeoJSON texts (Polygon,
+    MultiPolygon and collections of them; properties id, s, c).  Rings without an area, and
+    features without a ring, are left out."""
+    plain = "type: string, coordinates: string"
+    schema = f"struct<features: array<struct<properties: struct<id: string, s: string, c: string>, geometry: struct<{plain}, geometries: array<struct<{plain}>>>>>>"
     f = documents.select(F.explode(F.from_json(column, schema).getField("features")).alias("f"))
     ring = "array<array<array<double>>>"
-    many = F.when(F.col("f.geometry.type") == "MultiPolygon", F.flatten(F.from_json("f.geometry.coordinates", f"array<{ring}>"))).otherwise(F.from_json("f.geometry.coordinates", ring))
-    return f.select(F.col("f.properties.id").alias("poly_id"), F.col("f.properties.s").alias("state"), F.col("f.properties.c").alias("county"), many.alias("rings")).where("rings is not null")
+
+    def rings(g: Column) -> Column:
+        several, one = F.flatten(F.from_json(g["coordinates"], f"array<{ring}>")), F.from_json(g["coordinates"], ring)
+        return F.when(g["type"] == "MultiPolygon", several).when(g["type"] == "Polygon", one).otherwise(F.array().cast(ring))
+
+    parts = F.flatten(F.transform(F.col("f.geometry.geometries"), rings))
+    many = F.when(F.col("f.geometry.type") == "GeometryCollection", parts).otherwise(rings(F.col("f.geometry")))
+    whole = F.filter(many, lambda r: F.abs(ring_area(r)) > 0)
+    return f.select(F.col("f.properties.id").alias("poly_id"), F.col("f.properties.s").alias("state"), F.col("f.properties.c").alias("county"), whole.alias("rings")).where("size(rings) > 0")
+
+
+def ring_area(ring: Column) -> Column:
+    """Signed area of a closed ring of ``[x, y]``, in square degrees."""
+    ends = F.zip_with(F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), lambda a, b: a[0] * b[1] - b[0] * a[1])
+    return F.aggregate(ends, F.lit(0.0), lambda s, x: s + x) / 2
 
 
 def _banded(edges: DataFrame) -> DataFrame:
@@ -38,11 +55,31 @@ def _banded(edges: DataFrame) -> DataFrame:
     return edges.withColumn("band", F.explode(F.sequence(low, high)))
 
 
+def candidates(points: DataFrame, edges: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """``row_id, lat, lon, poly_id`` of the polygons whose box holds each point.
+
+    A box is dealt to the cells of the finest grid (``CELLS`` a degree, halved step by step)
+    on which it has ``MOST_CELLS`` at most; points look on every grid that is in use.
+    """
+    box = edges.groupBy("poly_id").agg(
+        F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east"), F.min(F.least("y1", "y2")).alias("south"), F.max(F.greatest("y1", "y2")).alias("north")
+    )
+    grids = [CELLS / 2.0**k for k in range(0, 12, 2)]
+    span = lambda low, high, g: F.floor(F.col(high) * g) - F.floor(F.col(low) * g) + 1
+    grid = F.coalesce(*[F.when(span("west", "east", g) * span("south", "north", g) <= MOST_CELLS, F.lit(g)) for g in grids[:-1]], F.lit(grids[-1]))
+    cells = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) * F.col("grid")), F.floor(F.col(high) * F.col("grid"))))
+    dealt = box.withColumn("grid", grid).withColumn("cy", cells("south", "north")).withColumn("cx", cells("west", "east"))
+    p = points.select(row_id, "lat", "lon").where("lat is not null and lon is not null").withColumn("grid", F.explode(F.array(*[F.lit(g) for g in grids])))
+    p = p.withColumn("cy", F.floor(F.col("lat") * F.col("grid"))).withColumn("cx", F.floor(F.col("lon") * F.col("grid")))
+    met = p.join(dealt, ["grid", "cy", "cx"]).where("lat between south and north and lon between west and east")
+    return met.select(row_id, "lat", "lon", "poly_id")
+
+
 def containing(points: DataFrame, edges: DataFrame, row_id: str = "row_id") -> DataFrame:
     """``row_id, poly_id`` of the polygon that holds or touches each point; the smallest
     id where there are several.  Points outside all polygons are absent."""
-    p = points.select(row_id, "lat", "lon").where("lat is not null and lon is not null").withColumn("band", F.floor(F.col("lat") * BANDS))
-    met = p.join(_banded(edges.select("poly_id", "x1", "y1", "x2", "y2")), "band")
+    p = candidates(points, edges, row_id).withColumn("band", F.floor(F.col("lat") * BANDS))
+    met = p.join(_banded(edges.select("poly_id", "x1", "y1", "x2", "y2")), ["poly_id", "band"])
     crosses = F.expr("(y1 > lat) <> (y2 > lat)") & F.expr("lon < (x2 - x1) * (lat - y1) / (case when y2 = y1 then 1.0 else y2 - y1 end) + x1")
     touches = F.expr("(x2 - x1) * (lat - y1) = (lon - x1) * (y2 - y1) and lon between least(x1, x2) and greatest(x1, x2) and lat between least(y1, y2) and greatest(y1, y2)")
     hits = met.groupBy(row_id, "poly_id").agg(F.sum(crosses.cast("int")).alias("n"), F.max(touches.cast("int")).alias("t")).where("n % 2 = 1 or t = 1")
@@ -66,6 +103,21 @@ def nearest_border(points: DataFrame, edges: DataFrame, reach_deg: float, row_id
     return best.select(row_id, F.col("b.poly_id").alias("poly_id"), F.col("b.deg").alias("deg"))
 
 
+def within_tolerance(points: DataFrame, edges: DataFrame, tolerance_deg: float = 1e-4, row_id: str = "row_id") -> DataFrame:
+    """``row_id, poly_id`` of points inside a polygon or as near as the tolerance."""
+    return assign(points, edges, tolerance_deg, row_id).where("poly_id is not null").select(row_id, "poly_id")
+
+
+def canary(edges: DataFrame, lat: float, lon: float, poly_id: str, tolerance_deg: float = 1e-4) -> None:
+    """Raise unless a point that is known to lie in a polygon is found there: run before a
+    long job, it tells a wrong or empty polygon table."""
+    spark = edges.sparkSession
+    point = spark.range(1).select(F.lit(-1).cast("long").alias("row_id"), F.lit(float(lat)).alias("lat"), F.lit(float(lon)).alias("lon"))
+    found = within_tolerance(point, edges, tolerance_deg).collect()
+    if [r.poly_id for r in found] != [poly_id]:
+        raise ValueError(f"the canary at {lat}, {lon} is in {[r.poly_id for r in found]}, not in {poly_id}")
+
+
 def assign(points: DataFrame, edges: DataFrame, reach_deg: float = 0.05, row_id: str = "row_id") -> DataFrame:
     """``row_id, poly_id, how``: inside, near a border, or neither (null)."""
     inside = containing(points, edges, row_id).withColumn("how", F.lit("inside"))

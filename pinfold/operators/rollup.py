@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the values of a key are counted in.
+from pinfold.functions.geo import clean_fips
+
+#: Values of a key that bound the ranges its values are counted in, about.
 BUCKETS = 1024
 
 
@@ -38,6 +40,20 @@ def vector_total(vectors: DataFrame, active: list[int], name: str = "total") ->
     return vectors.withColumn(name, total).where(F.col(name) > 0)
 
 
+def census_cube(groups: DataFrame, size: int) -> DataFrame:
+    """``level, key, counts`` of ``groups(fips, state, pos, n)`` by county, by state and for
+    the whole country.
+
+    Counts of zero and less, and rows without a county code, are left out; rows without a
+    known state count for the country.
+    """
+    valid = groups.withColumn("fips", clean_fips("fips")).where((F.col("n") > 0) & (F.col("fips") != ""))
+    sums = F.array(*[F.coalesce(F.sum(F.when(F.col("pos") == i, F.col("n"))), F.lit(0)).cast("long") for i in range(size)])
+    out = valid.withColumn("state", F.coalesce("state", F.lit(""))).groupingSets([["fips"], ["state"], []], "fips", "state").agg(F.grouping_id().alias("gid"), sums.alias("counts"))
+    level = F.when(F.col("gid") == 1, "county").when(F.col("gid") == 2, "state").otherwise("country")
+    return out.select(level.alias("level"), F.coalesce("fips", "state", F.lit("")).alias("key"), "counts").where("level <> 'state' or key <> ''")
+
+
 def label_of(df: DataFrame, key: str, label: str, row_id: str, last: bool) -> DataFrame:
     """One label of each key: that of the last row, or of the first."""
     pick = F.max_by if last else F.min_by
@@ -58,15 +74,19 @@ def gap_report(mapped: DataFrame, counted: DataFrame, keys: list[str]) -> DataFr
 
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The element in the middle of the sorted values, the upper one of two; nulls are left
-    out, keys without values absent.
+    out, keys without values absent.  Values may be of any ordered type.
 
-    Values are counted, the counts of each key put into ``BUCKETS`` equal ranges, and only
-    the range that holds the middle is ranked: a hot key is not sorted in one task.
+    Values are counted, and the counts of each key ranked in two levels by the places of a
+    sample of its values: however values are spread, no part holds much more than its share
+    of them, and a hot key is not sorted in one task.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    whole = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * (BUCKETS - 1))).otherwise(0)
-    placed = counts.join(whole, by).withColumn("bucket", place)
+    # different values that a hash picks, fewer the more a key has
+    size = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.count("*").alias("kinds"))
+    marked = counts.join(size, by).withColumn("mark", F.pmod(F.xxhash64(value), F.greatest(F.floor(F.col("kinds") / BUCKETS), F.lit(1))) == 0)
+    bounds = marked.where("mark").groupBy(*by).agg(F.array_sort(F.collect_set(value)).alias("bounds"))
+    below = F.size(F.filter("bounds", lambda b: b <= F.col(value)))
+    placed = marked.join(bounds, by, "left").select(*by, value, "c", "n", F.coalesce(below, F.lit(0)).alias("bucket"))
     held = placed.groupBy(*by, "bucket", "n").agg(F.sum("c").alias("inside"))
     held = held.withColumn("before", F.sum("inside").over(Window.partitionBy(*by).orderBy("bucket")) - F.col("inside"))
     middle = held.where(F.expr("before <= n div 2 and n div 2 < before + inside")).select(*by, "bucket", "before")

@@ -27,6 +27,27 @@ def spread_sample(df: DataFrame, stratum: str, n: int, seed: int, row_id: str =
     return ranked.orderBy("turn", stratum).limit(n).drop("pick_key")
 
 
+def first_rows(df: DataFrame, k: int, row_id: str = "row_id") -> DataFrame:
+    """The first ``k`` rows in scan order."""
+    return df.orderBy(row_id).limit(k)
+
+
+def quota_sample(df: DataFrame, bucket: str, quotas: dict, stratum: str, seed: int, row_id: str = "row_id") -> DataFrame:
+    """As many rows of each bucket as its quota says, spread over the strata."""
+    out = None
+    for value, n in quotas.items():
+        part = spread_sample(df.where(F.col(bucket) == value), stratum, n, seed, row_id)
+        out = part if out is None else out.unionByName(part)
+    return df.withColumn("turn", F.lit(0)).limit(0) if out is None else out
+
+
+def far_and_random(df: DataFrame, length: str, n_far: int, n_random: int, seed: int, row_id: str = "row_id") -> DataFrame:
+    """The farthest rows, and others in a seeded order; ``pick`` tells which."""
+    far = df.orderBy(F.desc(length), row_id).limit(n_far).withColumn("pick", F.lit("far"))
+    rest = df.join(far.select(row_id), row_id, "left_anti").withColumn("pick_key", seeded_key(F.col(row_id), seed))
+    return far.unionByName(rest.orderBy("pick_key", row_id).limit(n_random).drop("pick_key").withColumn("pick", F.lit("random")))
+
+
 def fill_quota(pins: DataFrame, needs: DataFrame, keys: list[str], row_id: str = "row_id") -> DataFrame:
     """Exactly ``need`` pins for each key of ``needs`` that has any pin.
 
@@ -50,11 +71,14 @@ def fill_quota(pins: DataFrame, needs: DataFrame, keys: list[str], row_id: str =
 def click_stack(pins: DataFrame, x: float, y: float, hit: float = 24.0, penalty: float = 36.0, slack: float = 0.25) -> DataFrame:
     """Pins (screen ``x, y``) tied for nearest to a click, the rarer class first.
 
-    ``synthetic`` pins count as farther by ``penalty``; only pins within ``hit`` are seen,
-    which bounds what the ranking gathers.
+    ``synthetic`` pins count as farther by ``penalty``; only pins within ``hit`` are seen.
+    At a coarse zoom these may be many: they are ranked class by class and by the beginnings
+    of their names, not in one task.
     """
     d = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y) + F.when(F.col("synthetic"), penalty).otherwise(0.0)
     seen = pins.withColumn("d", d).where(F.col("d") <= hit * hit)
-    tied = seen.withColumn("best", F.min("d").over(Window.partitionBy())).where(F.col("d") <= F.col("best") + slack)
-    tied = tied.withColumn("same", F.count("*").over(Window.partitionBy("rel")))
-    return tied.withColumn("nth", F.row_number().over(Window.orderBy("same", "rel", "name", "row_id"))).drop("best", "same", "d")
+    best = seen.agg(F.min("d").alias("best"))
+    tied = seen.join(F.broadcast(best), F.col("d") <= F.col("best") + slack)
+    same = tied.groupBy("rel").agg(F.count("*").alias("same"))
+    ranked = tied.join(F.broadcast(same), "rel").withColumn("all", F.lit(0)).withColumn("turn", F.struct("same", "rel")).withColumn("start", F.substring("name", 1, 12))
+    return spread_rank(ranked, ["all"], ["turn", "start"], ["name", "row_id"], "nth").drop("best", "same", "d", "all", "turn", "start")

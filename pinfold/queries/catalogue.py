@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pinfold.queries import names, places
+from pinfold.queries import names, places, reviews
 
-QUERIES = {**names.QUERIES, **places.QUERIES}
-SQL = {**names.SQL, **places.SQL}
+QUERIES = {**names.QUERIES, **places.QUERIES, **reviews.QUERIES}
+SQL = {**names.SQL, **places.SQL, **reviews.SQL}

@@ -9,6 +9,7 @@ from pinfold.functions import rules as R
 from pinfold.functions import text as T
 from pinfold.operators.dedupe import first_by, last_by
 from pinfold.operators.rollup import upper_median
+from pinfold.operators.token_sets import similar_sets
 from pinfold.operators.sampling import spread_sample
 from pinfold.queries.pins import pins, pins_sql, suffix
 from pinfold.runtime import table
@@ -128,9 +129,8 @@ SELECT row_id, array_to_string(a, ' ') AS a, array_to_string(b, ' ') AS b, array
 def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of distinct part names that share their first token and are similar."""
     names = named_parts(spark, sf_dir).select("name").distinct().withColumn("t", T.tokens_a("name")).where(F.size("t") > 0).withColumn("block", F.element_at("t", 1))
-    other = names.select(F.col("name").alias("o_name"), F.col("t").alias("o_t"), "block")
-    pairs = names.join(other, "block").where("name < o_name").withColumn("j", T.jaccard("t", "o_t"))
-    return pairs.where((F.col("j") >= 0.5) | T.name_match("t", "o_t")).select("name", "o_name", F.floor(F.col("j") * 1000 + 0.5).cast("long").alias("j1000"), T.name_match("t", "o_t").alias("is_match"))
+    pairs = similar_sets(names, "name", "t", 0.5, ["block"]).withColumn("j", T.jaccard("t", "r_t"))
+    return pairs.select("name", F.col("r_name").alias("o_name"), F.floor(F.col("j") * 1000 + 0.5).cast("long").alias("j1000"), T.name_match("t", "r_t").alias("is_match"))
 
 
 TOKEN_JACCARD_PAIRS = f"""

@@ -9,6 +9,7 @@ as in tests.
 from __future__ import annotations
 
 import itertools
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,6 +37,8 @@ def scratch_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _folders:
         shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.match(r"local(\[[^-]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _folders[app] = f"{shared.rstrip('/')}/{app}" if shared else tempfile.mkdtemp(prefix="pinfold-")
         files, path = _hadoop(spark, _folders[app])
         files.mkdirs(path)
@@ -66,10 +69,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, function: Callable, schema) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package, in batches of ``BATCH_BYTES``
-    unless the session says otherwise: texts are held several times on either side."""
+    """``mapInArrow`` whose workers can import this package, in batches of ``BATCH_BYTES``:
+    texts are held several times on either side.  The size is a setting of the session; one
+    that was set by anyone else is left alone."""
     ship_package(df.sparkSession)
-    if df.sparkSession.conf.get(_BATCH) == "67108864b":
+    if not df.sparkSession._jsparkSession.sessionState().conf().contains(_BATCH):
         df.sparkSession.conf.set(_BATCH, BATCH_BYTES)
     return df.mapInArrow(function, schema)
 

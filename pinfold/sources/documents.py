@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pinfold.operators.cells import distance_pairs, nearest
+
 PLACE_FIELDS = (("name", "string"), ("rel", "int"), ("lat", "double"), ("lon", "double"), ("state", "string"), ("county", "string"), ("city", "string"), ("fips", "string"))
 
 
@@ -31,6 +35,32 @@ def read_overpass(spark: SparkSession, path: str) -> DataFrame:
     return e.select(F.concat_ws("/", "type", "id").alias("osm"), *[F.coalesce(F.col("tags")[t], F.lit("")).alias(t) for t in ("name", "religion", "denomination")], *at).where("lat is not null and lon is not null")
 
 
+def tiles(box: tuple[float, float, float, float], rows: int = 2, columns: int = 2) -> list[tuple[float, float, float, float]]:
+    """A box (south, north, west, east) cut into equal tiles, to be read one by one."""
+    south, north, west, east = box
+    y = [south + (north - south) * k / rows for k in range(rows + 1)]
+    x = [west + (east - west) * k / columns for k in range(columns + 1)]
+    return [(y[i], y[i + 1], x[j], x[j + 1]) for i in range(rows) for j in range(columns)]
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame], least_bytes: int = 1000) -> DataFrame:
+    """The Parquet table at ``path`` if its files hold ``least_bytes`` and more, else
+    ``build()`` written there: what a failed pull left behind is not taken for a source."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place) or files.getContentSummary(place).getLength() < least_bytes:
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def optional(spark: SparkSession, path: str, schema: str, kind: str = "parquet") -> DataFrame:
+    """A source that may be absent: an empty table of its columns then."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.format(kind).schema(schema).load(path)
+
+
 def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     reader = spark.read.option("sep", "\t").option("header", True)
     return (reader.schema(schema) if schema else reader).csv(path)
@@ -55,10 +85,18 @@ def content_digest(df: DataFrame) -> str:
 
 
 def with_cached_geocodes(rows: DataFrame, cache: DataFrame, address: str = "address") -> DataFrame:
-    """Coordinates from a table of known addresses; ``status`` is empty, pobox, ok or
-    nomatch.  No network is asked."""
+    """Coordinates from a table of known addresses; ``status`` is empty, pobox, ok, nomatch,
+    or error where the table (its column ``status``, if any) says so.  No network is asked."""
     key = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(address), F.lit("")), r"\s+", " ")))
     keyed = rows.withColumn("address_key", key)
-    known = cache.select("address_key", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"))
-    status = F.when(F.col("address_key") == "", "empty").when(F.col("address_key").rlike(r"\bpo\s*box\b"), "pobox").when(F.col("g_lat").isNotNull(), "ok").otherwise("nomatch")
-    return keyed.join(known, "address_key", "left").withColumn("status", status).drop("address_key")
+    failed = (F.col("status") == "error") if "status" in cache.columns else F.lit(False)
+    known = cache.select("address_key", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"), failed.alias("g_failed"))
+    status = F.when(F.col("address_key") == "", "empty").when(F.col("address_key").rlike(r"\bpo\s*box\b"), "pobox").when(F.col("g_lat").isNotNull(), "ok").when(F.col("g_failed"), "error").otherwise("nomatch")
+    return keyed.join(known, "address_key", "left").withColumn("status", status).drop("address_key", "g_failed")
+
+
+def with_reverse_geocodes(points: DataFrame, known: DataFrame, within_m: float = 50.0) -> DataFrame:
+    """``points`` (``row_id, lat, lon``) with the ``display`` of the nearest known place
+    (``row_id, lat, lon, display``) within reach, null without one."""
+    near = nearest(distance_pairs(points.select("row_id", "lat", "lon"), known.select("row_id", "lat", "lon", "display"), within_m))
+    return points.join(near.select("row_id", F.col("r_display").alias("display")), "row_id", "left")

@@ -1,4 +1,5 @@
-"""A data source over paged feature services, one partition for each range of offsets.
+"""A data source over paged feature services, one partition for each range of offsets, or,
+where the option ``total`` is not given, one that reads on to the first page that is not full.
 
 ``spark.dataSource.register(PagedFeatures)``, then
 ``spark.read.format("paged_features").schema(...).option("fetch", "module:function")``.
@@ -32,15 +33,23 @@ class PagedFeatures(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType) -> None:
-        self.fetch, self.total = options["fetch"], int(options["total"])
+        self.fetch, self.total = options["fetch"], int(options["total"]) if "total" in options else None
         self.page = int(options.get("page", PAGE))
         self.columns = schema.fieldNames()
 
     def partitions(self) -> list[InputPartition]:
+        if self.total is None:
+            return [InputPartition(None)]
         return [InputPartition(offset) for offset in range(0, max(1, self.total), self.page)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         module, _, function = self.fetch.partition(":")
-        rows = getattr(importlib.import_module(module), function)(partition.value, self.page, self.columns)
-        for row in rows:
-            yield tuple(row.get(c) for c in self.columns)
+        ask, offset = getattr(importlib.import_module(module), function), partition.value or 0
+        while True:
+            rows = ask(offset, self.page, self.columns)
+            for row in rows:
+                yield tuple(row.get(c) for c in self.columns)
+            # a page that is not full is the last; with a total, the next one is another partition
+            if self.total is not None or len(rows) < self.page:
+                return
+            offset += self.page

@@ -58,6 +58,8 @@ def shapes(shp: bytes) -> Iterator[tuple[str, float, float, float, float] | None
 def layers(path: str, layer: str) -> Iterator[tuple[bytes, bytes]]:
     """The (shp, dbf) pairs of a file or archive whose name holds ``layer``."""
     if path.endswith(".zip"):
+        if not zipfile.is_zipfile(path):
+            raise ValueError(f"{path} is no zip archive; a failed download?")
         with zipfile.ZipFile(path) as z:
             for name in sorted(z.namelist()):
                 if name.endswith(".shp") and layer in name:

@@ -130,3 +130,41 @@ def test_forms_for_display(spark):
         P.coordinate_line(F.lit("n"), F.lit(1.0), F.lit(2.0)).alias("h"), P.next_in_stack(F.lit(2), F.lit(3)).alias("i"),
     ).first()
     assert tuple(row) == ("NY", "DE", "DC", None, "WY", "1,234,567", "rgba(10,16,255,0.5)", "https://m?ll=1.5,-2.5&q=a+b", "n (1.00000, 2.00000)", 0)
+
+
+def test_caches_optional_sources_tiles_and_links(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(500)
+
+    path = str(tmp_path / "pull")
+    assert D.cached(spark, path, build).count() == D.cached(spark, path, build).count() == 500 and len(built) == 1
+    D.cached(spark, path, build, least_bytes=10**9)
+    assert len(built) == 2
+    assert D.optional(spark, str(tmp_path / "none"), "a int").count() == 0 and D.optional(spark, path, "id long").count() == 500
+    assert D.tiles((0.0, 2.0, 0.0, 4.0)) == [(0.0, 1.0, 0.0, 2.0), (0.0, 1.0, 2.0, 4.0), (1.0, 2.0, 0.0, 2.0), (1.0, 2.0, 2.0, 4.0)]
+    maps = spark.createDataFrame([("<loc>http://a/church/2</loc><loc> http://a/church/1 </loc><loc>http://a/church/1</loc><loc>http://a/blog</loc><loc>http://a/church/page</loc>",)], "t string")
+    assert [r.url for r in W.links(maps, "t", "http://a/church/", without="page$").collect()] == ["http://a/church/1", "http://a/church/2"]
+    text = spark.createDataFrame([(r"Café \"X\" \/ O\'Neil\nend",)], "t string")
+    assert text.select(W.unescaped(F.col("t")).alias("u")).first().u == "Café \"X\" / O'Neil end"
+
+
+def test_lookups_by_place_and_failed_geocodes(spark):
+    points = spark.createDataFrame([(1, 40.0, -75.0), (2, 41.0, -75.0)], "row_id long, lat double, lon double")
+    known = spark.createDataFrame([(7, 40.0001, -75.0, "here"), (8, 40.0003, -75.0, "there")], "row_id long, lat double, lon double, display string")
+    assert [r.display for r in D.with_reverse_geocodes(points, known).orderBy("row_id").collect()] == ["here", None]
+    rows = spark.createDataFrame([("1 A St",), ("2 B St",), (" ",)], "address string")
+    cache = spark.createDataFrame([("1 a st", None, None, "error")], "address_key string, lat double, lon double, status string")
+    assert sorted(r.status for r in D.with_cached_geocodes(rows, cache).collect()) == ["empty", "error", "nomatch"]
+
+
+def short_pages(offset, size, columns):
+    return [{"NAME": f"n{i}"} for i in range(offset, min(offset + size, 7))]
+
+
+def test_paged_source_stops_on_a_short_page(spark):
+    spark.dataSource.register(PagedFeatures)
+    df = spark.read.format("paged_features").option("fetch", "tests.test_sources:short_pages").option("page", "3").schema("NAME string").load()
+    assert sorted(r.NAME for r in df.collect()) == [f"n{i}" for i in range(7)]
