@@ -190,7 +190,12 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, item_id: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that leak no benchmark item, all columns kept."""
+    """The rows of ``docs`` that leak no benchmark item, all columns kept, whatever their
+    names.
+
+    Null and empty texts leak nothing and stay, items of fewer than ``SEED`` tokens are
+    never found, repeated rows stay or go together; an empty benchmark changes nothing.
+    """
     names, spark = docs.columns, docs.sparkSession
     at = names.index(text_col)
 

@@ -73,11 +73,11 @@ WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "attrs", "kids", "inner", "digest", "shape", "size", "number", "core")
+    __slots__ = ("tag", "label", "attrs", "kids", "inner", "digest", "shape", "size", "number", "core", "wanted")
 
     def __init__(self, tag: str, attrs: str = "") -> None:
         self.tag, self.attrs, self.kids, self.number = tag, attrs, [], -1
-        self.label, self.inner, self.digest, self.shape, self.size, self.core = tag, [], 0, 0, 1, False
+        self.label, self.inner, self.digest, self.shape, self.size, self.core, self.wanted = tag, [], 0, 0, 1, False, True
 
     def get(self) -> dict[str, str]:
         return {m[0].lower(): m[1] or m[2] or m[3] for m in ATTR.findall(self.attrs)} if self.attrs else {}
@@ -266,14 +266,22 @@ def _pairs(xs: list[Node], ys: list[Node], memo: dict) -> list[tuple[Node, Node]
 
 
 def mapping(a: Node, b: Node, memo: dict | None = None) -> dict[int, Node]:
-    """id of each node of ``a`` that is matched, to its node of ``b``."""
+    """id of each node of ``a`` that is matched, to its node of ``b``; below nodes of ``b``
+    that are not ``wanted`` nothing is looked for."""
     out: dict[int, Node] = {}
     memo = {} if memo is None else memo
     stack = [(a, b)] if a.label == b.label else []
     while stack:
         x, y = stack.pop()
         out[id(x)] = y
-        stack.extend(zip(x.inner, y.inner) if x.digest == y.digest else _pairs(x.inner, y.inner, memo))
+        if not (y.wanted and x.inner and y.inner):
+            continue
+        if x.digest == y.digest:
+            stack.extend(zip(x.inner, y.inner))
+        elif len(x.inner) == len(y.inner) == 1:
+            stack.extend((i, j) for i, j in zip(x.inner, y.inner) if i.label == j.label)
+        else:
+            stack.extend(_pairs(x.inner, y.inner, memo))
     return out
 
 
@@ -391,12 +399,20 @@ def content_blocks(root: Node) -> tuple[list[tuple[Node, str]], bool]:
 
 
 def number(root: Node) -> dict[int, str]:
-    """Number the nodes that hold blocks; their number to their text."""
+    """Number the nodes that hold blocks; their number to their text.  What holds none of
+    them is not ``wanted``."""
     texts: dict[int, str] = {}
     for k, (node, text) in enumerate(content_blocks(root)[0]):
         if node.number < 0:
             node.number = k
             texts[k] = text
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(node.inner)
+    for node in reversed(order):
+        node.wanted = node.number >= 0 or any(k.wanted for k in node.inner)
     return texts
 
 

@@ -193,7 +193,11 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", path_col: str = "sourc
 
 
 def secret_findings(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row per candidate: ``doc_id, finding, candidate, votes, is_secret``."""
+    """One row per candidate: ``doc_id, finding, candidate, votes, is_secret``.
+
+    ``finding`` counts the candidates of a text from 1.  Texts without candidates, empty and
+    null ones have no row, repeated rows have the same rows again, and a null id stays null.
+    """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col("text"), F.col("source"))
     found = scan_secrets(plain, **options).select("doc_id", F.posexplode("secret_findings").alias("finding", "x"))
     return found.select("doc_id", (F.col("finding") + 1).alias("finding"), "x.candidate", "x.votes", "x.is_secret")

@@ -8,7 +8,7 @@ along the edges within the radius only.  The queries of a shard are its own memb
 tree is built where they meet; broadcasting all trees would grow with the data.
 
 A shard with more than ``shard_limit`` fingerprints is dealt again by the remaining bits,
-up to three levels deep.  There a shard has at most 2**19 members by construction, however
+up to three levels deep.  There a shard has at most 2**20 members by construction, however
 many rows the corpus has.  A shard reports a spanning forest, not its pairs.
 """
 
