@@ -172,7 +172,11 @@ def _lbfgs(loss, z: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """``doc_id, grade`` from ``labels(doc_id, quality, toxic)``; the worst rating counts."""
+    """``doc_id, grade`` from ``labels(doc_id, quality, toxic)``; the worst rating counts.
+
+    A null rating says nothing: a row has a grade where the other rating decides it alone,
+    else it is left out, as are rows without an id.
+    """
     grade = F.when(F.col("quality") < 1, 0).when(F.col("toxic") > 0, 1).when((F.col("quality") >= 1) & (F.col("toxic") <= 0), TOP)
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
