@@ -77,8 +77,8 @@ def click_stack(pins: DataFrame, x: float, y: float, hit: float = 24.0, penalty:
     """
     d = (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y) + F.when(F.col("synthetic"), penalty).otherwise(0.0)
     seen = pins.withColumn("d", d).where(F.col("d") <= hit * hit)
-    best = seen.agg(F.min("d").alias("best"))
-    tied = seen.join(F.broadcast(best), F.col("d") <= F.col("best") + slack)
+    best = seen.agg(F.min("d")).first()[0]
+    tied = seen.where(F.lit(False) if best is None else F.col("d") <= best + slack)
     same = tied.groupBy("rel").agg(F.count("*").alias("same"))
     ranked = tied.join(F.broadcast(same), "rel").withColumn("all", F.lit(0)).withColumn("turn", F.struct("same", "rel")).withColumn("start", F.substring("name", 1, 12))
-    return spread_rank(ranked, ["all"], ["turn", "start"], ["name", "row_id"], "nth").drop("best", "same", "d", "all", "turn", "start")
+    return spread_rank(ranked, ["all"], ["turn", "start"], ["name", "row_id"], "nth").drop("same", "d", "all", "turn", "start")
