@@ -49,9 +49,23 @@ def local_snaps(gaps: DataFrame, areas: DataFrame, least_tokens: int = 2, low_m:
     return snap.unionByName(far.select("row_id", "name", F.lit("review").alias("action"), "area", "new_lat", "new_lon", "move_m"))
 
 
-def scorecard(gaps: DataFrame, directory: DataFrame, areas: DataFrame, land: DataFrame, lakes: DataFrame, building_m: float = 60.0, band: dict | None = None, **snap) -> DataFrame:
+def small_areas(areas: DataFrame, most_m: float) -> DataFrame:
+    """Areas whose box spans ``most_m`` at most (``span_m``): buildings, not grounds."""
+    return areas.where(F.col("span_m") <= most_m)
+
+
+def off_land(points: DataFrame, land: DataFrame, lakes: DataFrame) -> DataFrame:
+    """``row_id, why`` of every point: in-lake, not-on-land, or null where it may lie."""
+    on_land = containing(points, land).select("row_id", F.lit(True).alias("land"))
+    in_lake = containing(points, lakes).select("row_id", F.lit(True).alias("lake"))
+    placed = points.select("row_id").join(on_land, "row_id", "left").join(in_lake, "row_id", "left")
+    return placed.select("row_id", F.when(F.col("lake"), "in-lake").when(F.col("land").isNull(), "not-on-land").alias("why"))
+
+
+def scorecard(gaps: DataFrame, directory: DataFrame, areas: DataFrame, land: DataFrame, lakes: DataFrame, building_m: float = 60.0, band: dict | None = None, near_span_m: float = 5000.0, snap_span_m: float = 800.0, **snap) -> DataFrame:
     """``row_id, bucket, detail`` of every external pin, in the first of ``BUCKETS`` that
     holds; ``land`` and ``lakes`` are edge tables, ``band`` and ``snap`` settings of the steps.
+    Areas that tell their ``span_m`` count as buildings up to the two spans.
 
     A snap that shares its destination, or whose destination a pin of another name holds,
     is blocked: such a pin is ``rural_expected`` without the test for land, and its detail
@@ -61,18 +75,15 @@ def scorecard(gaps: DataFrame, directory: DataFrame, areas: DataFrame, land: Dat
     rest = gaps.join(junk, "row_id", "left_anti")
     dupes = band_dupes(rest, directory, **(band or {})).select("row_id", F.lit(BUCKETS[1]).alias("bucket"), F.col("other").cast("string").alias("detail"))
     rest = rest.join(dupes, "row_id", "left_anti")
-    built = nearest(distance_pairs(rest.select("row_id", "lat", "lon"), areas.select("row_id", "lat", "lon"), building_m)).select("row_id", F.lit(BUCKETS[2]).alias("bucket"), F.col("r_row_id").cast("string").alias("detail"))
+    near_areas, snap_areas = (small_areas(areas, m) if "span_m" in areas.columns else areas for m in (near_span_m, snap_span_m))
+    built = nearest(distance_pairs(rest.select("row_id", "lat", "lon"), near_areas.select("row_id", "lat", "lon"), building_m)).select("row_id", F.lit(BUCKETS[2]).alias("bucket"), F.col("r_row_id").cast("string").alias("detail"))
     rest = rest.join(built, "row_id", "left_anti")
-    moves = local_snaps(rest, areas, **snap).where("action = 'snap'")
+    moves = local_snaps(rest, snap_areas, **snap).where("action = 'snap'")
     pins = gaps.select("row_id", "name", "lat", "lon").unionByName(directory.select("row_id", "name", "lat", "lon"))
     guarded = M.guard_occupied(M.guard_unique(moves), pins)
     snapped = guarded.select("row_id", F.when(F.col("blocked").isNull(), BUCKETS[3]).otherwise(BUCKETS[5]).alias("bucket"), F.coalesce("blocked", F.col("area").cast("string")).alias("detail"))
     rest = rest.join(snapped, "row_id", "left_anti")
-    on_land = containing(rest, land).select("row_id", F.lit(True).alias("land"))
-    in_lake = containing(rest, lakes).select("row_id", F.lit(True).alias("lake"))
-    placed = rest.join(on_land, "row_id", "left").join(in_lake, "row_id", "left")
-    why = F.when(F.col("lake"), "in-lake").when(F.col("land").isNull(), "not-on-land")
-    last = placed.select("row_id", F.when(why.isNotNull(), BUCKETS[4]).otherwise(BUCKETS[5]).alias("bucket"), why.alias("detail"))
+    last = off_land(rest, land, lakes).select("row_id", F.when(F.col("why").isNotNull(), BUCKETS[4]).otherwise(BUCKETS[5]).alias("bucket"), F.col("why").alias("detail"))
     return junk.unionByName(dupes).unionByName(built).unionByName(snapped).unionByName(last)
 
 

@@ -19,6 +19,7 @@ from pinfold.queries.names import _REASON, sql_says, sql_tokens
 from pinfold.queries.pins import SUFFIXES, edges_sql, hav, pins, pins_sql, polygons, round_sql
 from pinfold.queries.places import _INSIDE
 from pinfold.runtime import table
+from pinfold.sources.web import parse_place_page, parse_points
 
 C, S = pins_sql(), pins_sql("supplier")
 #: The pins of the test tables lie far apart.
@@ -274,6 +275,48 @@ def _quota(lang: str, n: int) -> str:
 QUOTA_SAMPLE = f"SELECT * FROM {_quota('en', 12)} UNION ALL SELECT * FROM {_quota('fr', 5)}"
 
 
+#: A page about a place, made of the columns of a pin.
+_PAGE = (
+    "concat('<html><title>x | y</title><h1 class=\"t\">', name, ' - The Convention site</h1>', if(row_id % 3 = 0, concat('<div class=\"church_meeting_addy\">', row_id, ' Main <b>Street</b><br/>Town, KY 4', lpad(row_id % 10000, 4, '0'), '</div>'),"
+    " if(row_id % 3 = 1, concat('<p>', row_id, ' Old Mill Rd, Town, KY 40001-1234</p>'), '<p>PO Box 77<br>Town KY 40002</p>')),"
+    " '<div class=\"marker\" data-lat=\"', cast(floor(lat * 1000) / 1000 as string), '\" data-lng=\"', cast(ceil(lon * 1000) / 1000 as string), '\"></div>')"
+)
+
+
+def place_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field of the pages that are made of external pins."""
+    pages = pins(spark, sf_dir, "supplier").selectExpr("row_id", "'u' AS url", f"{_PAGE} AS html")
+    return parse_place_page(pages, "url", "html").select("row_id", "name", "address", "zip", "lat", "lon")
+
+
+PLACE_PAGES = f"""
+SELECT row_id, name, CASE row_id % 3 WHEN 0 THEN row_id || ' Main Street , Town, KY 4' || lpad((row_id % 10000)::VARCHAR, 4, '0') WHEN 1 THEN row_id || ' Old Mill Rd, Town, KY 40001-1234' ELSE 'PO Box 77 Town KY 40002' END AS address,
+  CASE row_id % 3 WHEN 0 THEN '4' || lpad((row_id % 10000)::VARCHAR, 4, '0') WHEN 1 THEN '40001' ELSE '40002' END AS zip, floor(lat * 1000) / 1000 AS lat, ceil(lon * 1000) / 1000 AS lon FROM {S}"""
+
+
+def page_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points out of the scripts of pages, one page a state; every eighth lies at sea."""
+    p = pins(spark, sf_dir).withColumn("x", F.when(F.col("row_id") % 8 == 0, F.lit(-20.0)).otherwise(F.ceil(F.col("lon") * 1000) / 1000))
+    point = F.format_string('{"lat":%.3f,"lng":%.3f,"name":"%s","slug":"s%d"}', F.floor(F.col("lat") * 1000) / 1000, "x", "name", "row_id")
+    pages = p.groupBy("state").agg(F.concat_ws(",", F.collect_list(point)).alias("html"))
+    pattern = r'\{"lat":(-?[\d.]+),"lng":(-?[\d.]+),"name":"([^"]*)","slug":"([^"]*)"\}'
+    return parse_points(pages, "html", pattern).select("state", "slug", "name", "lat", "lon")
+
+
+PAGE_POINTS = f"SELECT state, 's' || row_id AS slug, name, floor(lat * 1000) / 1000 AS lat, ceil(lon * 1000) / 1000 AS lon FROM {C} WHERE row_id % 8 <> 0"
+
+
+def land_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a pin can't lie where it does, row by row."""
+    e = edges_of(polygons(spark))
+    return V.off_land(pins(spark, sf_dir), e.where("poly_id <> 'C'"), e.where("poly_id = 'C'"))
+
+
+LAND_ROWS = f"""
+WITH h AS (SELECT row_id, bool_or(poly_id <> 'C') AS land, bool_or(poly_id = 'C') AS lake FROM (SELECT row_id, poly_id FROM {C} CROSS JOIN {edges_sql()} GROUP BY 1, 2 HAVING {_INSIDE}) GROUP BY 1)
+SELECT c.row_id, CASE WHEN lake THEN 'in-lake' WHEN NOT coalesce(land, false) THEN 'not-on-land' END AS why FROM {C} c LEFT JOIN h ON h.row_id = c.row_id"""
+
+
 def provenance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a pin comes from, and whether its name is a landmark's, by a made-up city."""
     p = pins(spark, sf_dir).withColumn("religion", F.element_at(F.array(*[F.lit(r) for r in R.RELIGIONS]), (F.col("rel") + 1).cast("int")))
@@ -298,10 +341,10 @@ SELECT poly_id, state, county, (poly_id = '3')::BIGINT + (state = 'AMERICA' AND
 QUERIES = {
     "band_dupe_pairs": band_dupe_pairs, "local_snap_plan": local_snap_plan, "scorecard_rows": scorecard_rows, "fuzzy_snap_plan": fuzzy_snap_plan, "snap_twins": snap_twins, "exact_spec_lookup": exact_spec_lookup,
     "candidate_actions": candidate_actions, "gap_rows": gap_rows, "guarded_moves": guarded_moves, "census_cube": census_cube_rows, "filtered_report": filtered_report, "gap_totals": gap_totals, "nested_map": nested_map,
-    "distinct_hosts": distinct_hosts, "bake": bake, "unclassified_sample": unclassified_sample, "review_sample": review_sample, "quota_sample": quota_sample_rows, "provenance": provenance_rows, "outlines": outlines,
+    "place_pages": place_pages, "page_points": page_points, "land_rows": land_rows, "distinct_hosts": distinct_hosts, "bake": bake, "unclassified_sample": unclassified_sample, "review_sample": review_sample, "quota_sample": quota_sample_rows, "provenance": provenance_rows, "outlines": outlines,
 }
 SQL = {
     "band_dupe_pairs": BAND_DUPE_PAIRS, "local_snap_plan": LOCAL_SNAP_PLAN, "scorecard_rows": SCORECARD_ROWS, "fuzzy_snap_plan": FUZZY_SNAP_PLAN, "snap_twins": SNAP_TWINS, "exact_spec_lookup": EXACT_SPEC,
     "candidate_actions": CANDIDATE_ACTIONS, "gap_rows": GAP_ROWS, "guarded_moves": GUARDED_MOVES, "census_cube": CENSUS_CUBE, "filtered_report": FILTERED_REPORT, "gap_totals": GAP_TOTALS, "nested_map": NESTED_MAP,
-    "distinct_hosts": DISTINCT_HOSTS, "bake": BAKE, "unclassified_sample": UNCLASSIFIED, "review_sample": REVIEW_SAMPLE, "quota_sample": QUOTA_SAMPLE, "provenance": PROVENANCE, "outlines": OUTLINES,
+    "place_pages": PLACE_PAGES, "page_points": PAGE_POINTS, "land_rows": LAND_ROWS, "distinct_hosts": DISTINCT_HOSTS, "bake": BAKE, "unclassified_sample": UNCLASSIFIED, "review_sample": REVIEW_SAMPLE, "quota_sample": QUOTA_SAMPLE, "provenance": PROVENANCE, "outlines": OUTLINES,
 }
