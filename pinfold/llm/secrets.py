@@ -72,7 +72,7 @@ def features(candidate: Column, before: Column, after: Column, path: Column) ->
     return F.struct(*[v.cast("double").alias(name) for name, v in zip(FEATURES, values)])
 
 
-def labelled_findings(spark: SparkSession, rows: int = 9000) -> DataFrame:
+def labelled_findings(spark: SparkSession, rows: int = MOST_LABELLED) -> DataFrame:
     """Labelled findings ``candidate, before, after, path, label`` made from fixed templates:
     keys as providers issue them and passwords as people choose them against digests,
     identifiers, numbers, placeholders, words and code."""
