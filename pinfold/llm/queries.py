@@ -11,6 +11,8 @@ from pinfold.llm.attention_lm import score_documents
 from pinfold.llm.decontamination import leaked_items
 from pinfold.llm.embedding_dedup import ORACLE as EMBEDDING_ORACLE
 from pinfold.llm.embedding_dedup import embedding_near_dedup
+from pinfold.llm.exact_dedup import ORACLE as EXACT_ORACLE
+from pinfold.llm.exact_dedup import exact_dedup
 from pinfold.llm.html_wrapper import extract_main_text
 from pinfold.llm.quality import select_quality
 from pinfold.llm.secrets import secret_findings
@@ -67,6 +69,10 @@ def op9_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_tool_calls(table(spark, sf_dir, "conversations"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -78,9 +84,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_tool_call_linking": op9_tool_call_linking,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_mixing": mixing.ORACLE,
     "op10_embedding_near_dedup": EMBEDDING_ORACLE,
+    "op11_exact_dedup": EXACT_ORACLE,
 }
