@@ -14,6 +14,8 @@ from pinfold.llm.embedding_dedup import embedding_near_dedup
 from pinfold.llm.exact_dedup import ORACLE as EXACT_ORACLE
 from pinfold.llm.exact_dedup import exact_dedup
 from pinfold.llm.html_wrapper import extract_main_text
+from pinfold.llm.merkle_manifest import ORACLE as MERKLE_ORACLE
+from pinfold.llm.merkle_manifest import merkle_manifest
 from pinfold.llm.quality import select_quality
 from pinfold.llm.secrets import secret_findings
 from pinfold.llm.simhash import simhash_near_dedup
@@ -73,6 +75,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_secret_scan": op2_secret_scan,
@@ -85,10 +91,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tool_call_linking": op9_tool_call_linking,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_exact_dedup": op11_exact_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_mixing": mixing.ORACLE,
     "op10_embedding_near_dedup": EMBEDDING_ORACLE,
     "op11_exact_dedup": EXACT_ORACLE,
+    "op13_merkle_manifest": MERKLE_ORACLE,
 }
