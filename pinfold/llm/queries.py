@@ -16,6 +16,8 @@ from pinfold.llm.exact_dedup import exact_dedup
 from pinfold.llm.html_wrapper import extract_main_text
 from pinfold.llm.merkle_manifest import ORACLE as MERKLE_ORACLE
 from pinfold.llm.merkle_manifest import merkle_manifest
+from pinfold.llm.prefix_trie import ORACLE as TRIE_ORACLE
+from pinfold.llm.prefix_trie import prefix_trie
 from pinfold.llm.quality import select_quality
 from pinfold.llm.secrets import secret_findings
 from pinfold.llm.simhash import simhash_near_dedup
@@ -75,6 +77,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"))
 
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_tool_call_linking": op9_tool_call_linking,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -98,5 +105,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_mixing": mixing.ORACLE,
     "op10_embedding_near_dedup": EMBEDDING_ORACLE,
     "op11_exact_dedup": EXACT_ORACLE,
+    "op12_prefix_trie": TRIE_ORACLE,
     "op13_merkle_manifest": MERKLE_ORACLE,
 }
