@@ -16,6 +16,21 @@ from pyspark.sql import functions as F
 from pinfold.functions.geo import DEGREE_M, cell, haversine_m
 
 
+def within_reach(left: DataFrame, radius_m: float, per_degree: float, neighbourhood: str = "radius") -> DataFrame:
+    """Each row of ``left`` once for every cell (``ci, cj``) that may hold a partner; rows
+    without coordinates have none."""
+    near = left.where("lat is not null and lon is not null").withColumn("ci", cell("lat", per_degree)).withColumn("cj", cell("lon", per_degree))
+    if neighbourhood == "3x3":
+        rows = cols = F.lit(1)
+    else:
+        side_m = DEGREE_M / per_degree
+        rows = F.lit(math.ceil(radius_m / side_m))
+        # the widest reach of a row is at its latitude nearest to a pole
+        top = F.least(F.lit(89.0), F.abs("lat") + radius_m / DEGREE_M)
+        cols = F.ceil(F.lit(radius_m / side_m) / F.cos(F.radians(top))).cast("int")
+    return near.withColumn("ci", F.explode(F.sequence(F.col("ci") - rows, F.col("ci") + rows))).withColumn("cj", F.explode(F.sequence(F.col("cj") - cols, F.col("cj") + cols)))
+
+
 def distance_pairs(
     left: DataFrame, right: DataFrame, radius_m: float, on: list[str] | None = None, per_degree: float = 100.0, neighbourhood: str = "radius"
 ) -> DataFrame:
@@ -31,16 +46,7 @@ def distance_pairs(
     on = on or []
     named = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).where("r_lat is not null and r_lon is not null")
     named = named.withColumn("r_ci", cell("r_lat", per_degree)).withColumn("r_cj", cell("r_lon", per_degree))
-    near = left.where("lat is not null and lon is not null").withColumn("ci", cell("lat", per_degree)).withColumn("cj", cell("lon", per_degree))
-    if neighbourhood == "3x3":
-        rows = cols = F.lit(1)
-    else:
-        side_m = DEGREE_M / per_degree
-        rows = F.lit(math.ceil(radius_m / side_m))
-        # the widest reach of a row is at its latitude nearest to a pole
-        top = F.least(F.lit(89.0), F.abs("lat") + radius_m / DEGREE_M)
-        cols = F.ceil(F.lit(radius_m / side_m) / F.cos(F.radians(top))).cast("int")
-    near = near.withColumn("ci", F.explode(F.sequence(F.col("ci") - rows, F.col("ci") + rows))).withColumn("cj", F.explode(F.sequence(F.col("cj") - cols, F.col("cj") + cols)))
+    near = within_reach(left, radius_m, per_degree, neighbourhood)
     same = [F.col("ci") == F.col("r_ci"), F.col("cj") == F.col("r_cj"), *[F.col(k) == F.col(f"r_{k}") for k in on]]
     met = near.join(named, same).drop("ci", "cj", "r_ci", "r_cj")
     return met.withColumn("dist_m", haversine_m("lat", "lon", "r_lat", "r_lon")).where(F.col("dist_m") <= radius_m)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pinfold.runtime import materialise
+
 #: Rows of the latitude grid per degree; cells per degree that boxes of polygons are dealt to,
 #: and cells of a box beyond which coarser ones are taken.
 BANDS, CELLS, MOST_CELLS = 50, 4, 4096
@@ -50,7 +52,7 @@ def ring_area(ring: Column) -> Column:
     return F.aggregate(ends, F.lit(0.0), lambda s, x: s + x) / 2
 
 
-def _banded(edges: DataFrame) -> DataFrame:
+def banded(edges: DataFrame) -> DataFrame:
     low, high = F.floor(F.least("y1", "y2") * BANDS), F.floor(F.greatest("y1", "y2") * BANDS)
     return edges.withColumn("band", F.explode(F.sequence(low, high)))
 
@@ -79,28 +81,69 @@ def containing(points: DataFrame, edges: DataFrame, row_id: str = "row_id") -> D
     """``row_id, poly_id`` of the polygon that holds or touches each point; the smallest
     id where there are several.  Points outside all polygons are absent."""
     p = candidates(points, edges, row_id).withColumn("band", F.floor(F.col("lat") * BANDS))
-    met = p.join(_banded(edges.select("poly_id", "x1", "y1", "x2", "y2")), ["poly_id", "band"])
+    met = p.join(banded(edges.select("poly_id", "x1", "y1", "x2", "y2")), ["poly_id", "band"])
     crosses = F.expr("(y1 > lat) <> (y2 > lat)") & F.expr("lon < (x2 - x1) * (lat - y1) / (case when y2 = y1 then 1.0 else y2 - y1 end) + x1")
     touches = F.expr("(x2 - x1) * (lat - y1) = (lon - x1) * (y2 - y1) and lon between least(x1, x2) and greatest(x1, x2) and lat between least(y1, y2) and greatest(y1, y2)")
     hits = met.groupBy(row_id, "poly_id").agg(F.sum(crosses.cast("int")).alias("n"), F.max(touches.cast("int")).alias("t")).where("n % 2 = 1 or t = 1")
     return hits.groupBy(row_id).agg(F.min("poly_id").alias("poly_id"))
 
 
+def _dealt(edges: DataFrame, side: float) -> DataFrame:
+    """Each edge in the cells (``cy, cx``) of a grid that it passes through: row by row, the
+    columns between the places where it enters and leaves the row."""
+    slack = side * 1e-6
+    row = lambda y: F.floor(y / side).cast("long")
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.withColumn("cy", F.explode(F.sequence(row(low - slack), row(high + slack))))
+    at = lambda y: F.expr("x1") + (F.least(F.greatest(y, low), high) - F.col("y1")) * F.expr("(x2 - x1) / (y2 - y1)")
+    flat = F.col("y1") == F.col("y2")
+    enter, leave = at(F.col("cy") * side - slack), at((F.col("cy") + 1) * side + slack)
+    west = F.when(flat, F.least("x1", "x2")).otherwise(F.least(enter, leave)) - slack
+    east = F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(enter, leave)) + slack
+    return rows.withColumn("cx", F.explode(F.sequence(row(west), row(east))))
+
+
+#: Cells of the grid of borders that the reach is long; rings after which points stop looking.
+RINGS = (1, 2, 4, 8)
+
+
 def nearest_border(points: DataFrame, edges: DataFrame, reach_deg: float, row_id: str = "row_id") -> DataFrame:
     """``row_id, poly_id, deg`` of the border nearest to each point, in degrees, below
-    ``reach_deg``; the smallest id wins a tie."""
-    k = int(-(-reach_deg * BANDS // 1))
-    p = points.select(row_id, "lat", "lon").withColumn("band", F.explode(F.sequence(F.floor(F.col("lat") * BANDS) - k, F.floor(F.col("lat") * BANDS) + k)))
-    met = p.join(_banded(edges.select("poly_id", "x1", "y1", "x2", "y2")), "band").where(
-        F.col("lon").between(F.least("x1", "x2") - reach_deg, F.greatest("x1", "x2") + reach_deg)
-    )
+    ``reach_deg``; the smallest id wins a tie.
+
+    Edges are dealt to the cells of a grid.  A point looks into the cells around its own,
+    ring by ring, and stops as soon as what it found is nearer than what it has not seen;
+    points near no border at all are left out before.
+    """
+    side = reach_deg / RINGS[-1]
+    lean = edges.select("poly_id", "x1", "y1", "x2", "y2").where("x1 + y1 + x2 + y2 is not null")
+    cells = materialise(_dealt(lean, side), "border-cells")
+    coarse = lambda c: F.floor(F.col(c) / RINGS[-1]).cast("long")
+    about = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    near = cells.select(coarse("cy").alias("by"), coarse("cx").alias("bx")).distinct().withColumn("by", F.explode(F.transform(about, lambda i: F.col("by") + i))).withColumn("bx", F.explode(F.transform(about, lambda i: F.col("bx") + i))).distinct()
+    p = points.select(row_id, "lat", "lon").where("lat is not null and lon is not null")
+    p = p.withColumn("py", F.floor(F.col("lat") / side).cast("long")).withColumn("px", F.floor(F.col("lon") / side).cast("long")).withColumn("by", coarse("py")).withColumn("bx", coarse("px"))
     # the foot of the point on the edge, kept between its ends
     along = F.expr(
         "greatest(0.0, least(1.0, case when (x2-x1)*(x2-x1)+(y2-y1)*(y2-y1) = 0 then 0.0 else ((lon-x1)*(x2-x1)+(lat-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) end))"
     )
-    met = met.withColumn("t", along).withColumn("deg", F.expr("sqrt((lon-x1-t*(x2-x1))*(lon-x1-t*(x2-x1)) + (lat-y1-t*(y2-y1))*(lat-y1-t*(y2-y1)))")).where(F.col("deg") < reach_deg)
-    best = met.groupBy(row_id).agg(F.min(F.struct(F.floor(F.col("deg") * 1e9 + 0.5).alias("nano"), "poly_id", "deg")).alias("b"))
-    return best.select(row_id, F.col("b.poly_id").alias("poly_id"), F.col("b.deg").alias("deg"))
+    deg = F.expr("sqrt((lon-x1-t*(x2-x1))*(lon-x1-t*(x2-x1)) + (lat-y1-t*(y2-y1))*(lat-y1-t*(y2-y1)))")
+    rest = p.join(near, ["by", "bx"], "left_semi").select(row_id, "lat", "lon", "py", "px", F.lit(None).cast(f"struct<nano:bigint,poly_id:{lean.schema['poly_id'].dataType.simpleString()},deg:double>").alias("best"))
+    found, seen = None, -1
+    for k in RINGS:
+        steps = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in range(-k, k + 1) for j in range(-k, k + 1) if max(abs(i), abs(j)) > seen])
+        looking = rest.select(row_id, "lat", "lon", "py", "px", F.inline(steps)).withColumn("cy", F.col("py") + F.col("dy")).withColumn("cx", F.col("px") + F.col("dx"))
+        met = looking.join(cells, ["cy", "cx"]).withColumn("t", along).withColumn("deg", deg).where(F.col("deg") < reach_deg)
+        best = met.groupBy(row_id).agg(F.min(F.struct(F.floor(F.col("deg") * 1e9 + 0.5).alias("nano"), "poly_id", "deg")).alias("now"))
+        told = materialise(rest.join(best, row_id, "left").withColumn("best", F.least("best", "now")).drop("now"), "border-ring")
+        # whatever was not seen lies beyond so many cells
+        sure = F.coalesce(F.col("best.deg") < k * side - 1e-8, F.lit(False))
+        done = told.where(F.col("best").isNotNull() & (sure if k < RINGS[-1] else F.lit(True)))
+        found = done if found is None else found.unionByName(done)
+        rest, seen = told.where(~sure), k
+        if k < RINGS[-1] and rest.isEmpty():
+            break
+    return found.select(row_id, F.col("best.poly_id").alias("poly_id"), F.col("best.deg").alias("deg"))
 
 
 def within_tolerance(points: DataFrame, edges: DataFrame, tolerance_deg: float = 1e-4, row_id: str = "row_id") -> DataFrame:

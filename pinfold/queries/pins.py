@@ -84,3 +84,20 @@ def edges_sql() -> str:
     """The edges of the literal polygons as a VALUES list ``poly_id, x1, y1, x2, y2``."""
     rows = [f"('{k}', {a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for k, rs in POLYGONS.items() for r in rs for a, b in zip(r, r[1:])]
     return "(SELECT * FROM (VALUES " + ", ".join(rows) + ") v(poly_id, x1, y1, x2, y2))"
+
+
+def nation_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One polygon a nation, ``poly_id, rings``: its customers' pins in order of their
+    numbers.  The ring crosses itself, so what is inside is a matter of parity."""
+    corner = F.struct("row_id", F.array("lon", "lat").alias("at"))
+    rows = pins(spark, sf_dir).groupBy(F.col("state").alias("poly_id")).agg(F.transform(F.array_sort(F.collect_list(corner)), lambda c: c["at"]).alias("ring"))
+    return rows.where("size(ring) >= 3").select("poly_id", F.array(F.concat("ring", F.slice("ring", 1, 1))).alias("rings"))
+
+
+def nation_edges_sql() -> str:
+    """The edges of these polygons as a sub-select ``poly_id, x1, y1, x2, y2``."""
+    on = lambda c: f"coalesce(lead({c}) OVER w, first_value({c}) OVER w)"
+    return (
+        f"(SELECT state AS poly_id, lon AS x1, lat AS y1, {on('lon')} AS x2, {on('lat')} AS y2 FROM {pins_sql()} WINDOW w AS (PARTITION BY state ORDER BY row_id)"
+        " QUALIFY count(*) OVER (PARTITION BY state) >= 3)"
+    )

@@ -17,7 +17,7 @@ from pinfold.operators.rollup import count_vectors, gap_report, levels, vector_t
 from pinfold.operators.sampling import click_stack, fill_quota
 from pinfold.plans import moves as M
 from pinfold.queries.names import _REASON, sql_says, sql_tokens
-from pinfold.queries.pins import POLYGONS, edges_sql, hav, pins, pins_sql, polygons, round_sql
+from pinfold.queries.pins import edges_sql, hav, nation_edges_sql, nation_rings, pins, pins_sql, polygons, round_sql
 from pinfold.runtime import table
 
 C, S = pins_sql(), pins_sql("supplier")
@@ -476,25 +476,25 @@ SELECT bucket, count(*) AS n, sum(row_id)::BIGINT AS ids FROM b GROUP BY 1"""
 
 
 def shape_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ring_stats(polygons(spark))
+    """Middle and span of the ring of each nation."""
+    r = ring_stats(nation_rings(spark, sf_dir))
     return r.select("poly_id", *[rounded(c, 6).alias(c) for c in ("lon", "lat", "dx", "dy")], F.col("n").cast("long").alias("n"))
 
 
-SHAPE_STATS = (
-    "WITH v AS (SELECT * FROM (VALUES "
-    + ", ".join(f"('{k}', {p[0]}e0, {p[1]}e0)" for k, rs in POLYGONS.items() for p in rs[0])
-    + f") t(poly_id, x, y)) SELECT poly_id, {round_sql('avg(x)', 6)} AS lon, {round_sql('avg(y)', 6)} AS lat, {round_sql('max(x) - min(x)', 6)} AS dx, {round_sql('max(y) - min(y)', 6)} AS dy, count(*) AS n FROM v GROUP BY 1"
-)
+SHAPE_STATS = f"""WITH v AS (SELECT poly_id, x1 AS x, y1 AS y FROM {nation_edges_sql()} UNION ALL SELECT state, lon, lat FROM {C} QUALIFY row_number() OVER (PARTITION BY state ORDER BY row_id) = 1 AND count(*) OVER (PARTITION BY state) >= 3)
+SELECT poly_id, {round_sql('avg(x)', 6)} AS lon, {round_sql('avg(y)', 6)} AS lat, {round_sql('max(x) - min(x)', 6)} AS dx, {round_sql('max(y) - min(y)', 6)} AS dy, count(*) AS n FROM v GROUP BY 1"""
 
 
 def zoom_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(0, 81).select((F.col("id") / 4).alias("zoom")).select("zoom", rounded(zoom_size("zoom"), 6).alias("size"))
+    """Size of each directory pin at a zoom that goes by its number."""
+    z = pins(spark, sf_dir).select("row_id", (F.col("row_id") % 81 / 4.0).alias("zoom"))
+    return z.select("row_id", "zoom", rounded(zoom_size("zoom"), 6).alias("size"))
 
 
 ZOOM_SIZE = f"""
-WITH z AS (SELECT range / 4e0 AS zoom FROM range(81)), s AS (SELECT zoom, CASE WHEN zoom <= 2 THEN 0.1e0 WHEN zoom <= 4 THEN 0.1e0 + 0.9e0 * ((zoom - 2) / 2e0) WHEN zoom <= 7 THEN 1e0 + 1.8e0 * ((zoom - 4) / 3e0)
+WITH z AS (SELECT row_id, row_id % 81 / 4e0 AS zoom FROM {C}), s AS (SELECT row_id, zoom, CASE WHEN zoom <= 2 THEN 0.1e0 WHEN zoom <= 4 THEN 0.1e0 + 0.9e0 * ((zoom - 2) / 2e0) WHEN zoom <= 7 THEN 1e0 + 1.8e0 * ((zoom - 4) / 3e0)
   WHEN zoom <= 9 THEN 2.8e0 + 1e0 * ((zoom - 7) / 2e0) WHEN zoom <= 14 THEN 3.8e0 + 1.9e0 * ((zoom - 9) / 5e0) WHEN zoom <= 18 THEN 5.7e0 + 0.3e0 * ((zoom - 14) / 4e0) ELSE 6e0 END AS css FROM z)
-SELECT zoom, {round_sql('CASE WHEN zoom >= 9 THEN greatest(3e0, css) ELSE css END', 6)} AS size FROM s"""
+SELECT row_id, zoom, {round_sql('CASE WHEN zoom >= 9 THEN greatest(3e0, css) ELSE css END', 6)} AS size FROM s"""
 
 
 def audit_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
