@@ -7,7 +7,9 @@ needs no edge at all, in a border cell only those that pass through it.
 
 A border cell knows whether its upper right corner is inside.  From the point the way goes
 east to the side of the cell and then up to that corner; every edge on the way changes
-sides, and all of them are edges of the cell.
+sides, and all of them are edges of the cell.  The corners of smaller cells are told from
+that of the cell they come from in the same way, so only the first cells of a polygon meet
+the edges of its whole width.
 """
 
 from __future__ import annotations
@@ -25,42 +27,47 @@ MOST_EDGES, FINEST, STEP = 8, 22, 2
 X0, Y0 = 0.0004142135623731, 0.0007320508075689
 _SLACK = 1e-9
 _CELL = ["poly_id", "level", "cy", "cx"]
+_EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 
 
-def _scale(level: Column) -> Column:
-    return F.pow(F.lit(2.0), level)
-
-
-def _corner(c: Column, level: Column, origin: float) -> Column:
-    return F.lit(origin) + c / _scale(level)
+def _corner(c: Column, side: Column, origin: float) -> Column:
+    return F.lit(origin) + c * side
 
 
 def _index(x: Column, level: Column, origin: float) -> Column:
-    return F.floor((x - origin) * _scale(level)).cast("long")
+    return F.floor((x - origin) * F.pow(F.lit(2.0), level)).cast("long")
 
 
 def _passes(cells: DataFrame) -> DataFrame:
     """Rows whose edge passes through their cell, or as near as rounding may err."""
-    level = F.col("level")
-    west, south = _corner(F.col("cx"), level, X0) - _SLACK, _corner(F.col("cy"), level, Y0) - _SLACK
-    east, north = _corner(F.col("cx") + 1, level, X0) + _SLACK, _corner(F.col("cy") + 1, level, Y0) + _SLACK
-    told = cells.withColumns({"bw": west, "be": east, "bs": south, "bn": north})
-    box = F.expr("greatest(x1, x2) >= bw and least(x1, x2) <= be and greatest(y1, y2) >= bs and least(y1, y2) <= bn")
-    side = lambda x, y: F.expr(f"(x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1)")
-    corners = [side(x, y) for x in ("bw", "be") for y in ("bs", "bn")]
-    return told.where(box & (F.least(*corners) <= _SLACK) & (F.greatest(*corners) >= -_SLACK)).drop("bw", "be", "bs", "bn")
+    half = F.col("side") / 2
+    mx, my, reach = _corner(F.col("cx") + 0.5, F.col("side"), X0), _corner(F.col("cy") + 0.5, F.col("side"), Y0), half + _SLACK
+    box = (F.abs(F.expr("(x1 + x2) / 2") - mx) <= F.expr("abs(x1 - x2) / 2") + reach) & (F.abs(F.expr("(y1 + y2) / 2") - my) <= F.expr("abs(y1 - y2) / 2") + reach)
+    # the line is as near to the middle as the cell is wide, seen along the line
+    off = F.abs(F.expr("x2 - x1") * (my - F.col("y1")) - F.expr("y2 - y1") * (mx - F.col("x1")))
+    return cells.where(box & (off <= F.expr("abs(x2 - x1) + abs(y2 - y1)") * reach + _SLACK))
+
+
+def _across(x: Column, y: Column, east: Column, north: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Whether an edge changes sides between a point and the corner that lies east and then
+    north of it: it is across one leg of the way and not the other."""
+    at = (x2 - x1) * (y - y1) / F.when(y2 == y1, F.lit(1.0)).otherwise(y2 - y1) + x1
+    up = (y2 - y1) * (east - x1) / F.when(x2 == x1, F.lit(1.0)).otherwise(x2 - x1) + y1
+    first = ((y1 > y) != (y2 > y)) & (x < at) & (at <= east)
+    second = ((x1 > east) != (x2 > east)) & (y < up) & (up <= north)
+    return first != second
 
 
 def _odd_corners(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """``cells`` with ``odd``: whether their upper right corner is inside the polygon."""
-    at = cells.withColumn("ax", _corner(F.col("cx") + 1, F.col("level"), X0)).withColumn("ay", _corner(F.col("cy") + 1, F.col("level"), Y0)).withColumn("band", F.floor(F.col("ay") * BANDS))
+    at = cells.withColumn("ax", _corner(F.col("cx") + 1, F.col("side"), X0)).withColumn("ay", _corner(F.col("cy") + 1, F.col("side"), Y0)).withColumn("band", F.floor(F.col("ay") * BANDS))
     met = at.join(banded(edges), ["poly_id", "band"]).where("(y1 > ay) <> (y2 > ay) and ax < (x2 - x1) * (ay - y1) / (case when y2 = y1 then 1.0 else y2 - y1 end) + x1")
     crossed = met.groupBy(*_CELL).agg((F.count("*") % 2 == 1).alias("odd"))
     return cells.join(crossed, _CELL, "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
 
 
 def prepare(edges: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
-    """``poly_id, level, cy, cx, odd, edges`` of the inner and the border cells of polygons
+    """``poly_id, level, cy, cx, side, odd, edges`` of the inner and the border cells of polygons
     given as ``edges(poly_id, x1, y1, x2, y2)``; inner cells have no edges.
 
     A border cell has ``most_edges`` at most, unless so many meet in a cell of the finest
@@ -75,42 +82,45 @@ def prepare(edges: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     span = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"), F.lit(2.0**-FINEST))
     box = box.withColumn("level", F.least(F.floor(F.lit(2.0) - F.log2(span)), F.lit(FINEST)).cast("int"))
     run = lambda low, high, origin: F.explode(F.sequence(_index(F.col(low), F.col("level"), origin), _index(F.col(high), F.col("level"), origin)))
-    started = materialise(box.withColumn("cy", run("south", "north", Y0)).withColumn("cx", run("west", "east", X0)).select(*_CELL), "cover-start")
+    started = materialise(box.withColumn("cy", run("south", "north", Y0)).withColumn("cx", run("west", "east", X0)).select(*_CELL, F.pow(F.lit(0.5), F.col("level")).alias("side")), "cover-start")
     met = materialise(_passes(lean.join(started, "poly_id")), "cover-edges")
     bare = started.join(met.select(*_CELL).distinct(), _CELL, "left_anti")
     edge = F.struct("x1", "y1", "x2", "y2")
-    border, fits = None, 0
+    cells = materialise(_odd_corners(started, lean), "cover-cells")
+    cover, fits = cells.join(met.select(*_CELL).distinct(), _CELL, "left_anti").where("odd").withColumn("edges", F.array().cast(_EDGES)), 0
     while True:
         full = materialise(met.groupBy(*_CELL).agg(F.count("*").alias("n")).where((F.col("n") > fits) & (F.col("level") < FINEST)).drop("n"), "cover-full")
         again = not full.isEmpty()
-        done = (met.join(full, _CELL, "left_anti") if again else met).groupBy(*_CELL).agg(F.collect_list(edge).alias("edges"))
-        border = done if border is None else border.unionByName(done)
+        done = (met.join(full, _CELL, "left_anti") if again else met).groupBy(*_CELL).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+        cover = cover.unionByName(cells.join(done, _CELL))
         if not again:
-            break
-        part = range(1 << STEP)
-        parts = F.inline(F.array(*[F.struct((F.col("cy") * len(part) + i).alias("ny"), (F.col("cx") * len(part) + j).alias("nx")) for i in part for j in part]))
-        split = lambda df, *kept: df.select("poly_id", (F.col("level") + STEP).alias("level"), *kept, parts).withColumnsRenamed({"ny": "cy", "nx": "cx"})
-        met = materialise(_passes(split(met.join(full, _CELL, "left_semi"), "x1", "y1", "x2", "y2")), "cover-edges")
-        bare = bare.unionByName(split(full).select(*_CELL).join(met.select(*_CELL).distinct(), _CELL, "left_anti"))
-        fits = most_edges
-    none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
-    inner = _odd_corners(materialise(bare, "cover-bare"), lean).where("odd").withColumn("edges", none)
-    return materialise(_odd_corners(materialise(border, "cover-border").drop("edges"), lean).join(border, _CELL).unionByName(inner), "cover")
+            return materialise(cover, "cover")
+        children, meeting = _split(cells.join(full, _CELL, "left_semi"), "odd"), _split(met.join(full, _CELL, "left_semi"), "x1", "y1", "x2", "y2")
+        # the corner of a child lies in its parent: what is across the way to the parent's corner is an edge of the parent
+        corner = (*_corners(F.col("cx"), F.col("cy"), F.col("side")), *_corners(F.col("px"), F.col("py"), F.col("side") * (1 << STEP)))
+        across = meeting.where(_across(*corner, *map(F.col, ("x1", "y1", "x2", "y2")))).groupBy(*_CELL).agg(F.count("*").alias("w"))
+        met = materialise(_passes(meeting.drop("px", "py")), "cover-edges")
+        told = children.drop("px", "py").join(across, _CELL, "left").withColumn("odd", (F.coalesce("w", F.lit(0)) % 2 == 1) != F.col("odd")).drop("w")
+        cells, fits = materialise(told, "cover-cells"), most_edges
+        cover = cover.unionByName(cells.join(met.select(*_CELL).distinct(), _CELL, "left_anti").where("odd").withColumn("edges", F.array().cast(_EDGES)))
+
 
+def _corners(cx: Column, cy: Column, side: Column) -> tuple[Column, Column]:
+    return _corner(cx + 1, side, X0), _corner(cy + 1, side, Y0)
 
-def _crossings(found: Column) -> Column:
-    """How many edges of a cell lie across the way from the point to its corner."""
-    lat, lon, east, north = F.col("lat"), F.col("lon"), F.col("ce"), F.col("cn")
 
-    def east_leg(e: Column) -> Column:
-        at = (e["x2"] - e["x1"]) * (lat - e["y1"]) / F.when(e["y2"] == e["y1"], F.lit(1.0)).otherwise(e["y2"] - e["y1"]) + e["x1"]
-        return ((e["y1"] > lat) != (e["y2"] > lat)) & (lon < at) & (at <= east)
+def _split(rows: DataFrame, *kept: str) -> DataFrame:
+    """Rows of cells, once for each of the smaller cells; ``px, py`` say where they come from."""
+    wide = 1 << STEP
+    parts = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(wide * wide - 1))))
+    y, x = F.shiftright("part", STEP), F.col("part").bitwiseAND(F.lit(wide - 1))
+    return parts.select("poly_id", (F.col("level") + STEP).alias("level"), (F.col("cy") * wide + y).alias("cy"), (F.col("cx") * wide + x).alias("cx"), F.col("cy").alias("py"), F.col("cx").alias("px"), (F.col("side") / wide).alias("side"), *kept)
 
-    def north_leg(e: Column) -> Column:
-        at = (e["y2"] - e["y1"]) * (east - e["x1"]) / F.when(e["x2"] == e["x1"], F.lit(1.0)).otherwise(e["x2"] - e["x1"]) + e["y1"]
-        return ((e["x1"] > east) != (e["x2"] > east)) & (lat < at) & (at <= north)
 
-    return F.size(F.filter(found, east_leg)) + F.size(F.filter(found, north_leg))
+def _inside(found: Column) -> Column:
+    """Whether the point is inside: its corner is, but for the edges across the way."""
+    one = lambda odd, e: odd != _across(F.col("lon"), F.col("lat"), F.col("ce"), F.col("cn"), e["x1"], e["y1"], e["x2"], e["y2"])
+    return F.aggregate(found, F.col("odd"), one)
 
 
 def _touches(e: Column) -> Column:
@@ -131,7 +141,7 @@ def containing_prepared(points: DataFrame, cover: DataFrame, row_id: str = "row_
     """What ``containing`` of the same polygons gives: ``row_id, poly_id`` of the polygon
     that holds or touches each point, the smallest id where there are several."""
     met = met_cells(points, cover, row_id)
-    met = met.withColumn("ce", _corner(F.col("cx") + 1, F.col("level"), X0)).withColumn("cn", _corner(F.col("cy") + 1, F.col("level"), Y0))
-    inside = (_crossings(F.col("edges")) + F.col("odd").cast("int")) % 2 == 1
-    hits = met.where(F.when(F.size("edges") == 0, F.lit(True)).otherwise(inside | F.exists("edges", _touches)))
+    east, north = _corners(F.col("cx"), F.col("cy"), F.col("side"))
+    met = met.withColumn("ce", east).withColumn("cn", north)
+    hits = met.where((F.size("edges") == 0) | _inside(F.col("edges")) | F.exists("edges", _touches))
     return hits.groupBy(row_id).agg(F.min("poly_id").alias("poly_id"))
