@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
+from pinfold.functions.matching import ratio
+
 #: Words that stay lower inside a title, and words that token sets leave out: fixed values.
 SMALL_WORDS = "of the and or de la el da du van st".split()
 STOP_A = "THE OF AND A AN CHURCH INC PARISH".split()
@@ -121,17 +122,18 @@ def normal_name(name: str | None) -> str:
 
 
 def names_similar(a: str | None, b: str | None) -> bool:
-    """Equal normal forms, nearly the same tokens, or a high matching ratio."""
+    """Equal normal forms, nearly the same tokens, or a high matching ratio: one pair, in
+    Python; ``name_pairs.with_similar`` does it for tables."""
     x, y = normal_name(a), normal_name(b)
     if not x or not y:
         return False
     s, t = set(x.split()), set(y.split())
-    return x == y or len(s & t) / len(s | t) >= 0.85 or SequenceMatcher(None, x, y).ratio() >= 0.92
+    return x == y or len(s & t) / len(s | t) >= 0.85 or ratio(x, y) >= 0.92
 
 
 @F.pandas_udf(BooleanType())
 def similar_names(a: pd.Series, b: pd.Series) -> pd.Series:
-    """``names_similar`` in Arrow batches, for pairs that a distance join has already thinned."""
+    """``names_similar`` as a column, in Arrow batches."""
     return pd.Series([names_similar(x, y) for x, y in zip(a, b)], dtype="boolean")
 
 

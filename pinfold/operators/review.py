@@ -14,8 +14,10 @@ from pinfold.functions import rules as R
 from pinfold.functions import text as T
 from pinfold.functions.geo import haversine_m
 from pinfold.operators.cells import distance_pairs, nearest, only_partner
+from pinfold.operators.name_pairs import with_similar
 from pinfold.operators.polygons import containing
 from pinfold.plans import moves as M
+from pinfold.runtime import materialise
 
 BUCKETS = ("name_junk", "hifld_dupe", "on_building", "local_snap", "impossible", "rural_expected")
 
@@ -70,21 +72,28 @@ def scorecard(gaps: DataFrame, directory: DataFrame, areas: DataFrame, land: Dat
     A snap that shares its destination, or whose destination a pin of another name holds,
     is blocked: such a pin is ``rural_expected`` without the test for land, and its detail
     says why.  A pin to be reviewed goes on to the later buckets.
+
+    What speaks for each bucket is a column of one table, and one expression picks the first
+    that holds; only snaps, which block each other, wait for the pins that are left.
     """
-    junk = gaps.withColumn("detail", R.drop_reason("name")).where("detail is not null").select("row_id", F.lit(BUCKETS[0]).alias("bucket"), "detail")
-    rest = gaps.join(junk, "row_id", "left_anti")
-    dupes = band_dupes(rest, directory, **(band or {})).select("row_id", F.lit(BUCKETS[1]).alias("bucket"), F.col("other").cast("string").alias("detail"))
-    rest = rest.join(dupes, "row_id", "left_anti")
+    base = materialise(gaps.withColumn("junk", R.drop_reason("name")), "scorecard-pins")
+    live = base.where("junk is null").drop("junk")
     near_areas, snap_areas = (small_areas(areas, m) if "span_m" in areas.columns else areas for m in (near_span_m, snap_span_m))
-    built = nearest(distance_pairs(rest.select("row_id", "lat", "lon"), near_areas.select("row_id", "lat", "lon"), building_m)).select("row_id", F.lit(BUCKETS[2]).alias("bucket"), F.col("r_row_id").cast("string").alias("detail"))
-    rest = rest.join(built, "row_id", "left_anti")
-    moves = local_snaps(rest, snap_areas, **snap).where("action = 'snap'")
+    dupes = band_dupes(live, directory, **(band or {})).select("row_id", F.col("other").alias("dupe"))
+    built = nearest(distance_pairs(live.select("row_id", "lat", "lon"), near_areas.select("row_id", "lat", "lon"), building_m)).select("row_id", F.col("r_row_id").alias("built"))
+    told = materialise(base.join(dupes, "row_id", "left").join(built, "row_id", "left"), "scorecard-evidence")
+    rest = told.where("junk is null and dupe is null and built is null").drop("junk", "dupe", "built")
+    moves = materialise(local_snaps(rest, snap_areas, **snap).where("action = 'snap'"), "scorecard-moves")
     pins = gaps.select("row_id", "name", "lat", "lon").unionByName(directory.select("row_id", "name", "lat", "lon"))
-    guarded = M.guard_occupied(M.guard_unique(moves), pins)
-    snapped = guarded.select("row_id", F.when(F.col("blocked").isNull(), BUCKETS[3]).otherwise(BUCKETS[5]).alias("bucket"), F.coalesce("blocked", F.col("area").cast("string")).alias("detail"))
-    rest = rest.join(snapped, "row_id", "left_anti")
-    last = off_land(rest, land, lakes).select("row_id", F.when(F.col("why").isNotNull(), BUCKETS[4]).otherwise(BUCKETS[5]).alias("bucket"), F.col("why").alias("detail"))
-    return junk.unionByName(dupes).unionByName(built).unionByName(snapped).unionByName(last)
+    guarded = M.guard_occupied(M.guard_unique(moves), pins).select("row_id", F.col("area").alias("area"), "blocked")
+    why = off_land(rest.select("row_id", "lat", "lon"), land, lakes)
+    every = told.join(guarded, "row_id", "left").join(why, "row_id", "left")
+    free, blocked = F.col("area").isNotNull() & F.col("blocked").isNull(), F.col("blocked").isNotNull()
+    evidence = [(F.col("junk").isNotNull(), 0, "junk"), (F.col("dupe").isNotNull(), 1, "dupe"), (F.col("built").isNotNull(), 2, "built"), (free, 3, "area"), (blocked, 5, "blocked"), (F.col("why").isNotNull(), 4, "why")]
+    bucket, detail = F.lit(BUCKETS[5]), F.lit(None).cast("string")
+    for holds, k, says in reversed(evidence):
+        bucket, detail = F.when(holds, BUCKETS[k]).otherwise(bucket), F.when(holds, F.col(says).cast("string")).otherwise(detail)
+    return every.select("row_id", bucket.alias("bucket"), detail.alias("detail"))
 
 
 def fuzzy_snaps(pins: DataFrame, places: DataFrame, within_m: float = 500.0, least_m: float = 15.0) -> DataFrame:
@@ -128,8 +137,7 @@ def match_candidates(candidates: DataFrame, mapped: DataFrame, match_m: float =
     """
     told = candidates.withColumn("reason", R.drop_reason("name"))
     near = distance_pairs(told.where("reason is null").select("row_id", "name", "lat", "lon"), mapped.select("row_id", "name", "lat", "lon"), match_m)
-    equal = T.normal_names(F.col("name")) == T.normal_names(F.col("r_name"))
-    near = near.withColumn("similar", T.similar_names(F.col("name"), F.col("r_name"))).withColumn("stacked", (F.col("dist_m") <= stack_m) & equal)
+    near = with_similar(near, "name", "r_name").withColumn("stacked", (F.col("dist_m") <= stack_m) & (F.col("normal_a") == F.col("normal_b")))
     first = near.groupBy("row_id").agg(F.min(F.when(F.col("similar"), F.col("r_row_id"))).alias("hit"), F.min(F.when(F.col("stacked"), F.col("r_row_id"))).alias("stack"))
     action = R.first_of(
         [(F.col("reason").isNotNull(), "FILTER_DROP"), (F.col("lat").isNull() | F.col("lon").isNull(), "GEOCODE_FAIL"), (F.col("hit").isNotNull(), "MATCH_EXISTING"), (F.col("stack").isNotNull(), "STACK_DUP")],

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, FractionalType, NumericType
 
 from pinfold.functions.geo import clean_fips
+from pinfold.runtime import broadcast_checked, materialise
 
-#: Values of a key that bound the ranges its values are counted in, about.
-BUCKETS = 1024
+#: Values of a key that bound the ranges its values are counted in, about; exactness of the
+#: sketch of a key, as a part of its rows.
+BUCKETS, SKETCH = 1024, 1000
 
 
 def levels(df: DataFrame, outer: str, inner: str, measures: dict) -> DataFrame:
@@ -76,11 +79,28 @@ def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The element in the middle of the sorted values, the upper one of two; nulls are left
     out, keys without values absent.  Values may be of any ordered type.
 
-    Values are counted, and the counts of each key ranked in two levels by the places of a
-    sample of its values: however values are spread, no part holds much more than its share
-    of them, and a hot key is not sorted in one task.
+    Numbers take two passes: a sketch of each key gives two values between which the middle
+    must lie, and one aggregation counts what is below and each value between.  Only the
+    values between, a few thousandths of a key, are ranked.  Other types are counted and
+    ranked in parts that a sample of their values bounds.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    kept = df.where(F.col(value).isNotNull())
+    if not isinstance(df.schema[value].dataType, NumericType):
+        return _sampled_median(kept, by, value)
+    # a sketch knows no order of what is not a number: the largest there is stands for it
+    real = isinstance(df.schema[value].dataType, FractionalType) and not isinstance(df.schema[value].dataType, DecimalType)
+    plain = F.when(F.isnan(value), F.lit(float("inf"))).otherwise(F.col(value)) if real else F.col(value)
+    around = F.percentile_approx(plain, F.array(F.lit(0.5 - 2 / SKETCH), F.lit(0.5 + 2 / SKETCH)), F.lit(SKETCH))
+    sketch = materialise(kept.groupBy(*by).agg(around.alias("mid"), F.count("*").alias("n")), "median-sketch")
+    met = kept.select(*by, value, plain.alias("plain")).join(broadcast_checked(sketch), by).where("plain <= mid[1]")
+    counts = met.groupBy(*by, "n", F.when(F.col("plain") >= F.col("mid")[0], F.col(value)).alias(value)).agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_first()))
+    ranked = counts.withColumn("upto", upto).where(F.col(value).isNotNull() & F.expr("upto > n div 2 and upto - c <= n div 2"))
+    return ranked.select(*by, F.col(value).alias("upper_median"), "n")
+
+
+def _sampled_median(kept: DataFrame, by: list[str], value: str) -> DataFrame:
+    counts = kept.groupBy(*by, value).agg(F.count("*").alias("c"))
     # different values that a hash picks, fewer the more a key has
     size = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.count("*").alias("kinds"))
     marked = counts.join(size, by).withColumn("mark", F.pmod(F.xxhash64(value), F.greatest(F.floor(F.col("kinds") / BUCKETS), F.lit(1))) == 0)

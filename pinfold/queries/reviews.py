@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+from difflib import SequenceMatcher
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,10 +136,23 @@ def candidate_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _similar_sql() -> str:
-    """Pairs of the finitely many names of the pins that are similar: SQL has no matching
-    ratio, so the oracle is given its outcome and checks the join, the order and the rest."""
+    """Pairs of the finitely many names of the pins that are similar.  SQL has no matching
+    ratio, so the oracle is given that of Python's own library, on forms written down here
+    once more: nothing of it is what the query runs."""
     every = sorted({f"P{k} {s}".strip() for k in range(7) for s in SUFFIXES})
-    like = [(a, b) for a in every for b in every if T.names_similar(a, b)]
+
+    def plain(name: str) -> str:
+        parts = re.sub(r"\W", " ", unicodedata.normalize("NFKC", name).lower()).split()
+        while parts and parts[-1] in T.COMPANY:
+            parts.pop()
+        return " ".join(T.EXPAND.get(p, p) for p in parts)
+
+    def alike(x: str, y: str) -> bool:
+        s, t = set(x.split()), set(y.split())
+        return bool(x and y) and (x == y or len(s & t) >= 0.85 * len(s | t) or SequenceMatcher(None, x, y).ratio() >= 0.92)
+
+    forms = {n: plain(n) for n in every}
+    like = [(a, b) for a in every for b in every if alike(forms[a], forms[b])]
     return "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in like) + ") sim(x, y)"
 
 

@@ -144,3 +144,30 @@ def test_rules_and_state_codes(spark):
     rows = spark.createDataFrame([(1, "GRACE CHURCH", "", 40.123456, -75.0, "PA", "NEW YORK"), (2, "Shop", "", 40.0, -75.0, "PA", ""), (3, "Grace", "X20", 0.0, 0.0, "PA", "")], "row_id long, name string, code string, lat double, lon double, state string, city string")
     got = R.baked(rows).orderBy("row_id").collect()
     assert (got[0].name, got[0].lat, got[0].city) == ("Grace Church", 40.12346, "New York") and [r["class"] for r in got] == ["christian", "unclassified", "skipped"]
+
+
+def test_medians_of_hot_keys_ties_and_odd_numbers(spark):
+    rng = random.Random(7)
+    rows = [("hot", float(rng.randint(0, 5000)), i) for i in range(40_000)] + [("ties", 2.0, i) for i in range(999)] + [("ties", 1.0, i) for i in range(5)]
+    rows += [("nan", float("nan"), i) for i in range(6)] + [("nan", 1.0, 1), ("inf", float("-inf"), 1), ("inf", float("inf"), 2), (None, 3.0, 5), (None, 1.0, 4)]
+    df = spark.createDataFrame(rows, "k string, v double, i int").repartition(7)
+    got = {r.k: (str(r.upper_median), r.n) for r in upper_median(df, ["k"], "v").collect()}
+    for k in {r[0] for r in rows} - {None}:
+        values = sorted((r[1] for r in rows if r[0] == k), key=lambda v: (v != v, v))
+        assert got[k] == (str(values[len(values) // 2]), len(values))
+    ties = sorted(r[2] for r in rows if r[0] == "ties")
+    assert {r.k: r.upper_median for r in upper_median(df, ["k"], "i").collect()}["ties"] == ties[len(ties) // 2]
+
+
+def test_scorecard_is_planned_once(spark, monkeypatch):
+    plans = []
+    for name in ("materialise",):
+        real = getattr(V, name)
+        monkeypatch.setattr(V, name, lambda df, label, real=real: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, label))
+    rows = [(i, f"Hall {i % 3} of Zion", 0, 40 + i * 0.01, -75.0, "PA") for i in range(40)]
+    square = spark.createDataFrame([("land", [[[-80.0, 39.0], [-74.0, 39.0], [-74.0, 43.0], [-80.0, 43.0], [-80.0, 39.0]]])], "poly_id string, rings array<array<array<double>>>")
+    out = V.scorecard(pins(spark, rows), pins(spark, rows[:9]), pins(spark, rows[20:]), edges_of(square), edges_of(square).limit(0))
+    assert len({r.row_id for r in out.collect()}) == 40
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    # final and initial plans are both told; either half is below the bound
+    assert len(plans) == 4 and sum(p.count("Exchange ") for p in plans) / 2 < 60
