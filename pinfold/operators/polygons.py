@@ -104,7 +104,7 @@ def _dealt(edges: DataFrame, side: float) -> DataFrame:
 
 
 #: Cells of the grid of borders that the reach is long; rings after which points stop looking.
-RINGS = (1, 2, 4, 8)
+RINGS = (2, 8)
 
 
 def nearest_border(points: DataFrame, edges: DataFrame, reach_deg: float, row_id: str = "row_id") -> DataFrame:
@@ -131,8 +131,9 @@ def nearest_border(points: DataFrame, edges: DataFrame, reach_deg: float, row_id
     rest = p.join(near, ["by", "bx"], "left_semi").select(row_id, "lat", "lon", "py", "px", F.lit(None).cast(f"struct<nano:bigint,poly_id:{lean.schema['poly_id'].dataType.simpleString()},deg:double>").alias("best"))
     found, seen = None, -1
     for k in RINGS:
-        steps = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in range(-k, k + 1) for j in range(-k, k + 1) if max(abs(i), abs(j)) > seen])
-        looking = rest.select(row_id, "lat", "lon", "py", "px", F.inline(steps)).withColumn("cy", F.col("py") + F.col("dy")).withColumn("cx", F.col("px") + F.col("dx"))
+        step = F.explode(F.sequence(F.lit(-k), F.lit(k)))
+        looking = rest.select(row_id, "lat", "lon", "py", "px", step.alias("dy")).withColumn("dx", step).where(F.greatest(F.abs("dy"), F.abs("dx")) > seen)
+        looking = looking.withColumn("cy", F.col("py") + F.col("dy")).withColumn("cx", F.col("px") + F.col("dx"))
         met = looking.join(cells, ["cy", "cx"]).withColumn("t", along).withColumn("deg", deg).where(F.col("deg") < reach_deg)
         best = met.groupBy(row_id).agg(F.min(F.struct(F.floor(F.col("deg") * 1e9 + 0.5).alias("nano"), "poly_id", "deg")).alias("now"))
         told = materialise(rest.join(best, row_id, "left").withColumn("best", F.least("best", "now")).drop("now"), "border-ring")

@@ -25,9 +25,10 @@ BUCKETS = ("name_junk", "hifld_dupe", "on_building", "local_snap", "impossible",
 def band_dupes(gaps: DataFrame, directory: DataFrame, low_m: float = 250.0, high_m: float = 1000.0, least: float = 0.7, neighbourhood: str = "radius") -> DataFrame:
     """``row_id, other, dist_m``: the nearest directory pin of the class in the band whose
     name tokens are similar or the same."""
-    pairs = distance_pairs(gaps.select("row_id", "name", "rel", "lat", "lon"), directory.select("row_id", "name", "rel", "lat", "lon"), high_m, ["rel"], neighbourhood=neighbourhood)
-    mine, other = T.tokens_a("name"), T.tokens_a("r_name")
-    alike = pairs.where((F.col("dist_m") >= low_m) & ((T.jaccard(mine, other) >= least) | (mine == other)))
+    # tokens are told apart once a row, not once a pair
+    told = lambda df: df.select("row_id", T.tokens_a("name").alias("t"), "rel", "lat", "lon")
+    pairs = distance_pairs(told(gaps), told(directory), high_m, ["rel"], neighbourhood=neighbourhood)
+    alike = pairs.where((F.col("dist_m") >= low_m) & ((T.jaccard("t", "r_t") >= least) | (F.col("t") == F.col("r_t"))))
     return nearest(alike.select("row_id", "r_row_id", "dist_m")).withColumnRenamed("r_row_id", "other")
 
 
