@@ -45,7 +45,7 @@ def near_clusters(pins: DataFrame, radius_m: float, on: list[str], row_id: str =
     pairs = distance_pairs(place, place, radius_m, on).where(F.col(row_id) < F.col(f"r_{row_id}"))
     apart = (cell("lat", side) != cell("r_lat", side)) | (cell("lon", side) != cell("r_lon", side))
     near = pairs.where(apart).select(F.col(row_id).alias("src"), F.col(f"r_{row_id}").alias("dst"))
-    groups = connected_components(near.unionAll(chained).unionAll(same))
+    groups = connected_components(near.unionAll(chained).unionAll(same), contract=True)
     return pins.select(row_id).join(groups.withColumnRenamed("node", row_id), row_id, "left").select(row_id, F.coalesce("component", row_id).alias("component"))
 
 
