@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pinfold.functions.geo import in_country, rounded
@@ -129,6 +129,17 @@ def bake_counters(places: DataFrame) -> DataFrame:
     return places.groupBy("class").agg(F.count("*").alias("n"))
 
 
+def observed(places: DataFrame) -> tuple[DataFrame, Observation]:
+    """``places`` as they are, and their counters, which fill while the rows are written.
+
+    After the write, ``counters.get`` holds ``n`` and the rows of each class that
+    ``bake_counters`` would count, without a pass of its own; classes without rows are 0.
+    """
+    counters = Observation()
+    each = [F.count_if(F.col("class") == c).alias(c) for c in (*RELIGIONS, "skipped", "unclassified")]
+    return places.observe(counters, F.count(F.lit(1)).alias("n"), *each), counters
+
+
 def map_class(cls: Column | str, name: Column | str) -> Column:
     """Religion of a map row: by its class, else by its name."""
     c = F.lower(F.trim(_text(cls)))

@@ -57,6 +57,16 @@ def small_areas(areas: DataFrame, most_m: float) -> DataFrame:
     return areas.where(F.col("span_m") <= most_m)
 
 
+def landmark_places(areas: DataFrame, most_m: float = 800.0, least_tokens: int = 2) -> DataFrame:
+    """``state, key, places``: the buildings of each name in each state, ``areas(row_id, name,
+    state, lat, lon, span_m)`` of ``most_m`` across at most.  ``key`` are the name's tokens,
+    ``places`` structs in order of ``row_id``.  A name repeats in a state as often as it has
+    such buildings there, so a row holds what one name has."""
+    kept = _keyed(small_areas(areas, most_m), least_tokens)
+    place = F.struct("row_id", "lat", "lon", "span_m")
+    return kept.groupBy("state", "key").agg(F.array_sort(F.collect_list(place)).alias("places"))
+
+
 def off_land(points: DataFrame, land: DataFrame, lakes: DataFrame) -> DataFrame:
     """``row_id, why`` of every point: in-lake, not-on-land, or null where it may lie."""
     on_land = containing(points, land).select("row_id", F.lit(True).alias("land"))

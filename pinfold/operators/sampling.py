@@ -80,5 +80,8 @@ def click_stack(pins: DataFrame, x: float, y: float, hit: float = 24.0, penalty:
     best = seen.agg(F.min("d")).first()[0]
     tied = seen.where(F.lit(False) if best is None else F.col("d") <= best + slack)
     same = tied.groupBy("rel").agg(F.count("*").alias("same"))
-    ranked = tied.join(F.broadcast(same), "rel").withColumn("all", F.lit(0)).withColumn("turn", F.struct("same", "rel")).withColumn("start", F.substring("name", 1, 12))
-    return spread_rank(ranked, ["all"], ["turn", "start"], ["name", "row_id"], "nth").drop("same", "d", "all", "turn", "start")
+    ranked = tied.join(F.broadcast(same), "rel").withColumn("all", F.lit(0)).withColumn("turn", F.struct("same", "rel"))
+    # names as people order them: by letters, then by accents, then by case; beginnings by letters alone,
+    # which no accent further on can turn around
+    ranked = ranked.withColumn("start", F.collate(F.substring(F.coalesce("name", F.lit("")), 1, 12), "UNICODE_CI_AI"))
+    return spread_rank(ranked, ["all"], ["turn", "start"], [F.collate("name", "UNICODE"), "row_id"], "nth").drop("same", "d", "all", "turn", "start")

@@ -5,17 +5,22 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pinfold.functions import rules as R
+from pinfold.functions import text as T
 from pinfold.functions.geo import rounded
+from pinfold.operators.cells import distance_pairs
+from pinfold.operators.components import connected_components, merge_components
 from pinfold.operators.covering import containing_prepared, prepare
 from pinfold.operators.grid_index import GridIndex, in_view, indexed_pairs, write_grid_index
 from pinfold.operators.polygons import edges_of, nearest_border
-from pinfold.queries.names import _REASON
-from pinfold.queries.pins import nation_edges_sql, nation_rings, pins, pins_sql, round_sql
+from pinfold.operators.review import landmark_places
+from pinfold.queries.names import _REASON, sql_tokens
+from pinfold.queries.pins import hav, nation_edges_sql, nation_rings, pins, pins_sql, round_sql
 from pinfold.queries.places import _INSIDE
 from pinfold.queries.reviews import _near
-from pinfold.runtime import scratch_dir
+from pinfold.runtime import materialise, scratch_dir
 
 C, S, E = pins_sql(), pins_sql("supplier"), nation_edges_sql()
 
@@ -66,5 +71,32 @@ WITH d AS (SELECT row_id, poly_id, sqrt((lon-x1-t*(x2-x1))*(lon-x1-t*(x2-x1)) +
 SELECT row_id, poly_id, {round_sql('deg', 7)} AS deg FROM d WHERE deg < 0.01 QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY floor(deg * 1e9 + 0.5), poly_id) = 1"""
 
 
-QUERIES = {"indexed_gap_rows": indexed_gap_rows, "indexed_view": indexed_view, "covered_points": covered_points, "ring_borders": ring_borders}
-SQL = {"indexed_gap_rows": INDEXED_GAP_ROWS, "indexed_view": INDEXED_VIEW, "covered_points": COVERED_POINTS, "ring_borders": RING_BORDERS}
+def merged_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of pins of a class and segment within 500 m: those of every second pin are
+    connected and stored, the links of the others are merged with them."""
+    p = pins(spark, sf_dir).select("row_id", "rel", "segment", "lat", "lon")
+    links = distance_pairs(p, p, 500.0, ["rel", "segment"]).where("row_id < r_row_id").select(F.col("row_id").alias("src"), F.col("r_row_id").alias("dst"))
+    stored = materialise(connected_components(links.where("src % 2 = 0"), contract=True), "stored-components")
+    return merge_components(stored, links.where("src % 2 <> 0")).withColumnRenamed("node", "row_id")
+
+
+MERGED_COMPONENTS = f"""
+WITH RECURSIVE p AS (SELECT * FROM {C}),
+e AS (SELECT a.row_id AS u, b.row_id AS v FROM p a JOIN p b ON a.rel = b.rel AND a.segment = b.segment AND a.row_id <> b.row_id AND abs(a.lat - b.lat) <= 0.006 AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 500e0),
+r AS (SELECT u, u AS w FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.w)
+SELECT u AS row_id, min(w) AS component FROM r GROUP BY 1"""
+
+
+def landmark_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buildings of each name and state, their spans made of their numbers."""
+    areas = pins(spark, sf_dir).withColumn("span_m", (F.col("row_id") * 37 % 1600).cast("double"))
+    return landmark_places(areas).select("state", "key", F.size("places").cast("long").alias("n"), F.element_at("places", 1)["row_id"].alias("first"), F.element_at("places", -1)["row_id"].alias("last"))
+
+
+LANDMARK_ROWS = f"""
+WITH a AS (SELECT *, {sql_tokens('name', T.SAME_A, T.STOP_A)} AS t FROM {C} WHERE row_id * 37 % 1600 <= 800)
+SELECT state, array_to_string(t, ' ') AS key, count(*) AS n, min(row_id) AS first, max(row_id) AS last FROM a WHERE len(t) >= 2 GROUP BY 1, 2"""
+
+
+QUERIES = {"indexed_gap_rows": indexed_gap_rows, "indexed_view": indexed_view, "covered_points": covered_points, "ring_borders": ring_borders, "merged_components": merged_components, "landmark_rows": landmark_rows}
+SQL = {"indexed_gap_rows": INDEXED_GAP_ROWS, "indexed_view": INDEXED_VIEW, "covered_points": COVERED_POINTS, "ring_borders": RING_BORDERS, "merged_components": MERGED_COMPONENTS, "landmark_rows": LANDMARK_ROWS}

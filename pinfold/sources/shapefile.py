@@ -4,7 +4,8 @@
 ``Shapefiles``; one partition for each file.  ``path`` names ``.shp`` files or ``.zip``
 archives, separated by commas, that every executor can read.  Rows are
 ``osm_id, name, fclass, kind, lat, lon, span_lat, span_lon``: points as they are, areas by
-the mean of the vertices of their first ring and by the span of their box.
+the mean of the vertices of their first ring and by the span of their box.  With the option
+``states`` (``slug:ST,slug:ST``) a column ``state`` tells whose name is in the path of a file.
 """
 
 from __future__ import annotations
@@ -75,7 +76,7 @@ class Shapefiles(DataSource):
         return "shapefile"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + (", state string" if self.options.get("states") else "")
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Shapes(self.options, schema)
@@ -84,15 +85,18 @@ class Shapefiles(DataSource):
 class _Shapes(DataSourceReader):
     def __init__(self, options: dict, schema: StructType) -> None:
         self.paths, self.layer, self.columns = options["path"].split(","), options.get("layer", ""), schema.fieldNames()
+        self.states = [s.split(":") for s in options.get("states", "").split(",") if s]
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        # the longest slug that fits: west-virginia is not virginia
+        slug = max((s for s in self.states if s[0] in partition.value), key=lambda s: len(s[0]), default=("", None))
         for shp, dbf in layers(partition.value, self.layer):
             for row, shape in zip(records(dbf), shapes(shp)):
                 if shape is not None:
-                    full = row | dict(zip(("kind", "lat", "lon", "span_lat", "span_lon"), shape))
+                    full = row | dict(zip(("kind", "lat", "lon", "span_lat", "span_lon"), shape)) | {"state": slug[1]}
                     yield tuple(full.get(c) for c in self.columns)
 
 
