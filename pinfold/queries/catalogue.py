@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pinfold.queries import names, places, reviews, stored
+from pinfold.queries import counts, names, places, reviews, stored
 
-QUERIES = {**names.QUERIES, **places.QUERIES, **reviews.QUERIES, **stored.QUERIES}
-SQL = {**names.SQL, **places.SQL, **reviews.SQL, **stored.SQL}
+QUERIES = {**names.QUERIES, **places.QUERIES, **reviews.QUERIES, **stored.QUERIES, **counts.QUERIES}
+SQL = {**names.SQL, **places.SQL, **reviews.SQL, **stored.SQL, **counts.SQL}
