@@ -77,7 +77,8 @@ def gap_report(mapped: DataFrame, counted: DataFrame, keys: list[str]) -> DataFr
 
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The element in the middle of the sorted values, the upper one of two; nulls are left
-    out, keys without values absent.  Values may be of any ordered type.
+    out, keys without values absent.  Values may be of any ordered type.  Null keys are keys
+    of numbers, and left out of other types.
 
     Numbers take two passes: a sketch of each key gives two values between which the middle
     must lie, and one aggregation counts what is below and each value between.  Only the
@@ -92,7 +93,9 @@ def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
     plain = F.when(F.isnan(value), F.lit(float("inf"))).otherwise(F.col(value)) if real else F.col(value)
     around = F.percentile_approx(plain, F.array(F.lit(0.5 - 2 / SKETCH), F.lit(0.5 + 2 / SKETCH)), F.lit(SKETCH))
     sketch = materialise(kept.groupBy(*by).agg(around.alias("mid"), F.count("*").alias("n")), "median-sketch")
-    met = kept.select(*by, value, plain.alias("plain")).join(broadcast_checked(sketch), by).where("plain <= mid[1]")
+    told = sketch.select(*[F.col(k).alias(f"s_{k}") for k in by], "mid", "n")
+    same = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in by]
+    met = kept.select(*by, value, plain.alias("plain")).join(broadcast_checked(told), same).where("plain <= mid[1]")
     counts = met.groupBy(*by, "n", F.when(F.col("plain") >= F.col("mid")[0], F.col(value)).alias(value)).agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*by).orderBy(F.col(value).asc_nulls_first()))
     ranked = counts.withColumn("upto", upto).where(F.col(value).isNotNull() & F.expr("upto > n div 2 and upto - c <= n div 2"))

@@ -64,9 +64,9 @@ def local_snap_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row_id", "action", "area", rounded("move_m", 1).alias("move_m"))
 
 
-def _snaps(s: str, near: float) -> str:
+def _snaps(s: str, near: float, areas: str = C) -> str:
     m = hav("a.lat", "a.lon", "b.lat", "b.lon")
-    return f"""(WITH a AS (SELECT *, {_A('name')} AS t FROM {s}), b AS (SELECT *, {_A('name')} AS t FROM {C}),
+    return f"""(WITH a AS (SELECT *, {_A('name')} AS t FROM {s}), b AS (SELECT *, {_A('name')} AS t FROM {areas}),
   p AS (SELECT a.row_id, a.name, b.row_id AS area, b.lat AS new_lat, b.lon AS new_lon, {m} AS m, count(*) OVER (PARTITION BY a.row_id) AS every FROM a JOIN b ON a.state = b.state AND a.t = b.t WHERE len(a.t) >= 2),
   n AS (SELECT *, count(*) FILTER (m >= 1500 AND m <= {near}) OVER (PARTITION BY row_id) AS close FROM p)
   SELECT row_id, name, 'snap' AS action, area, new_lat, new_lon, m FROM n WHERE close = 1 AND m >= 1500 AND m <= {near}
@@ -82,12 +82,13 @@ def scorecard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.scorecard(pins(spark, sf_dir, "supplier"), pins(spark, sf_dir), pins(spark, sf_dir), e.where("poly_id <> 'C'"), e.where("poly_id = 'C'"), building_m=120.0, band=BAND, near_m=10_000.0)
 
 
-SCORECARD_ROWS = f"""
+def _scorecard_sql(near: str = C, snap: str = C) -> str:
+    return f"""
 WITH s AS (SELECT *, {_REASON} AS junk FROM {S}), c AS (SELECT * FROM {C}),
-d AS (SELECT * FROM {_DUPES}), b AS (SELECT row_id, other FROM {_near(S, C, 120, 'true')} QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY {_MM}, other) = 1),
+d AS (SELECT * FROM {_DUPES}), b AS (SELECT row_id, other FROM {_near(S, near, 120, 'true')} QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY {_MM}, other) = 1),
 one AS (SELECT row_id, CASE WHEN junk IS NOT NULL THEN 'name_junk' WHEN d.other IS NOT NULL THEN 'hifld_dupe' WHEN b.other IS NOT NULL THEN 'on_building' END AS bucket,
   CASE WHEN junk IS NOT NULL THEN junk ELSE coalesce(d.other, b.other)::VARCHAR END AS detail FROM s LEFT JOIN d USING (row_id) LEFT JOIN b USING (row_id)),
-q AS (SELECT x.*, floor(new_lat * 100000e0 + 0.5) AS dla, floor(new_lon * 100000e0 + 0.5) AS dlo FROM {_snaps(S, 10000)} x JOIN one ON one.row_id = x.row_id AND bucket IS NULL WHERE action = 'snap'),
+q AS (SELECT x.*, floor(new_lat * 100000e0 + 0.5) AS dla, floor(new_lon * 100000e0 + 0.5) AS dlo FROM {_snaps(S, 10000, snap)} x JOIN one ON one.row_id = x.row_id AND bucket IS NULL WHERE action = 'snap'),
 held AS (SELECT floor(lat * 100000e0 + 0.5) AS la, floor(lon * 100000e0 + 0.5) AS lo, name FROM c UNION SELECT floor(lat * 100000e0 + 0.5), floor(lon * 100000e0 + 0.5), name FROM s),
 g AS (SELECT row_id, area, CASE WHEN count(*) OVER (PARTITION BY dla, dlo) > 1 THEN 'shared_destination' WHEN EXISTS (SELECT 1 FROM held WHERE la = dla AND lo = dlo AND held.name <> q.name) THEN 'occupied' END AS blocked FROM q),
 h AS (SELECT row_id, bool_or(poly_id <> 'C') AS land, bool_or(poly_id = 'C') AS lake FROM (SELECT row_id, poly_id FROM s CROSS JOIN {edges_sql()} GROUP BY 1, 2 HAVING {_INSIDE}) GROUP BY 1)
@@ -96,6 +97,21 @@ SELECT one.row_id, coalesce(bucket, CASE WHEN g.row_id IS NOT NULL AND blocked I
 FROM one LEFT JOIN g ON g.row_id = one.row_id LEFT JOIN h ON h.row_id = one.row_id"""
 
 
+SCORECARD_ROWS = _scorecard_sql()
+
+
+def scorecard_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scorecard where areas tell their spans, made of their numbers: grounds are no
+    buildings to lie on, and large buildings none to snap to."""
+    e, p = edges_of(polygons(spark)), pins(spark, sf_dir)
+    areas = p.withColumn("span_m", (F.col("row_id") * 37 % 9000).cast("double"))
+    return V.scorecard(pins(spark, sf_dir, "supplier"), p, areas, e.where("poly_id <> 'C'"), e.where("poly_id = 'C'"), building_m=120.0, band=BAND, near_m=10_000.0, snap_span_m=4000.0)
+
+
+_SPAN = lambda most: f"(SELECT * FROM {C} WHERE row_id * 37 % 9000 <= {most})"
+SCORECARD_SPANS = _scorecard_sql(_SPAN(5000), _SPAN(4000))
+
+
 def fuzzy_snap_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each external pin goes within its state and class, or why it stays."""
     out = V.fuzzy_snaps(pins(spark, sf_dir, "supplier"), pins(spark, sf_dir), within_m=6000.0)
@@ -356,12 +372,12 @@ OUTLINES = """WITH o AS (SELECT n_nationkey::VARCHAR AS poly_id, r_name AS state
 SELECT poly_id, state, county, (poly_id = '3')::BIGINT + (state = 'AMERICA' AND lower(county) = 'nation_6')::BIGINT + (state = 'ASIA')::BIGINT AS n FROM o WHERE poly_id = '3' OR (state = 'AMERICA' AND lower(county) = 'nation_6') OR state = 'ASIA'"""
 
 QUERIES = {
-    "band_dupe_pairs": band_dupe_pairs, "local_snap_plan": local_snap_plan, "scorecard_rows": scorecard_rows, "fuzzy_snap_plan": fuzzy_snap_plan, "snap_twins": snap_twins, "exact_spec_lookup": exact_spec_lookup,
+    "band_dupe_pairs": band_dupe_pairs, "local_snap_plan": local_snap_plan, "scorecard_rows": scorecard_rows, "scorecard_spans": scorecard_spans, "fuzzy_snap_plan": fuzzy_snap_plan, "snap_twins": snap_twins, "exact_spec_lookup": exact_spec_lookup,
     "candidate_actions": candidate_actions, "gap_rows": gap_rows, "guarded_moves": guarded_moves, "census_cube": census_cube_rows, "filtered_report": filtered_report, "gap_totals": gap_totals, "nested_map": nested_map,
     "place_pages": place_pages, "page_points": page_points, "land_rows": land_rows, "distinct_hosts": distinct_hosts, "bake": bake, "unclassified_sample": unclassified_sample, "review_sample": review_sample, "quota_sample": quota_sample_rows, "provenance": provenance_rows, "outlines": outlines,
 }
 SQL = {
-    "band_dupe_pairs": BAND_DUPE_PAIRS, "local_snap_plan": LOCAL_SNAP_PLAN, "scorecard_rows": SCORECARD_ROWS, "fuzzy_snap_plan": FUZZY_SNAP_PLAN, "snap_twins": SNAP_TWINS, "exact_spec_lookup": EXACT_SPEC,
+    "band_dupe_pairs": BAND_DUPE_PAIRS, "local_snap_plan": LOCAL_SNAP_PLAN, "scorecard_rows": SCORECARD_ROWS, "scorecard_spans": SCORECARD_SPANS, "fuzzy_snap_plan": FUZZY_SNAP_PLAN, "snap_twins": SNAP_TWINS, "exact_spec_lookup": EXACT_SPEC,
     "candidate_actions": CANDIDATE_ACTIONS, "gap_rows": GAP_ROWS, "guarded_moves": GUARDED_MOVES, "census_cube": CENSUS_CUBE, "filtered_report": FILTERED_REPORT, "gap_totals": GAP_TOTALS, "nested_map": NESTED_MAP,
     "place_pages": PLACE_PAGES, "page_points": PAGE_POINTS, "land_rows": LAND_ROWS, "distinct_hosts": DISTINCT_HOSTS, "bake": BAKE, "unclassified_sample": UNCLASSIFIED, "review_sample": REVIEW_SAMPLE, "quota_sample": QUOTA_SAMPLE, "provenance": PROVENANCE, "outlines": OUTLINES,
 }
