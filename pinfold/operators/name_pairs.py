@@ -15,8 +15,12 @@ from pyspark.sql.types import BooleanType
 
 from pinfold.functions import text as T
 from pinfold.functions.matching import ratio
-from pinfold.runtime import materialise, ship_package
+from pinfold.functions.geo import DEGREE_M, cell
+from pinfold.operators.cells import within_reach
+from pinfold.runtime import materialise, ship_package, shuffled
 
+#: Pairs of different names that meet without a look at where they are.
+EVERY_NAME = 1 << 20
 #: Shared tokens of all tokens, and matched characters of all, from which names are similar.
 LEAST_TOKENS, LEAST_RATIO = 0.85, 0.92
 
@@ -78,3 +82,33 @@ def with_similar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     open_ = told.where("verdict is null").select(F.col("normal_a").alias("na"), F.col("normal_b").alias("nb")).distinct().withColumn("ratio", _matching("na", "nb"))
     met = told.join(open_, F.col("verdict").isNull() & (F.col("normal_a") == F.col("na")) & (F.col("normal_b") == F.col("nb")), "left")
     return met.withColumn("similar", F.coalesce("verdict", "ratio")).drop("verdict", "na", "nb", "ratio")
+
+
+def near_names(left: DataFrame, right: DataFrame, radius_m: float, name: str) -> DataFrame:
+    """``name, r_name`` of different names: at least all those whose rows lie within the radius.
+
+    Names meet in the cells they occur in, where a name counts once however many rows have
+    it; or all of them meet, where that is less work because the same few are everywhere.
+    """
+    wide = DEGREE_M / (2 * radius_m)
+    mine = materialise(within_reach(left.select(name, "lat", "lon"), radius_m, wide).select(name, "ci", "cj").distinct(), "names-near")
+    other = materialise(right.where("lat is not null and lon is not null").select(F.col(name).alias(f"r_{name}"), cell("lat", wide).alias("ci"), cell("lon", wide).alias("cj")).distinct(), "names-there")
+    a, b = (materialise(df.select(c).distinct(), "names") for df, c in ((mine, name), (other, f"r_{name}")))
+    every = a.count() * b.count()
+    if every > EVERY_NAME:
+        often = lambda df, n: df.groupBy("ci", "cj").agg(F.count("*").alias(n))
+        met = often(mine, "n").join(often(other, "m"), ["ci", "cj"]).agg(F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0))).first()[0]
+        if met < every:
+            return shuffled(mine).join(other, ["ci", "cj"]).select(name, f"r_{name}").distinct()
+    return a.repartition(a.sparkSession.sparkContext.defaultParallelism).crossJoin(b)
+
+
+def matching_names(left: DataFrame, right: DataFrame, radius_m: float, match: Column, name: str = "t") -> tuple[DataFrame, DataFrame]:
+    """Both tables, ready to be joined on equal ``name``: ``left`` has each row once for every
+    name near it that ``match`` (on ``name`` and ``r_name``) finds for its own.
+
+    Names are compared once for each pair of different ones, so rows of many copies of few
+    names meet only partners that match.
+    """
+    pairs = materialise(near_names(left, right, radius_m, name).where(match), "name-matches")
+    return left.join(pairs, name).drop(name).withColumnRenamed(f"r_{name}", name), right

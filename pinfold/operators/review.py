@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pinfold.functions import rules as R
 from pinfold.functions import text as T
 from pinfold.functions.geo import haversine_m
-from pinfold.operators.cells import distance_pairs, nearest, only_partner
-from pinfold.operators.name_pairs import with_similar
+from pinfold.operators.cells import distance_pairs, first_within, nearest, nearest_within
+from pinfold.operators.name_pairs import matching_names, near_names, with_similar
 from pinfold.operators.polygons import containing
 from pinfold.plans import moves as M
-from pinfold.runtime import materialise
+from pinfold.runtime import materialise, shuffled
 
 BUCKETS = ("name_junk", "hifld_dupe", "on_building", "local_snap", "impossible", "rural_expected")
 

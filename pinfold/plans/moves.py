@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pinfold.functions.geo import coord_key
-from pinfold.operators.cells import distance_pairs
+from pinfold.operators.cells import nearest_within
+from pinfold.runtime import shuffled
 
 
 def apply_drops(rows: DataFrame, plan: DataFrame, row_id: str = "row_id") -> DataFrame:

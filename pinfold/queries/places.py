@@ -10,15 +10,17 @@ from pinfold.functions import text as T
 from pinfold.functions.geo import cell, coord_key, haversine_m, rounded, zoom_size
 from pinfold.functions.hashing import hash01
 from pinfold.functions.rules import drop_reason, first_of, near_score, stack_score
-from pinfold.operators.cells import cell_window_pairs, distance_pairs, nearest, without_near
+from pinfold.operators.cells import distance_pairs, nearest, nearest_in_window, nearest_within, without_near
 from pinfold.operators.dedupe import best_of, near_dedupe
+from pinfold.operators.name_pairs import matching_names
+from pinfold.operators.pair_counts import count_pairs
 from pinfold.operators.polygons import assign, containing, edges_of, ring_stats
 from pinfold.operators.rollup import count_vectors, gap_report, levels, vector_total
 from pinfold.operators.sampling import click_stack, fill_quota
 from pinfold.plans import moves as M
 from pinfold.queries.names import _REASON, sql_says, sql_tokens
 from pinfold.queries.pins import edges_sql, hav, nation_edges_sql, nation_rings, pins, pins_sql, polygons, round_sql
-from pinfold.runtime import table
+from pinfold.runtime import materialise, shuffled, table
 
 C, S = pins_sql(), pins_sql("supplier")
 
@@ -126,14 +128,13 @@ SELECT CASE WHEN grouping(state) = 1 THEN 0 WHEN grouping(origin) = 1 THEN 1 ELS
 
 def band_dupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a class 250 to 1000 m apart, by both neighbourhoods, and those alike by name."""
-    c = pins(spark, sf_dir).select("row_id", "name", "rel", "lat", "lon")
-    out = None
-    for mode in ("radius", "3x3"):
-        p = distance_pairs(c, c, 1000.0, ["rel"], neighbourhood=mode).where((F.col("row_id") < F.col("r_row_id")) & (F.col("dist_m") >= 250.0))
-        ta, tb = T.tokens_a("name"), T.tokens_a("r_name")
-        part = p.agg(F.count("*").alias("pairs"), F.count_if((T.jaccard(ta, tb) >= 0.7) | (ta == tb)).alias("alike")).select(F.lit(mode).alias("mode"), "pairs", "alike")
-        out = part if out is None else out.unionByName(part)
-    return out
+    c = pins(spark, sf_dir).select("row_id", T.tokens_a("name").alias("t"), "rel", "lat", "lon")
+    every = count_pairs(c, 250.0, 1000.0, ["rel"]).select("pairs", "adjacent")
+    mine, other = matching_names(c, c, 1000.0, (T.jaccard("t", "r_t") >= 0.7) | (F.col("t") == F.col("r_t")))
+    met = distance_pairs(mine, other, 1000.0, ["rel", "t"]).where((F.col("row_id") < F.col("r_row_id")) & (F.col("dist_m") >= 250.0))
+    adjacent = (F.abs(cell("lat", 100.0) - cell("r_lat", 100.0)) <= 1) & (F.abs(cell("lon", 100.0) - cell("r_lon", 100.0)) <= 1)
+    both = every.crossJoin(met.agg(F.count("*").alias("alike"), F.count_if(adjacent).alias("alike_adjacent")))
+    return both.select(F.inline(F.array(F.struct(F.lit("radius").alias("mode"), "pairs", "alike"), F.struct(F.lit("3x3").alias("mode"), F.col("adjacent").alias("pairs"), F.col("alike_adjacent").alias("alike")))))
 
 
 _TA, _TB = sql_tokens("name", T.SAME_A, T.STOP_A), sql_tokens("o_name", T.SAME_A, T.STOP_A)
