@@ -146,8 +146,8 @@ SELECT 'radius' AS mode, count(*) AS pairs, count(*) FILTER (alike) AS alike FRO
 
 
 def nearest_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = cell_window_pairs(pins(spark, sf_dir, "supplier").select("row_id", "lat", "lon"), pins(spark, sf_dir).select("row_id", "lat", "lon"), 2, 50.0)
-    return nearest(p).select("row_id", F.col("r_row_id").alias("other"), rounded("dist_m", 3).alias("m"))
+    p = nearest_in_window(pins(spark, sf_dir, "supplier").select("row_id", "lat", "lon"), pins(spark, sf_dir).select("row_id", "lat", "lon"), 2, 50.0)
+    return p.select("row_id", F.col("r_row_id").alias("other"), rounded("dist_m", 3).alias("m"))
 
 
 NEAREST_WINDOW = f"""

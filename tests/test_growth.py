@@ -43,6 +43,15 @@ def listed(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
 
+def test_nearest_in_a_window(dense, met, monkeypatch):
+    left, right = (df.select("row_id", "lat", "lon") for df in dense)
+    plain, whole = C.cell_window_pairs, []
+    monkeypatch.setattr(C, "cell_window_pairs", lambda mine, *rest: whole.append(mine.count()) or plain(mine, *rest))
+    got = listed(C.nearest_in_window(left, right, 2, 50.0), "row_id", "r_row_id", "dist_m")
+    assert got == listed(C.nearest(plain(left, right, 2, 50.0)), "row_id", "r_row_id", "dist_m")
+    assert whole[0] <= 2
+
+
 def test_pairs_are_counted_in_blocks(dense, monkeypatch):
     monkeypatch.setattr(pair_counts, "BLOCK", 200)
     right = dense[1].unionByName(dense[0])
