@@ -27,9 +27,12 @@ def band_dupes(gaps: DataFrame, directory: DataFrame, low_m: float = 250.0, high
     name tokens are similar or the same."""
     # tokens are told apart once a row, not once a pair
     told = lambda df: df.select("row_id", T.tokens_a("name").alias("t"), "rel", "lat", "lon")
-    pairs = distance_pairs(told(gaps), told(directory), high_m, ["rel"], neighbourhood=neighbourhood)
-    alike = pairs.where((F.col("dist_m") >= low_m) & ((T.jaccard("t", "r_t") >= least) | (F.col("t") == F.col("r_t"))))
-    return nearest(alike.select("row_id", "r_row_id", "dist_m")).withColumnRenamed("r_row_id", "other")
+    mine, other = matching_names(told(gaps), told(directory), high_m, (T.jaccard("t", "r_t") >= least) | (F.col("t") == F.col("r_t")))
+    if neighbourhood == "radius":
+        near = nearest_within(mine, other, high_m, ["rel", "t"], low_m=low_m)
+    else:
+        near = nearest(distance_pairs(mine, other, high_m, ["rel", "t"], neighbourhood=neighbourhood).where(F.col("dist_m") >= low_m))
+    return near.select("row_id", F.col("r_row_id").alias("other"), "dist_m")
 
 
 def _keyed(rows: DataFrame, least_tokens: int) -> DataFrame:
@@ -45,10 +48,11 @@ def local_snaps(gaps: DataFrame, areas: DataFrame, least_tokens: int = 2, low_m:
     but the only one of the state lies farther, up to ``far_m``.
     """
     pins, places = _keyed(gaps, least_tokens).select("row_id", "name", "state", "key", "lat", "lon"), _keyed(areas, least_tokens).select("row_id", "state", "key", "lat", "lon")
-    close = distance_pairs(pins, places, near_m, ["state", "key"], per_degree=4.0).where(F.col("dist_m") >= low_m).select("row_id", "name", F.col("r_row_id").alias("area"), F.col("r_lat").alias("new_lat"), F.col("r_lon").alias("new_lon"), F.col("dist_m").alias("move_m"))
-    snap = only_partner(close).select("row_id", "name", F.lit("snap").alias("action"), "area", "new_lat", "new_lon", "move_m")
+    close = nearest_within(pins.select("row_id", "state", "key", "lat", "lon"), places, near_m, ["state", "key"], low_m=low_m, enough=2).where("hits = 1")
+    close = close.select("row_id", F.col("r_row_id").alias("area"), F.col("r_lat").alias("new_lat"), F.col("r_lon").alias("new_lon"), F.col("dist_m").alias("move_m"))
+    snap = close.join(shuffled(pins.select("row_id", "name")), "row_id").select("row_id", "name", F.lit("snap").alias("action"), "area", "new_lat", "new_lon", "move_m")
     single = places.groupBy("state", "key").agg(F.count("*").alias("n"), F.min("row_id").alias("area"), F.min("lat").alias("new_lat"), F.min("lon").alias("new_lon")).where("n = 1")
-    far = pins.join(single, ["state", "key"]).withColumn("move_m", haversine_m("lat", "lon", "new_lat", "new_lon")).where((F.col("move_m") > near_m) & (F.col("move_m") <= far_m))
+    far = shuffled(pins).join(single, ["state", "key"]).withColumn("move_m", haversine_m("lat", "lon", "new_lat", "new_lon")).where((F.col("move_m") > near_m) & (F.col("move_m") <= far_m))
     return snap.unionByName(far.select("row_id", "name", F.lit("review").alias("action"), "area", "new_lat", "new_lon", "move_m"))
 
 
@@ -91,7 +95,7 @@ def scorecard(gaps: DataFrame, directory: DataFrame, areas: DataFrame, land: Dat
     live = base.where("junk is null").drop("junk")
     near_areas, snap_areas = (small_areas(areas, m) if "span_m" in areas.columns else areas for m in (near_span_m, snap_span_m))
     dupes = band_dupes(live, directory, **(band or {})).select("row_id", F.col("other").alias("dupe"))
-    built = nearest(distance_pairs(live.select("row_id", "lat", "lon"), near_areas.select("row_id", "lat", "lon"), building_m)).select("row_id", F.col("r_row_id").alias("built"))
+    built = nearest_within(live.select("row_id", "lat", "lon"), near_areas.select("row_id", "lat", "lon"), building_m).select("row_id", F.col("r_row_id").alias("built"))
     told = materialise(base.join(dupes, "row_id", "left").join(built, "row_id", "left"), "scorecard-evidence")
     rest = told.where("junk is null and dupe is null and built is null").drop("junk", "dupe", "built")
     moves = materialise(local_snaps(rest, snap_areas, **snap).where("action = 'snap'"), "scorecard-moves")

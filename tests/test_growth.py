@@ -59,3 +59,10 @@ def test_pairs_are_counted_in_blocks(dense, monkeypatch):
         p = C.distance_pairs(right, right, 1000.0, ["rel"]).where(f"row_id < r_row_id and dist_m >= {low}")
         near = "abs(floor(lat * 100) - floor(r_lat * 100)) <= 1 and abs(floor(lon * 100) - floor(r_lon * 100)) <= 1"
         assert tuple(pair_counts.count_pairs(right, low, 1000.0, ["rel"]).first()) == tuple(p.agg(F.count("*"), F.count_if(F.expr(near))).first())
+
+
+def test_dealt_rows_are_never_broadcast(dense):
+    # the file of a table says nothing of the rows it is dealt to: 221 for each at 6 km
+    left, right = dense
+    plan = C.distance_pairs(left.limit(3), right, 6000.0, ["rel"])._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
