@@ -43,6 +43,12 @@ def listed(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
 
+def test_nearest_beyond_a_distance(dense):
+    left, right = dense
+    want = C.nearest(C.distance_pairs(left, right, 2500.0).where("dist_m >= 250"))
+    assert listed(C.nearest_within(left, right, 2500.0, low_m=250.0), "row_id", "r_row_id") == listed(want, "row_id", "r_row_id")
+
+
 def test_nearest_in_a_window(dense, met, monkeypatch):
     left, right = (df.select("row_id", "lat", "lon") for df in dense)
     plain, whole = C.cell_window_pairs, []
