@@ -115,9 +115,10 @@ def fuzzy_snaps(pins: DataFrame, places: DataFrame, within_m: float = 500.0, lea
     """``row_id, reason, other, new_lat, new_lon``: where each pin goes that exactly one
     place of its state and class matches by name, and why the others stay."""
     mine = pins.withColumn("t", T.tokens_b("name"))
-    met = distance_pairs(mine.select("row_id", "t", "state", "rel", "lat", "lon"), places.select("row_id", "name", "state", "rel", "lat", "lon"), within_m, ["state", "rel"])
-    met = met.where(T.name_match(F.col("t"), T.tokens_b("r_name")))
-    hits = met.groupBy("row_id").agg(F.count("*").alias("hits"), F.min(F.struct("dist_m", "r_row_id", "r_lat", "r_lon")).alias("h"))
+    told = lambda df: df.select("row_id", T.tokens_b("name").alias("t"), "state", "rel", "lat", "lon")
+    dealt, other = matching_names(told(pins), told(places), within_m, T.name_match("t", "r_t"))
+    met = nearest_within(dealt, other, within_m, ["state", "rel", "t"], enough=2)
+    hits = met.select("row_id", "hits", F.struct("dist_m", "r_row_id", "r_lat", "r_lon").alias("h"))
     reason = R.first_of(
         [(F.size("t") < 2, "few_tokens"), (R.says("name", R.ADMIN_PINS), "admin_name"), (F.col("hits").isNull(), "no_match"), (F.col("hits") > 1, "not_unique"), (F.col("h.dist_m") < least_m, "already_there")], "snap"
     )
