@@ -130,9 +130,9 @@ def fuzzy_snaps(pins: DataFrame, places: DataFrame, within_m: float = 500.0, lea
 def twins_of(moves: DataFrame, gaps: DataFrame, within_m: float = 50.0) -> DataFrame:
     """``row_id`` of external pins that match a moved pin (``name, new_lat, new_lon``) by
     name near its destination."""
-    ends = moves.select(F.col("row_id"), "name", F.col("new_lat").alias("lat"), F.col("new_lon").alias("lon"))
-    met = distance_pairs(ends, gaps.select("row_id", "name", "lat", "lon"), within_m)
-    return met.where(T.name_match(T.tokens_b("name"), T.tokens_b("r_name"))).select(F.col("r_row_id").alias("row_id")).distinct()
+    ends = materialise(moves.select("row_id", T.tokens_b("name").alias("t"), F.col("new_lat").alias("lat"), F.col("new_lon").alias("lon")), "move-ends")
+    dealt, other = matching_names(ends, gaps.select("row_id", T.tokens_b("name").alias("t"), "lat", "lon"), within_m, T.name_match("t", "r_t"))
+    return distance_pairs(dealt, other, within_m, ["t"]).select(F.col("r_row_id").alias("row_id")).distinct()
 
 
 def find_by_spec(specs: DataFrame, rows: DataFrame, within_m: float = 80.0) -> DataFrame:
