@@ -152,9 +152,13 @@ def match_candidates(candidates: DataFrame, mapped: DataFrame, match_m: float =
     APPEND_CANDIDATE.
     """
     told = candidates.withColumn("reason", R.drop_reason("name"))
-    near = distance_pairs(told.where("reason is null").select("row_id", "name", "lat", "lon"), mapped.select("row_id", "name", "lat", "lon"), match_m)
-    near = with_similar(near, "name", "r_name").withColumn("stacked", (F.col("dist_m") <= stack_m) & (F.col("normal_a") == F.col("normal_b")))
-    first = near.groupBy("row_id").agg(F.min(F.when(F.col("similar"), F.col("r_row_id"))).alias("hit"), F.min(F.when(F.col("stacked"), F.col("r_row_id"))).alias("stack"))
+    named = lambda df: df.select("row_id", F.coalesce("name", F.lit("")).alias("name"), "lat", "lon")
+    mine, other = named(told.where("reason is null")), materialise(named(mapped), "mapped-names")
+    names = materialise(with_similar(near_names(mine, other, match_m, "name"), "name", "r_name").where("similar or normal_a = normal_b").select("name", "r_name", "similar"), "similar-names")
+    dealt = lambda which: mine.join(names.where(which), "name").drop("name").withColumnRenamed("r_name", "name")
+    hit = first_within(dealt("similar"), other, match_m, ["name"]).withColumnRenamed("r_row_id", "hit")
+    stack = distance_pairs(dealt("not similar"), other, min(match_m, stack_m), ["name"]).groupBy("row_id").agg(F.min("r_row_id").alias("stack"))
+    first = hit.join(stack, "row_id", "full")
     action = R.first_of(
         [(F.col("reason").isNotNull(), "FILTER_DROP"), (F.col("lat").isNull() | F.col("lon").isNull(), "GEOCODE_FAIL"), (F.col("hit").isNotNull(), "MATCH_EXISTING"), (F.col("stack").isNotNull(), "STACK_DUP")],
         "APPEND_CANDIDATE",

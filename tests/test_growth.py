@@ -72,3 +72,11 @@ def test_dealt_rows_are_never_broadcast(dense):
     left, right = dense
     plan = C.distance_pairs(left.limit(3), right, 6000.0, ["rel"])._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def test_the_first_by_id(dense, met):
+    left, right = dense
+    got = listed(C.first_within(left, right, 2500.0), "row_id", "r_row_id")
+    few, every = sum(met), C.distance_pairs(left, right, 2500.0)
+    assert got == listed(every.groupBy("row_id").agg(F.min("r_row_id").alias("r_row_id")), "row_id", "r_row_id")
+    assert few * 4 < every.count()
