@@ -208,8 +208,8 @@ SELECT row_id, CASE WHEN near = 1 THEN 'snap' WHEN near = 0 AND n = 1 THEN 'revi
 def fuzzy_snap_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why an external pin does or does not snap to the one matching pin within 1.5 km."""
     s = pins(spark, sf_dir, "supplier").withColumn("t", T.tokens_b("name"))
-    p = distance_pairs(s, pins(spark, sf_dir).select("row_id", "name", "rel", "lat", "lon"), 1500.0, ["rel"]).where(T.name_match(F.col("t"), T.tokens_b("r_name")))
-    hits = p.groupBy("row_id").agg(F.count("*").alias("hits"), F.min("dist_m").alias("m"))
+    mine, c = matching_names(s.select("row_id", "t", "rel", "lat", "lon"), pins(spark, sf_dir).select("row_id", T.tokens_b("name").alias("t"), "rel", "lat", "lon"), 1500.0, T.name_match("t", "r_t"))
+    hits = nearest_within(mine, c, 1500.0, ["rel", "t"], enough=2).select("row_id", "hits", F.col("dist_m").alias("m"))
     reason = first_of([(F.size("t") < 2, "few_tokens"), (R.says("name", R.ADMIN_PINS), "admin_name"), (F.col("hits").isNull(), "no_match"), (F.col("hits") > 1, "not_unique"), (F.col("m") < 15, "already_there")], "snap")
     return s.join(hits, "row_id", "left").select("row_id", reason.alias("reason"))
 

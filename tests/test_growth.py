@@ -74,6 +74,18 @@ def test_dealt_rows_are_never_broadcast(dense):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
+def test_names_meet_before_rows_do(dense, met, monkeypatch):
+    left, right = (df.withColumn("t", T.tokens_b("name")) for df in dense)
+    every = C.distance_pairs(left, right, 2500.0, ["rel"]).where(T.name_match("t", "r_t"))
+    want = {r.row_id: min(r.n, 2) for r in every.groupBy("row_id").agg(F.count("*").alias("n")).collect()}
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(name_pairs, "EVERY_NAME", most)
+        met.clear()
+        hits = C.nearest_within(*name_pairs.matching_names(left.drop("name"), right.drop("name"), 2500.0, T.name_match("t", "r_t")), 2500.0, ["rel", "t"], enough=2)
+        assert {r.row_id: min(r.hits, 2) for r in hits.collect()} == want
+        assert sum(met) * 4 < every.count()
+
+
 def test_the_first_by_id(dense, met):
     left, right = dense
     got = listed(C.first_within(left, right, 2500.0), "row_id", "r_row_id")
