@@ -288,8 +288,9 @@ FROM p LEFT JOIN g ON g.row_id = p.row_id GROUP BY 1"""
 
 def twin_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External pins within 1 km of a directory pin of the class that matches by name."""
-    p = distance_pairs(pins(spark, sf_dir, "supplier"), pins(spark, sf_dir).select("row_id", "name", "rel", "lat", "lon"), 1000.0, ["rel"])
-    return p.where(T.jaccard(T.tokens_b("name"), T.tokens_b("r_name")) >= 0.3).select("row_id").distinct()
+    s, c = (pins(spark, sf_dir, side).select("row_id", T.tokens_b("name").alias("t"), "rel", "lat", "lon") for side in ("supplier", "customer"))
+    mine, c = matching_names(s, c, 1000.0, T.jaccard("t", "r_t") >= 0.3)
+    return nearest_within(mine, c, 1000.0, ["rel", "t"]).select("row_id")
 
 
 TWIN_DROP = f"SELECT DISTINCT row_id FROM (SELECT *, {_B1} AS t, {_B2} AS o FROM {_PAIR(S, C, 1000)}) WHERE len(t) > 0 AND len(o) > 0 AND len(list_intersect(t, o))::DOUBLE / len(list_distinct(list_concat(t, o))) >= 0.3e0"
