@@ -459,9 +459,11 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exclusive buckets of external pins, the first sign wins."""
     s = pins(spark, sf_dir, "supplier")
     c = pins(spark, sf_dir).select("row_id", "name", "rel", "lat", "lon")
-    near = distance_pairs(s, c, 1000.0, ["rel"])
-    dupe = near.where((F.col("dist_m") >= 250.0) & (T.jaccard(T.tokens_a("name"), T.tokens_a("r_name")) >= 0.5)).select("row_id").distinct().withColumn("dupe", F.lit(True))
-    built = near.where(F.col("dist_m") < 250.0).select("row_id").distinct().withColumn("built", F.lit(True))
+    told = lambda df: df.select("row_id", T.tokens_a("name").alias("t"), "rel", "lat", "lon")
+    mine, other = matching_names(told(s), told(c), 1000.0, T.jaccard("t", "r_t") >= 0.5)
+    dupe = nearest_within(mine, other, 1000.0, ["rel", "t"], low_m=250.0).select("row_id", F.lit(True).alias("dupe"))
+    lean = lambda df: df.select("row_id", "rel", "lat", "lon")
+    built = nearest_within(lean(s), lean(c), 250.0, ["rel"]).where(F.col("dist_m") < 250.0).select("row_id", F.lit(True).alias("built"))
     land = containing(s, edges_of(polygons(spark))).select("row_id", F.lit(True).alias("land"))
     j = s.join(dupe, "row_id", "left").join(built, "row_id", "left").join(land, "row_id", "left")
     bucket = first_of([(drop_reason("name").isNotNull(), "name_junk"), (F.col("dupe").isNotNull(), "hifld_dupe"), (F.col("built").isNotNull(), "on_building"), (F.col("land").isNull(), "impossible")], "rural_expected")
