@@ -38,16 +38,18 @@ def guard_unique(plan: DataFrame, also: list[str] | None = None) -> DataFrame:
 
 
 def guard_occupied(plan: DataFrame, rows: DataFrame) -> DataFrame:
-    """Block moves to a place that a row of another name holds."""
+    """Block moves to a place that a row of another name holds; what is blocked stays as it is."""
+    free = plan.where("blocked is null")
     held = rows.select(coord_key("lat").alias("d_lat"), coord_key("lon").alias("d_lon"), F.col("name").alias("h_name")).distinct()
-    taken = plan.join(held, ["d_lat", "d_lon"]).where("h_name <> name").select("row_id").distinct().withColumn("occupied", F.lit(True))
+    taken = free.join(shuffled(held), ["d_lat", "d_lon"]).where("h_name <> name").select("row_id").distinct().withColumn("occupied", F.lit(True))
     return plan.join(taken, "row_id", "left").withColumn("blocked", F.coalesce("blocked", F.when(F.col("occupied"), "occupied"))).drop("occupied")
 
 
 def guard_near(plan: DataFrame, rows: DataFrame, within_m: float = 30.0) -> DataFrame:
-    """Block moves to a place within so many metres of another row."""
-    ends = plan.select("row_id", F.col("new_lat").alias("lat"), F.col("new_lon").alias("lon"))
-    close = distance_pairs(ends, rows.select("row_id", "lat", "lon"), within_m).where("row_id <> r_row_id").select("row_id").distinct().withColumn("close", F.lit(True))
+    """Block moves to a place within so many metres of another row; what is blocked stays
+    as it is and is not looked at."""
+    ends = plan.where("blocked is null").select("row_id", F.col("new_lat").alias("lat"), F.col("new_lon").alias("lon"))
+    close = nearest_within(ends, rows.select("row_id", "lat", "lon"), within_m, match=F.expr("row_id <> r_row_id")).select("row_id", F.lit(True).alias("close"))
     return plan.join(close, "row_id", "left").withColumn("blocked", F.coalesce("blocked", F.when(F.col("close"), "near_occupied"))).drop("close")
 
 

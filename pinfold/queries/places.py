@@ -266,9 +266,10 @@ def plan_apply_move(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every directory pin moves to the nearest external pin of its class within 1.5 km;
     moves are guarded, then applied."""
     p, s = pins(spark, sf_dir), pins(spark, sf_dir, "supplier")
-    near = nearest(distance_pairs(s, p, 1500.0, ["rel"]).select("row_id", "r_row_id", "dist_m", F.col("lat").alias("r_new_lat"), F.col("lon").alias("r_new_lon")), "r_row_id", "row_id")
-    plan = near.select(F.col("r_row_id").alias("row_id"), F.col("r_new_lat").alias("new_lat"), F.col("r_new_lon").alias("new_lon")).join(p.select("row_id", "name"), "row_id")
-    guarded = M.guard_near(M.guard_occupied(M.guard_unique(plan), p), p, 60.0)
+    ends = s.select("row_id", "rel", "lat", "lon", F.col("lat").alias("new_lat"), F.col("lon").alias("new_lon"))
+    near = nearest_within(p.select("row_id", "rel", "lat", "lon"), ends, 1500.0, ["rel"])
+    plan = near.select("row_id", F.col("r_new_lat").alias("new_lat"), F.col("r_new_lon").alias("new_lon")).join(shuffled(p.select("row_id", "name")), "row_id")
+    guarded = materialise(M.guard_near(M.guard_occupied(M.guard_unique(plan), p), p, 60.0), "guarded-moves")
     moved = M.apply_moves(p, guarded.where("blocked is null"))
     what = F.coalesce("blocked", F.when(F.col("moved"), "moved"), F.lit("still"))
     return moved.join(guarded.select("row_id", "blocked"), "row_id", "left").groupBy(what.alias("what")).agg(F.count("*").alias("n"), F.sum(coord_key("lat")).alias("lat_sum"))

@@ -92,3 +92,12 @@ def test_the_first_by_id(dense, met):
     few, every = sum(met), C.distance_pairs(left, right, 2500.0)
     assert got == listed(every.groupBy("row_id").agg(F.min("r_row_id").alias("r_row_id")), "row_id", "r_row_id")
     assert few * 4 < every.count()
+
+
+def test_blocked_moves_are_not_looked_at(dense, monkeypatch):
+    left, right = dense
+    looked, plain = [], M.nearest_within
+    monkeypatch.setattr(M, "nearest_within", lambda ends, *rest, **options: looked.append(ends.count()) or plain(ends, *rest, **options))
+    plan = left.where("lat is not null").select("row_id", "name", F.col("lat").alias("new_lat"), F.col("lon").alias("new_lon"), F.when(F.col("row_id") > 3, "x").alias("blocked"))
+    out = {r.row_id: r.blocked for r in M.guard_near(plan, right, 300.0).collect()}
+    assert looked == [4] and {out[k] for k in range(4)} == {"near_occupied"} and out[80 - 1] == "x"
