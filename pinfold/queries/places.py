@@ -157,9 +157,9 @@ SELECT row_id, other, {round_sql('m', 3)} AS m FROM p QUALIFY row_number() OVER
 
 
 def shared_token_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = distance_pairs(pins(spark, sf_dir, "supplier"), pins(spark, sf_dir), 2000.0, ["rel"], per_degree=50.0)
-    p = p.where(F.arrays_overlap(T.tokens_c("name"), T.tokens_c("r_name")))
-    return nearest(p).select("row_id", F.col("r_row_id").alias("other"), rounded("dist_m", 0).cast("long").alias("m"))
+    s, c = (pins(spark, sf_dir, side).select("row_id", "rel", F.explode(T.tokens_c("name")).alias("token"), "lat", "lon") for side in ("supplier", "customer"))
+    # rows that share several tokens meet once for each, which changes no nearest
+    return nearest_within(s, c, 2000.0, ["rel", "token"]).select("row_id", F.col("r_row_id").alias("other"), rounded("dist_m", 0).cast("long").alias("m"))
 
 
 def _tc(name: str) -> str:
