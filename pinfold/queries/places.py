@@ -101,8 +101,8 @@ TOP_GAP = f"SELECT * FROM {_GAPS} WHERE gap > 0 ORDER BY gap DESC, state LIMIT 5
 
 
 def grid_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = distance_pairs(pins(spark, sf_dir, "supplier"), pins(spark, sf_dir), 1000.0, ["rel"])
-    return nearest(pairs).select("row_id", F.col("r_row_id").alias("other"), rounded("dist_m", 3).alias("m"))
+    s, c = (pins(spark, sf_dir, side).select("row_id", "rel", "lat", "lon") for side in ("supplier", "customer"))
+    return nearest_within(s, c, 1000.0, ["rel"]).select("row_id", F.col("r_row_id").alias("other"), rounded("dist_m", 3).alias("m"))
 
 
 _PAIR = lambda a, b, r, more="": f"""(SELECT a.row_id, a.name, b.row_id AS other, b.name AS o_name, a.state, b.state AS o_state, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS m, a.lat, a.lon, b.lat AS o_lat, b.lon AS o_lon

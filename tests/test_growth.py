@@ -43,6 +43,14 @@ def listed(df, *columns):
     return sorted(map(tuple, df.select(*columns).collect()), key=repr)
 
 
+def test_nearest_looks_no_farther_than_it_must(dense, met):
+    left, right = dense
+    got = listed(C.nearest_within(left, right, 2500.0, ["rel"]), "row_id", "r_row_id", "dist_m")
+    few, every = sum(met), C.distance_pairs(left, right, 2500.0, ["rel"])
+    assert got == listed(C.nearest(every), "row_id", "r_row_id", "dist_m")
+    assert few * 10 < every.count()
+
+
 def test_nearest_beyond_a_distance(dense):
     left, right = dense
     want = C.nearest(C.distance_pairs(left, right, 2500.0).where("dist_m >= 250"))
