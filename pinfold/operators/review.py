@@ -139,8 +139,8 @@ def find_by_spec(specs: DataFrame, rows: DataFrame, within_m: float = 80.0) -> D
     """``row_id`` (of the spec), ``other, dist_m``: the nearest row of exactly the name,
     state and class of each spec."""
     on = ["state", "rel", "name"]
-    met = distance_pairs(specs.select("row_id", *on, "lat", "lon"), rows.select("row_id", *on, "lat", "lon"), within_m, on)
-    return nearest(met.select("row_id", "r_row_id", "dist_m")).withColumnRenamed("r_row_id", "other")
+    met = nearest_within(specs.select("row_id", *on, "lat", "lon"), rows.select("row_id", *on, "lat", "lon"), within_m, on)
+    return met.select("row_id", F.col("r_row_id").alias("other"), "dist_m")
 
 
 def match_candidates(candidates: DataFrame, mapped: DataFrame, match_m: float = 120.0, stack_m: float = 15.0) -> DataFrame:
