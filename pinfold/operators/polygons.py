@@ -9,10 +9,15 @@ never meets the edges of polygons far to its east or west.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pinfold.runtime import materialise
+from pinfold.operators.blocks import arrays, blocks
+from pinfold.runtime import arrow_map, materialise, shuffled
 
 #: Rows of the latitude grid per degree; cells per degree that boxes of polygons are dealt to,
 #: and cells of a box beyond which coarser ones are taken.
@@ -103,48 +108,75 @@ def _dealt(edges: DataFrame, side: float) -> DataFrame:
     return rows.withColumn("cx", F.explode(F.sequence(row(west), row(east))))
 
 
-#: Cells of the grid of borders that the reach is long; rings after which points stop looking.
-RINGS = (2, 8)
+#: Cells of the grid of borders that the reach is long; points and edges of a block.
+CELLS_OF_REACH, POINTS, EDGES = 2, 1024, 4096
+#: Points that meet the edges of a block at once.
+_STRIP = 64
+
+
+def _border_distances(reach_deg: float):
+    """The edge of each block of edges that is nearest to each point of a block of points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            poly = batch.column(batch.schema.get_field_index("poly_id"))
+            ids, names, far = [], [], []
+            for k in range(batch.num_rows):
+                row, lat, lon = arrays(batch, k, "row_id", "lat", "lon")
+                x1, y1, x2, y2 = arrays(batch, k, "x1", "y1", "x2", "y2")
+                dx, dy = x2 - x1, y2 - y1
+                square = dx * dx + dy * dy
+                some = np.where(square == 0, 1.0, square)
+                for start in range(0, len(row), _STRIP):
+                    ex, ey = lon[start : start + _STRIP, None] - x1, lat[start : start + _STRIP, None] - y1
+                    # the foot of the point on the edge, kept between its ends
+                    along = np.where(square == 0, 0.0, np.clip((ex * dx + ey * dy) / some, 0.0, 1.0))
+                    ox, oy = ex - along * dx, ey - along * dy
+                    deg = np.sqrt((ox * ox + oy * oy).min(axis=1))
+                    near = np.nonzero(deg < reach_deg)[0]
+                    ids.append(row[start + near])
+                    far.append(deg[near])
+                    names += [poly[k].as_py()] * len(near)
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(names, poly.type), pa.array(np.concatenate(far), pa.float64())], ["row_id", "poly_id", "deg"])
+
+    return run
 
 
 def nearest_border(points: DataFrame, edges: DataFrame, reach_deg: float, row_id: str = "row_id") -> DataFrame:
     """``row_id, poly_id, deg`` of the border nearest to each point, in degrees, below
-    ``reach_deg``; the smallest id wins a tie.
+    ``reach_deg``; the smallest id wins a tie.  Ids of points are whole numbers.
 
-    Edges are dealt to the cells of a grid.  A point looks into the cells around its own,
-    ring by ring, and stops as soon as what it found is nearer than what it has not seen;
-    points near no border at all are left out before.
+    Edges are dealt to the cells of a grid, in blocks of one polygon.  A point meets those of
+    its own cell; only where a border may be nearer beyond the cell's sides does it meet the
+    other cells within what it found.  Blocks are compared as arrays, so however dense the
+    borders are, a block for each cell is shuffled and not each pair.
     """
-    side = reach_deg / RINGS[-1]
-    lean = edges.select("poly_id", "x1", "y1", "x2", "y2").where("x1 + y1 + x2 + y2 is not null")
-    cells = materialise(_dealt(lean, side), "border-cells")
-    coarse = lambda c: F.floor(F.col(c) / RINGS[-1]).cast("long")
-    about = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    near = cells.select(coarse("cy").alias("by"), coarse("cx").alias("bx")).distinct().withColumn("by", F.explode(F.transform(about, lambda i: F.col("by") + i))).withColumn("bx", F.explode(F.transform(about, lambda i: F.col("bx") + i))).distinct()
-    p = points.select(row_id, "lat", "lon").where("lat is not null and lon is not null")
-    p = p.withColumn("py", F.floor(F.col("lat") / side).cast("long")).withColumn("px", F.floor(F.col("lon") / side).cast("long")).withColumn("by", coarse("py")).withColumn("bx", coarse("px"))
-    # the foot of the point on the edge, kept between its ends
-    along = F.expr(
-        "greatest(0.0, least(1.0, case when (x2-x1)*(x2-x1)+(y2-y1)*(y2-y1) = 0 then 0.0 else ((lon-x1)*(x2-x1)+(lat-y1)*(y2-y1))/((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1)) end))"
-    )
-    deg = F.expr("sqrt((lon-x1-t*(x2-x1))*(lon-x1-t*(x2-x1)) + (lat-y1-t*(y2-y1))*(lat-y1-t*(y2-y1)))")
-    rest = p.join(near, ["by", "bx"], "left_semi").select(row_id, "lat", "lon", "py", "px", F.lit(None).cast(f"struct<nano:bigint,poly_id:{lean.schema['poly_id'].dataType.simpleString()},deg:double>").alias("best"))
-    found, seen = None, -1
-    for k in RINGS:
-        step = F.explode(F.sequence(F.lit(-k), F.lit(k)))
-        looking = rest.select(row_id, "lat", "lon", "py", "px", step.alias("dy")).withColumn("dx", step).where(F.greatest(F.abs("dy"), F.abs("dx")) > seen)
-        looking = looking.withColumn("cy", F.col("py") + F.col("dy")).withColumn("cx", F.col("px") + F.col("dx"))
-        met = looking.join(cells, ["cy", "cx"]).withColumn("t", along).withColumn("deg", deg).where(F.col("deg") < reach_deg)
-        best = met.groupBy(row_id).agg(F.min(F.struct(F.floor(F.col("deg") * 1e9 + 0.5).alias("nano"), "poly_id", "deg")).alias("now"))
-        told = materialise(rest.join(best, row_id, "left").withColumn("best", F.least("best", "now")).drop("now"), "border-ring")
-        # whatever was not seen lies beyond so many cells
-        sure = F.coalesce(F.col("best.deg") < k * side - 1e-8, F.lit(False))
-        done = told.where(F.col("best").isNotNull() & (sure if k < RINGS[-1] else F.lit(True)))
-        found = done if found is None else found.unionByName(done)
-        rest, seen = told.where(~sure), k
-        if k < RINGS[-1] and rest.isEmpty():
-            break
-    return found.select(row_id, F.col("best.poly_id").alias("poly_id"), F.col("best.deg").alias("deg"))
+    side = reach_deg / CELLS_OF_REACH
+    lean = edges.select("poly_id", "x1", "y1", "x2", "y2").where("poly_id is not null and x1 + y1 + x2 + y2 is not null")
+    lines = materialise(blocks(_dealt(lean, side).select("poly_id", "cy", "cx", "x1", "y1", "x2", "y2"), ["poly_id", "cy", "cx"], ["x1", "y1", "x2", "y2"], EDGES), "border-cells")
+    index = lambda c: F.floor(F.col(c) / side).cast("long")
+    p = materialise(points.select(F.col(row_id).cast("long").alias("row_id"), "lat", "lon").where("lat is not null and lon is not null"), "border-points")
+    schema = f"row_id long, poly_id {lean.schema['poly_id'].dataType.simpleString()}, deg double"
+
+    def met(rows: DataFrame) -> DataFrame:
+        held = blocks(rows, ["cy", "cx"], ["row_id", "lat", "lon"], POINTS)
+        pairs = shuffled(held).join(lines, ["cy", "cx"]).select("row_id", "lat", "lon", "poly_id", "x1", "y1", "x2", "y2")
+        return arrow_map(pairs, _border_distances(reach_deg), schema)
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.groupBy("row_id").agg(F.min(F.struct(F.floor(F.col("deg") * 1e9 + 0.5).alias("nano"), "poly_id", "deg")).alias("best")).select("row_id", "best.*")
+
+    own = materialise(best(met(p.withColumn("cy", index("lat")).withColumn("cx", index("lon")))), "border-own")
+    told = p.join(shuffled(own), "row_id", "left").withColumn("cy", index("lat")).withColumn("cx", index("lon"))
+    inset = F.least(F.col("lat") - F.col("cy") * side, (F.col("cy") + 1) * side - F.col("lat"), F.col("lon") - F.col("cx") * side, (F.col("cx") + 1) * side - F.col("lon"))
+    told = materialise(told.withColumn("sure", F.coalesce(F.col("deg") < inset - 1e-8, F.lit(False))), "border-told")
+    reach = F.coalesce("deg", F.lit(reach_deg)) + 1e-8
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("reach")) / side).cast("long"), F.floor((F.col(c) + F.col("reach")) / side).cast("long")))
+    rest = told.where("not sure").select("row_id", "lat", "lon", F.col("cy").alias("oy"), F.col("cx").alias("ox"), reach.alias("reach"))
+    rest = rest.withColumn("cy", span("lat")).withColumn("cx", span("lon")).where("cy <> oy or cx <> ox").select("row_id", "lat", "lon", "cy", "cx")
+    found = best(own.select("row_id", "poly_id", "deg").unionByName(met(rest)))
+    return found.select(F.col("row_id").alias(row_id), "poly_id", "deg")
 
 
 def within_tolerance(points: DataFrame, edges: DataFrame, tolerance_deg: float = 1e-4, row_id: str = "row_id") -> DataFrame:

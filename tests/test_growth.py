@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pinfold.functions import text as T
 from pinfold.operators import cells as C
 from pinfold.operators import dedupe, name_pairs, pair_counts
+from pinfold.operators import polygons as G
 from pinfold.operators import review as V
 from pinfold.plans import moves as M
 
@@ -120,3 +121,28 @@ def test_cells_are_connected_not_rows(dense, monkeypatch):
     want = {r.node: r.component for r in plain(links).collect()}
     assert got == {k: want.get(k, k) for k in got} and len(got) == 1500
     assert given[0] < 500 < links.count()
+
+
+@pytest.fixture(scope="module")
+def crossing(spark):
+    """A ring whose edges cross each other everywhere, and points."""
+    rng = random.Random(3)
+    ends = [(rng.uniform(0, 0.2), rng.uniform(0, 0.2)) for _ in range(400)]
+    edges = [("r", *a, *b) for a, b in zip(ends, [*ends[1:], ends[0]])]
+    points = [(i, rng.uniform(0, 0.2), rng.uniform(0, 0.2)) for i in range(300)]
+    return spark.createDataFrame(points, "row_id long, lat double, lon double"), spark.createDataFrame(edges, "poly_id string, x1 double, y1 double, x2 double, y2 double")
+
+
+def test_borders_meet_in_blocks(crossing, monkeypatch):
+    points, edges = crossing
+    met, plain = [], G.arrow_map
+    monkeypatch.setattr(G, "arrow_map", lambda df, *rest: met.append(df.count()) or plain(df, *rest))
+    got = {r.row_id: r.deg for r in G.nearest_border(points, edges, 0.02).collect()}
+    lines = [r[1:] for r in edges.collect()]
+    for r in points.collect():
+        best = 9.0
+        for x1, y1, x2, y2 in lines:
+            t = max(0.0, min(1.0, ((r.lon - x1) * (x2 - x1) + (r.lat - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2)))
+            best = min(best, ((r.lon - x1 - t * (x2 - x1)) ** 2 + (r.lat - y1 - t * (y2 - y1)) ** 2) ** 0.5)
+        assert got.get(r.row_id, 9.0) == pytest.approx(best) or best >= 0.02
+    assert sum(met) < 4000
