@@ -14,15 +14,24 @@ the edges of its whole width.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pinfold.operators.blocks import arrays, blocks
 from pinfold.operators.polygons import BANDS, banded
-from pinfold.runtime import materialise
+from pinfold.runtime import arrow_map, materialise, shuffled
 
 #: Edges that a border cell carries; finest level (cells of 2**-22 degrees, some cm); levels
 #: by which a cell is split at once.
 MOST_EDGES, FINEST, STEP = 8, 22, 2
+#: Cells that an edge of a polygon may pass through on average for its cells to be split again.
+SPREAD = 32
+#: Edges from which a cell's points meet them as arrays; points of a block, and at once.
+MANY, POINTS, _STRIP = 32, 1024, 64
 #: Where the grid begins: no usual coordinate lies on a border of its cells.
 X0, Y0 = 0.0004142135623731, 0.0007320508075689
 _SLACK = 1e-9
@@ -61,7 +70,7 @@ def _across(x: Column, y: Column, east: Column, north: Column, x1: Column, y1: C
 def _odd_corners(cells: DataFrame, edges: DataFrame) -> DataFrame:
     """``cells`` with ``odd``: whether their upper right corner is inside the polygon."""
     at = cells.withColumn("ax", _corner(F.col("cx") + 1, F.col("side"), X0)).withColumn("ay", _corner(F.col("cy") + 1, F.col("side"), Y0)).withColumn("band", F.floor(F.col("ay") * BANDS))
-    met = at.join(banded(edges), ["poly_id", "band"]).where("(y1 > ay) <> (y2 > ay) and ax < (x2 - x1) * (ay - y1) / (case when y2 = y1 then 1.0 else y2 - y1 end) + x1")
+    met = shuffled(at).join(shuffled(banded(edges)), ["poly_id", "band"]).where("(y1 > ay) <> (y2 > ay) and ax < (x2 - x1) * (ay - y1) / (case when y2 = y1 then 1.0 else y2 - y1 end) + x1")
     crossed = met.groupBy(*_CELL).agg((F.count("*") % 2 == 1).alias("odd"))
     return cells.join(crossed, _CELL, "left").withColumn("odd", F.coalesce("odd", F.lit(False)))
 
@@ -71,10 +80,12 @@ def prepare(edges: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     given as ``edges(poly_id, x1, y1, x2, y2)``; inner cells have no edges.
 
     A border cell has ``most_edges`` at most, unless so many meet in a cell of the finest
-    level.  Every level is a table, so the result is read from files however often it is
+    level, or the polygon's edges cross each other everywhere: splitting parts no such edges
+    and only multiplies them, so it ends where one passes through ``SPREAD`` cells.  Every level is a table, so the result is read from files however often it is
     used.  Edges with a null end are left out.
     """
-    lean = edges.select("poly_id", "x1", "y1", "x2", "y2").where("poly_id is not null and x1 + y1 + x2 + y2 is not null")
+    lean = materialise(edges.select("poly_id", "x1", "y1", "x2", "y2").where("poly_id is not null and x1 + y1 + x2 + y2 is not null"), "cover-given")
+    given = materialise(lean.groupBy("poly_id").agg(F.count("*").alias("given")), "cover-sizes")
     box = lean.groupBy("poly_id").agg(
         F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east"), F.min(F.least("y1", "y2")).alias("south"), F.max(F.greatest("y1", "y2")).alias("north")
     )
@@ -83,26 +94,28 @@ def prepare(edges: DataFrame, most_edges: int = MOST_EDGES) -> DataFrame:
     box = box.withColumn("level", F.least(F.floor(F.lit(2.0) - F.log2(span)), F.lit(FINEST)).cast("int"))
     run = lambda low, high, origin: F.explode(F.sequence(_index(F.col(low), F.col("level"), origin), _index(F.col(high), F.col("level"), origin)))
     started = materialise(box.withColumn("cy", run("south", "north", Y0)).withColumn("cx", run("west", "east", X0)).select(*_CELL, F.pow(F.lit(0.5), F.col("level")).alias("side")), "cover-start")
-    met = materialise(_passes(lean.join(started, "poly_id")), "cover-edges")
-    bare = started.join(met.select(*_CELL).distinct(), _CELL, "left_anti")
-    edge = F.struct("x1", "y1", "x2", "y2")
+    met = materialise(_passes(shuffled(lean).join(started, "poly_id")), "cover-edges")
     cells = materialise(_odd_corners(started, lean), "cover-cells")
-    cover, fits = cells.join(met.select(*_CELL).distinct(), _CELL, "left_anti").where("odd").withColumn("edges", F.array().cast(_EDGES)), 0
+    # every part is a table of its own: what is planned at the end is a union of files
+    inner = lambda: materialise(shuffled(cells).join(shuffled(met.select(*_CELL).distinct()), _CELL, "left_anti").where("odd").withColumn("edges", F.array().cast(_EDGES)), "cover")
+    cover, fits = inner(), 0
     while True:
-        full = materialise(met.groupBy(*_CELL).agg(F.count("*").alias("n")).where((F.col("n") > fits) & (F.col("level") < FINEST)).drop("n"), "cover-full")
+        wide = met.groupBy("poly_id").agg(F.count("*").alias("now")).join(given, "poly_id").where(F.col("now") <= SPREAD * F.col("given")).select("poly_id")
+        counted = met.groupBy(*_CELL).agg(F.count("*").alias("n")).where((F.col("n") > fits) & (F.col("level") < FINEST)).drop("n")
+        full = materialise(counted.join(wide, "poly_id", "left_semi"), "cover-full")
         again = not full.isEmpty()
-        done = (met.join(full, _CELL, "left_anti") if again else met).groupBy(*_CELL).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-        cover = cover.unionByName(cells.join(done, _CELL))
+        done = (shuffled(met).join(shuffled(full), _CELL, "left_anti") if again else met).groupBy(*_CELL).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+        cover = cover.unionByName(materialise(shuffled(cells).join(shuffled(done), _CELL), "cover"))
         if not again:
-            return materialise(cover, "cover")
-        children, meeting = _split(cells.join(full, _CELL, "left_semi"), "odd"), _split(met.join(full, _CELL, "left_semi"), "x1", "y1", "x2", "y2")
+            return cover
+        children, meeting = _split(shuffled(cells).join(shuffled(full), _CELL, "left_semi"), "odd"), _split(shuffled(met).join(shuffled(full), _CELL, "left_semi"), "x1", "y1", "x2", "y2")
         # the corner of a child lies in its parent: what is across the way to the parent's corner is an edge of the parent
         corner = (*_corners(F.col("cx"), F.col("cy"), F.col("side")), *_corners(F.col("px"), F.col("py"), F.col("side") * (1 << STEP)))
         across = meeting.where(_across(*corner, *map(F.col, ("x1", "y1", "x2", "y2")))).groupBy(*_CELL).agg(F.count("*").alias("w"))
         met = materialise(_passes(meeting.drop("px", "py")), "cover-edges")
-        told = children.drop("px", "py").join(across, _CELL, "left").withColumn("odd", (F.coalesce("w", F.lit(0)) % 2 == 1) != F.col("odd")).drop("w")
+        told = shuffled(children.drop("px", "py")).join(shuffled(across), _CELL, "left").withColumn("odd", (F.coalesce("w", F.lit(0)) % 2 == 1) != F.col("odd")).drop("w")
         cells, fits = materialise(told, "cover-cells"), most_edges
-        cover = cover.unionByName(cells.join(met.select(*_CELL).distinct(), _CELL, "left_anti").where("odd").withColumn("edges", F.array().cast(_EDGES)))
+        cover = cover.unionByName(inner())
 
 
 def _corners(cx: Column, cy: Column, side: Column) -> tuple[Column, Column]:
@@ -134,14 +147,53 @@ def met_cells(points: DataFrame, cover: DataFrame, row_id: str = "row_id") -> Da
     levels = [r.level for r in cover.select("level").distinct().collect()]
     p = points.select(row_id, "lat", "lon").where("lat is not null and lon is not null").withColumn("level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)]).cast("array<int>")))
     p = p.withColumn("cy", _index(F.col("lat"), F.col("level"), Y0)).withColumn("cx", _index(F.col("lon"), F.col("level"), X0))
-    return p.join(cover, ["level", "cy", "cx"])
+    return shuffled(p).join(shuffled(cover), ["level", "cy", "cx"])
+
+
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``_inside`` and ``_touches`` say of blocks of points in cells with many edges."""
+    for batch in batches:
+        poly, rest = batch.column(batch.schema.get_field_index("poly_id")), batch.select(["odd", "ce", "cn"]).to_pylist()
+        ids, names = [], []
+        for k in range(batch.num_rows):
+            row, lat, lon = arrays(batch, k, "row_id", "lat", "lon")
+            x1, y1, x2, y2 = arrays(batch, k, "x1", "y1", "x2", "y2")
+            odd, east, north = rest[k]["odd"], rest[k]["ce"], rest[k]["cn"]
+            up = (y2 - y1) * (east - x1) / np.where(x2 == x1, 1.0, x2 - x1) + y1
+            wall, high, flat = ((x1 > east) != (x2 > east)) & (up <= north), np.where(y2 == y1, 1.0, y2 - y1), x2 - x1
+            for start in range(0, len(row), _STRIP):
+                x, y = lon[start : start + _STRIP, None], lat[start : start + _STRIP, None]
+                rise = flat * (y - y1)
+                at = rise / high + x1
+                across = (((y1 > y) != (y2 > y)) & (x < at) & (at <= east)) != (wall & (y < up))
+                inside = (across.sum(axis=1) % 2 == 1) != odd
+                i, j = np.nonzero(rise == (x - x1) * (y2 - y1))
+                on = (x[i, 0] >= np.minimum(x1, x2)[j]) & (x[i, 0] <= np.maximum(x1, x2)[j]) & (y[i, 0] >= np.minimum(y1, y2)[j]) & (y[i, 0] <= np.maximum(y1, y2)[j])
+                inside[i[on]] = True
+                ids.append(row[start : start + _STRIP][inside])
+                names += [poly[k].as_py()] * int(inside.sum())
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(names, poly.type)], ["row_id", "poly_id"])
+
+
+def _met_by_blocks(points: DataFrame, cover: DataFrame, row_id: str) -> DataFrame:
+    """``row_id, poly_id`` of the points inside, for cells of many edges."""
+    levels = [r.level for r in cover.select("level").distinct().collect()]
+    p = points.select(F.col(row_id).cast("long").alias("row_id"), "lat", "lon").where("lat is not null and lon is not null").withColumn("level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)]).cast("array<int>")))
+    p = p.withColumn("cy", _index(F.col("lat"), F.col("level"), Y0)).withColumn("cx", _index(F.col("lon"), F.col("level"), X0))
+    east, north = _corners(F.col("cx"), F.col("cy"), F.col("side"))
+    met = shuffled(blocks(p, ["level", "cy", "cx"], ["row_id", "lat", "lon"], POINTS)).join(shuffled(cover), ["level", "cy", "cx"])
+    told = met.select("row_id", "lat", "lon", "poly_id", "odd", east.alias("ce"), north.alias("cn"), *[F.col(f"edges.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return arrow_map(told, _hits, f"row_id long, poly_id {cover.schema['poly_id'].dataType.simpleString()}").withColumnRenamed("row_id", row_id)
 
 
 def containing_prepared(points: DataFrame, cover: DataFrame, row_id: str = "row_id") -> DataFrame:
     """What ``containing`` of the same polygons gives: ``row_id, poly_id`` of the polygon
     that holds or touches each point, the smallest id where there are several."""
-    met = met_cells(points, cover, row_id)
+    many = cover.where(F.size("edges") > MANY)
+    met = met_cells(points, cover.where(F.size("edges") <= MANY), row_id)
     east, north = _corners(F.col("cx"), F.col("cy"), F.col("side"))
     met = met.withColumn("ce", east).withColumn("cn", north)
     hits = met.where((F.size("edges") == 0) | _inside(F.col("edges")) | F.exists("edges", _touches))
-    return hits.groupBy(row_id).agg(F.min("poly_id").alias("poly_id"))
+    every = hits.select(row_id, "poly_id").unionByName(_met_by_blocks(points, many, row_id))
+    return every.groupBy(row_id).agg(F.min("poly_id").alias("poly_id"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pinfold.functions import text as T
 from pinfold.operators import cells as C
+from pinfold.operators import covering as K
 from pinfold.operators import dedupe, name_pairs, pair_counts
 from pinfold.operators import polygons as G
 from pinfold.operators import review as V
@@ -133,6 +134,15 @@ def crossing(spark):
     return spark.createDataFrame(points, "row_id long, lat double, lon double"), spark.createDataFrame(edges, "poly_id string, x1 double, y1 double, x2 double, y2 double")
 
 
+def test_crossing_edges_are_not_split_for_ever(crossing, monkeypatch):
+    points, edges = crossing
+    monkeypatch.setattr(K, "SPREAD", 4)
+    cover = K.prepare(edges)
+    assert cover.selectExpr("sum(size(edges))").first()[0] <= 400 * 4 * 8
+    assert cover.selectExpr("max(size(edges))").first()[0] > K.MANY
+    assert listed(K.containing_prepared(points, cover), "row_id", "poly_id") == listed(G.containing(points, edges), "row_id", "poly_id")
+
+
 def test_borders_meet_in_blocks(crossing, monkeypatch):
     points, edges = crossing
     met, plain = [], G.arrow_map
