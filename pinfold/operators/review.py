@@ -75,7 +75,7 @@ def off_land(points: DataFrame, land: DataFrame, lakes: DataFrame) -> DataFrame:
     """``row_id, why`` of every point: in-lake, not-on-land, or null where it may lie."""
     on_land = containing(points, land).select("row_id", F.lit(True).alias("land"))
     in_lake = containing(points, lakes).select("row_id", F.lit(True).alias("lake"))
-    placed = points.select("row_id").join(on_land, "row_id", "left").join(in_lake, "row_id", "left")
+    placed = shuffled(points.select("row_id")).join(on_land, "row_id", "left").join(shuffled(in_lake), "row_id", "left")
     return placed.select("row_id", F.when(F.col("lake"), "in-lake").when(F.col("land").isNull(), "not-on-land").alias("why"))
 
 
@@ -90,19 +90,20 @@ def scorecard(gaps: DataFrame, directory: DataFrame, areas: DataFrame, land: Dat
 
     What speaks for each bucket is a column of one table, and one expression picks the first
     that holds; only snaps, which block each other, wait for the pins that are left.
+    Evidence is as long as the pins, so it is never broadcast.
     """
     base = materialise(gaps.withColumn("junk", R.drop_reason("name")), "scorecard-pins")
     live = base.where("junk is null").drop("junk")
     near_areas, snap_areas = (small_areas(areas, m) if "span_m" in areas.columns else areas for m in (near_span_m, snap_span_m))
     dupes = band_dupes(live, directory, **(band or {})).select("row_id", F.col("other").alias("dupe"))
     built = nearest_within(live.select("row_id", "lat", "lon"), near_areas.select("row_id", "lat", "lon"), building_m).select("row_id", F.col("r_row_id").alias("built"))
-    told = materialise(base.join(dupes, "row_id", "left").join(built, "row_id", "left"), "scorecard-evidence")
+    told = materialise(shuffled(base).join(dupes, "row_id", "left").join(shuffled(built), "row_id", "left"), "scorecard-evidence")
     rest = told.where("junk is null and dupe is null and built is null").drop("junk", "dupe", "built")
     moves = materialise(local_snaps(rest, snap_areas, **snap).where("action = 'snap'"), "scorecard-moves")
     pins = gaps.select("row_id", "name", "lat", "lon").unionByName(directory.select("row_id", "name", "lat", "lon"))
     guarded = M.guard_occupied(M.guard_unique(moves), pins).select("row_id", F.col("area").alias("area"), "blocked")
     why = off_land(rest.select("row_id", "lat", "lon"), land, lakes)
-    every = told.join(guarded, "row_id", "left").join(why, "row_id", "left")
+    every = shuffled(told).join(guarded, "row_id", "left").join(shuffled(why), "row_id", "left")
     free, blocked = F.col("area").isNotNull() & F.col("blocked").isNull(), F.col("blocked").isNotNull()
     evidence = [(F.col("junk").isNotNull(), 0, "junk"), (F.col("dupe").isNotNull(), 1, "dupe"), (F.col("built").isNotNull(), 2, "built"), (free, 3, "area"), (blocked, 5, "blocked"), (F.col("why").isNotNull(), 4, "why")]
     bucket, detail = F.lit(BUCKETS[5]), F.lit(None).cast("string")

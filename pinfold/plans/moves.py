@@ -42,7 +42,7 @@ def guard_occupied(plan: DataFrame, rows: DataFrame) -> DataFrame:
     free = plan.where("blocked is null")
     held = rows.select(coord_key("lat").alias("d_lat"), coord_key("lon").alias("d_lon"), F.col("name").alias("h_name")).distinct()
     taken = free.join(shuffled(held), ["d_lat", "d_lon"]).where("h_name <> name").select("row_id").distinct().withColumn("occupied", F.lit(True))
-    return plan.join(taken, "row_id", "left").withColumn("blocked", F.coalesce("blocked", F.when(F.col("occupied"), "occupied"))).drop("occupied")
+    return shuffled(plan).join(taken, "row_id", "left").withColumn("blocked", F.coalesce("blocked", F.when(F.col("occupied"), "occupied"))).drop("occupied")
 
 
 def guard_near(plan: DataFrame, rows: DataFrame, within_m: float = 30.0) -> DataFrame:

@@ -84,6 +84,18 @@ def test_dealt_rows_are_never_broadcast(dense):
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
 
 
+def test_evidence_of_scorecards_is_never_broadcast(spark, dense, monkeypatch):
+    # its files are small however many rows they hold, and the driver would hold these
+    left, right = dense
+    edges = spark.createDataFrame([("land", -76.0, 39.0, -76.0, 42.0), ("land", -74.0, 39.0, -74.0, 42.0)], "poly_id string, x1 double, y1 double, x2 double, y2 double")
+    plans, plain = [], V.materialise
+    told = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
+    monkeypatch.setattr(V, "materialise", lambda df, label: told(df) or plain(df, label))
+    told(V.scorecard(left, right, right, edges, edges.where("false")))
+    joins = [line for p in plans for line in p.splitlines() if "Join [row_id" in line]
+    assert len(joins) > 3 and [line for line in joins if "SortMergeJoin" not in line] == []
+
+
 def test_names_meet_before_rows_do(dense, met, monkeypatch):
     left, right = (df.withColumn("t", T.tokens_b("name")) for df in dense)
     every = C.distance_pairs(left, right, 2500.0, ["rel"]).where(T.name_match("t", "r_t"))
