@@ -466,7 +466,7 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     lean = lambda df: df.select("row_id", "rel", "lat", "lon")
     built = nearest_within(lean(s), lean(c), 250.0, ["rel"]).where(F.col("dist_m") < 250.0).select("row_id", F.lit(True).alias("built"))
     land = containing(s, edges_of(polygons(spark))).select("row_id", F.lit(True).alias("land"))
-    j = s.join(dupe, "row_id", "left").join(built, "row_id", "left").join(land, "row_id", "left")
+    j = shuffled(s).join(dupe, "row_id", "left").join(shuffled(built), "row_id", "left").join(shuffled(land), "row_id", "left")
     bucket = first_of([(drop_reason("name").isNotNull(), "name_junk"), (F.col("dupe").isNotNull(), "hifld_dupe"), (F.col("built").isNotNull(), "on_building"), (F.col("land").isNull(), "impossible")], "rural_expected")
     return j.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum("row_id").alias("ids"))
 

@@ -12,6 +12,7 @@ from pinfold.operators import dedupe, name_pairs, pair_counts
 from pinfold.operators import polygons as G
 from pinfold.operators import review as V
 from pinfold.plans import moves as M
+from pinfold.queries import places
 
 PIN = "row_id long, name string, rel int, state string, lat double, lon double"
 NAMES = ("Grace Bible Church", "Zion Temple North", "Bible Church Grace", "Hope Chapel", "Zion")
@@ -92,8 +93,9 @@ def test_evidence_of_scorecards_is_never_broadcast(spark, dense, monkeypatch):
     told = lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString())
     monkeypatch.setattr(V, "materialise", lambda df, label: told(df) or plain(df, label))
     told(V.scorecard(left, right, right, edges, edges.where("false")))
+    told(places.scorecard(spark, "/root/testdata/sf0.001"))
     joins = [line for p in plans for line in p.splitlines() if "Join [row_id" in line]
-    assert len(joins) > 3 and [line for line in joins if "SortMergeJoin" not in line] == []
+    assert len(joins) > 6 and [line for line in joins if "SortMergeJoin" not in line] == []
 
 
 def test_names_meet_before_rows_do(dense, met, monkeypatch):
